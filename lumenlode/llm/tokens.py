@@ -35,7 +35,7 @@ class WordTokenizer:
     SIMPLE = re.compile(r"[\t\n\x0b\x0c\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
     SPECIAL = ("<|startoftext|>", "<|endoftext|>")
     #: Characters of text that are cut up at a time.
-    AT_ONCE = 4_000_000
+    AT_ONCE = 10_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,11 +83,13 @@ class WordTokenizer:
         numbered = lists.values.dictionary_encode()
         ids = [self._word(w) for w in numbered.dictionary.to_pylist()]
         table = np.frombuffer(b"".join(ids), "<u4")
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         word = numbered.indices.to_numpy()
-        n, first = sizes[word], (np.cumsum(sizes) - sizes)[word]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        flat = table[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
+        n, first = sizes[word], (np.cumsum(sizes, dtype=np.int32) - sizes)[word]
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])
+        flat = np.repeat(first - ends[:-1], n)
+        flat += np.arange(ends[-1], dtype=np.int32)
+        flat = table[flat]
         bounds = ends[lists.offsets.to_numpy()]
         return [flat[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
