@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, packing, sharding, simhash
+from . import exact, licences, mixing, packing, quality, sharding, simhash
 
 #: The vocabulary file that packing counts tokens with.
 VOCABULARY = "word_bpe_49k.json"
@@ -21,15 +21,39 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_documents(spark, sf_dir), keep=["doc_id"])
+    figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
+    return judged.select(F.col("row.doc_id").alias("doc_id"), *figures)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), vocabulary_path(), 2048)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(_documents(spark, sf_dir), keep=["doc_id"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_sentences", "sequence", "licence", "kind", "licences")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, sf_dir), words=3, bits=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def source_weights(sources: list) -> list[int]:
+    return [1 + k % 3 for k in range(len(sources))]
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    drawn = mixing.mix(_documents(spark, sf_dir), source_weights, order=order, keep=["doc_id"])
+    shards = F.transform("placements", lambda p: p["shard"]).alias("shards")
+    return drawn.select(
+        F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), shards
+    )
+
+
 def op7_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     carry = {"doc_id": F.col("doc_id"), "size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text)}
@@ -44,9 +68,55 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_documents(spark, sf_dir), carry=carry)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_simhash_near_dedup, op7_ring_sharding, op9_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_best_fit_packing,
+        op4_license_scan,
+        op5_simhash_near_dedup,
+        op6_source_mix,
+        op7_ring_sharding,
+        op9_exact_dedup,
+    )
+}
+
+
+def _licence_sql() -> str:
+    known = ", ".join(f"({i + 1}, '{s}')" for i, s in enumerate(licences.SENTENCES))
+    tests = [("," + ",(?:[0-9]+,)*".join(map(str, ids)) + ",", name, kind) for name, kind, ids in licences.RULES]
+    rules = ", ".join(f"({i}, '{p}', '{name}', '{kind}')" for i, (p, name, kind) in enumerate(tests))
+    return f"""
+        WITH known(id, s) AS (VALUES {known}),
+        rules(nth, pattern, licence, kind) AS (VALUES {rules}),
+        cut AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   string_split(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS parts
+            FROM documents
+        ),
+        sentences AS (
+            SELECT r, i, trim(regexp_replace(lower(parts[i]), '[^a-z0-9]+', ' ', 'g')) AS s
+            FROM (SELECT r, parts, unnest(range(1, len(parts) + 1)) AS i FROM cut)
+        ),
+        sequences AS (
+            SELECT r, count(*) AS n_sentences,
+                   coalesce(',' || string_agg(known.id::VARCHAR, ',' ORDER BY i) FILTER (known.id IS NOT NULL) || ',', '') AS sequence
+            FROM sentences LEFT JOIN known USING (s) WHERE s <> '' GROUP BY r
+        ),
+        matched AS (
+            SELECT r, licence, kind, nth FROM sequences JOIN rules ON regexp_matches(sequence, pattern)
+        ),
+        firsts AS (SELECT r, licence, min(nth) AS nth FROM matched GROUP BY r, licence),
+        best AS (SELECT r, arg_min(licence, nth) AS licence, arg_min(kind, nth) AS kind FROM matched GROUP BY r),
+        lists AS (SELECT r, string_agg(licence, ',' ORDER BY nth) AS licences FROM firsts GROUP BY r)
+        SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(sequence, '') AS sequence,
+               best.licence, best.kind, coalesce(licences, '') AS licences
+        FROM cut LEFT JOIN sequences USING (r) LEFT JOIN best USING (r) LEFT JOIN lists USING (r)
+    """
+
 
 SQL = {
+    "op4_license_scan": _licence_sql(),
     "op9_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
