@@ -11,8 +11,11 @@ from .store import stash
 from .tables import literal_table
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word of letters with one mark after it at most.
+PLAIN = r"(?<![^\x20\x09-\x0D])\p{L}+[.,;:]?(?![^\x20\x09-\x0D])"
 WINDOW = 8
 GOOD, BAD, ABSTAIN = 1, 0, 2
+SURE = 8
 
 
 def _let(value: Column, body) -> Column:
@@ -54,6 +57,7 @@ def measures(df: DataFrame, text: str = "text", keep: list[str] | None = None) -
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.regexp_count("t", F.lit("[A-Z]{2,}")).cast("long").alias("n_capitals"),
+        F.regexp_count("t", F.lit(PLAIN)).cast("long").alias("n_plain"),
         F.regexp_count("t", F.lit(r"[.!?]")).cast("long").alias("n_stops"),
         F.size(F.array_distinct("wh")).cast("long").alias("n_distinct"),
         F.when(n >= WINDOW, windows).alias("windows"),
@@ -65,53 +69,56 @@ def measures(df: DataFrame, text: str = "text", keep: list[str] | None = None) -
     )
 
 
-def rules() -> dict[str, tuple[Column, Column, Column]]:
-    """Each rule: what it measures per text, when it votes that a text is bad, and when that it is good."""
-    n, c = F.greatest(F.col("n_words"), F.lit(1)), F.col
-    mean, symbols, dup = c("word_chars") / n, c("n_symbols") / n, c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1))
-    repeat, capitals, stops, distinct = c("n_repeat_words") / n, c("n_capitals") / n, c("n_stops") / n, c("n_distinct") / n
+def rules() -> dict[str, tuple[Column, Column]]:
+    """Each rule: when it votes that a text is bad, and when that it is good; otherwise it abstains."""
+    c, never = F.col, F.lit(False)
+    n, lines = F.greatest(c("n_words"), F.lit(1)), F.greatest(c("n_lines"), F.lit(1))
+    mean, symbols, plain, stops = c("word_chars") / n, c("n_symbols") / n, c("n_plain") / n, c("n_stops") / n
     long = c("n_words") >= 50
     return {
-        "length": (n, c("n_words") < 20, c("n_words") >= 50),
-        "word_length": (mean, (mean < 2.5) | (mean > 11), (mean >= 3) & (mean <= 9)),
-        "symbols": (symbols, symbols > 0.1, symbols < 0.02),
-        "duplicate_lines": (dup, dup > 0.3, (dup < 0.1) & (c("n_lines") >= 2)),
-        "repeated_words": (repeat, repeat > 0.25, (repeat < 0.1) & long),
-        "capitals": (capitals, capitals > 0.3, capitals < 0.1),
-        "stops": (stops, (stops < 0.01) & long | (stops > 0.7), (stops >= 0.03) & (stops <= 0.4)),
-        "distinct_words": (distinct, (distinct < 0.15) & (n < 2000), (distinct > 0.35) & long),
+        "length": (c("n_words") < 20, c("n_words") >= 50),
+        "word_length": ((mean < 2.5) | (mean > 8.5), (mean >= 3.5) & (mean <= 7.5)),
+        "symbols": (symbols > 0.1, never),
+        "plain_words": (plain < 0.7, plain > 0.9),
+        "duplicate_lines": (c("n_dup_lines") / lines > 0.3, never),
+        "repeated_words": (c("n_repeat_words") / n > 0.25, never),
+        "capitals": (c("n_capitals") / n > 0.3, never),
+        "stops": ((stops < 0.01) & long | (stops > 0.7), (stops >= 0.03) & (stops <= 0.4)),
+        "distinct_words": ((c("n_distinct") / n < 0.2) & (n < 2000), (c("n_distinct") / n > 0.35) & long),
     }
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> dict[tuple[int, ...], float]:
     """Expectation maximisation over vote patterns and their counts; the posterior that a text is good, by pattern.
 
-    Given the class, rules vote independently; a rule has an accuracy for good and one for bad texts, both
-    at least one half (a rule may be useless but not perverse), with two pseudo-counts each; abstaining
-    says nothing.
+    Given the class, rules vote (good, bad or abstain) independently. A rule's chance of each vote in
+    each class starts at what is expected of any rule and is re-estimated with that expectation as prior;
+    a vote against a text stays at least ``SURE`` times as likely for a bad text as for a good one, so
+    that the classes cannot change places.
     """
     total = sum(n for _, n in patterns)
     width = len(patterns[0][0]) if patterns else 0
-    prior, right = 0.8, {GOOD: [0.8] * width, BAD: [0.8] * width}
+    expected = {GOOD: {GOOD: 0.7, BAD: 0.02, ABSTAIN: 0.28}, BAD: {GOOD: 0.3, BAD: 0.4, ABSTAIN: 0.3}}
+    prior, chance = 0.85, {y: [dict(p) for _ in range(width)] for y, p in expected.items()}
 
     def posterior(votes: tuple[int, ...]) -> float:
-        odds = log(prior / (1 - prior))
-        for j, v in enumerate(votes):
-            if v == GOOD:
-                odds += log(right[GOOD][j] / (1 - right[BAD][j]))
-            elif v == BAD:
-                odds -= log(right[BAD][j] / (1 - right[GOOD][j]))
+        odds = log(prior / (1 - prior)) + sum(log(chance[GOOD][j][v] / chance[BAD][j][v]) for j, v in enumerate(votes))
         return 1 / (1 + exp(-max(-500.0, min(500.0, odds))))
 
     for _ in range(rounds if total else 0):
         each = [(votes, n, posterior(votes)) for votes, n in patterns]
+        weight = 0.02 * total + 2
+        for y in (GOOD, BAD):
+            mass = [(votes, n * (p if y == GOOD else 1 - p)) for votes, n, p in each]
+            whole = sum(m for _, m in mass)
+            for j in range(width):
+                seen = {v: sum(m for votes, m in mass if votes[j] == v) for v in (GOOD, BAD, ABSTAIN)}
+                chance[y][j] = {v: (seen[v] + weight * expected[y][v]) / (whole + weight) for v in seen}
         for j in range(width):
-            for kind in (GOOD, BAD):
-                weight = lambda p: p if kind == GOOD else 1 - p  # noqa: B023, E731
-                voted = sum(n * weight(p) for votes, n, p in each if votes[j] != ABSTAIN)
-                hit = sum(n * weight(p) for votes, n, p in each if votes[j] == kind)
-                right[kind][j] = min(0.999, max(0.5, (hit + 1.6) / (voted + 2)))
-        prior = min(0.99, max(0.01, (sum(n * p for _, n, p in each) + 1) / (total + 2)))
+            good, bad = chance[GOOD][j], chance[BAD][j]
+            if bad[BAD] < SURE * good[BAD]:
+                good[BAD] = bad[BAD] / SURE
+        prior = (sum(n * p for _, n, p in each) + weight * 0.85) / (total + weight)
     return {votes: posterior(votes) for votes, _ in patterns}
 
 
@@ -125,7 +132,7 @@ def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, thre
     table gives no rows. Only counts per vote pattern (3 ** rules at most) reach the driver.
     """
     spark, named = df.sparkSession, rules()
-    votes = [F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN) for _, bad, good in named.values()]
+    votes = [F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN) for bad, good in named.values()]
     code = sum((v * 3**j for j, v in enumerate(votes)), F.lit(0))
     rows = stash(measures(df, text, keep).withColumn("votes", code), "measures")
     counts = {r["votes"]: r["n"] for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect()}
