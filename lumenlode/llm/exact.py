@@ -29,9 +29,9 @@ def exact_duplicates(
     is hashed before it is shuffled, so that a text never moves.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    base = df.select(t.alias("t"), F.octet_length(t).alias("n"))
+    base = df.select(F.octet_length(t).alias("n"), F.xxhash64(F.substring(t, 1, head)).alias("h"))
     lengths = base.groupBy("n").count().where("count > 1").select("n")
-    heads = base.join(lengths, "n", "left_semi").select("n", F.xxhash64(F.substring("t", 1, head)).alias("h"))
+    heads = base.join(lengths, "n", "left_semi")  # a length and a hash move, not the text
     suspects = stash(heads.groupBy("n", "h").count().where("count > 1").select("n", "h", F.lit(True).alias("s")), "heads")
 
     carry = carry or {}
