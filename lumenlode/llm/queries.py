@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licences, mixing, packing, quality, sharding, simhash
+from . import exact, licences, lines, mixing, packing, quality, sharding, simhash
 
 #: The vocabulary file that packing counts tokens with.
 VOCABULARY = "word_bpe_49k.json"
@@ -63,6 +63,11 @@ def op7_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     carry = {"text_sha256": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)}
     return exact.exact_duplicates(_documents(spark, sf_dir), carry=carry)
@@ -77,6 +82,7 @@ QUERIES = {
         op5_simhash_near_dedup,
         op6_source_mix,
         op7_ring_sharding,
+        op8_line_dedup,
         op9_exact_dedup,
     )
 }
