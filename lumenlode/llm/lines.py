@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -18,40 +19,71 @@ from .store import drop, release, stash
 WIDTHS = (13, 13, 13, 13, 12)
 
 
-def split_lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Each line with a letter or digit: doc (key of the row's id and text), at, nth, norm, line (md5 of norm)."""
+#: Normal form: ASCII letters lower, other ASCII but digits and line ends blank; runs of blanks then become one.
+_TABLE = bytes(c if c > 127 or c == 10 or chr(c).isalnum() else 32 for c in range(256)).lower()
+
+
+def normalised(text: str | None) -> list[bytes]:
+    """The normal form of each line of a text, empty for a line without words."""
+    lines = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split(b"\n")
+    return [b" ".join(x.split()) for x in lines]
+
+
+def _text_and_key(id_col: str, text: str) -> tuple[Column, Column]:
+    """The text, and a key of the row's id and text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    key = F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), t)))
-    norm = F.trim(F.regexp_replace(F.lower("raw"), r"[^\p{L}\p{N}]+", " "))
-    rows = df.select(F.col(id_col).alias("at"), key.alias("doc"), F.posexplode(F.split(t, "\n")).alias("nth", "raw"))
-    rows = rows.select("at", "doc", "nth", norm.alias("norm")).where("norm <> ''")
-    return rows.withColumn("line", F.unhex(F.md5("norm")))
+    return t, F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), t)))
 
 
-def _with_fp(lines: DataFrame, min_words: int) -> DataFrame:
-    """``norm`` replaced by fp (of its words; null for fewer than ``min_words``) and words_n (their number)."""
-    schema = lines.select("at", "doc", "nth", "line", F.lit(None).cast("long").alias("fp"), F.lit(None).cast("int").alias("words_n")).schema
+def _digest(norm: bytes) -> bytes:
+    return hashlib.md5(norm, usedforsecurity=False).digest()
+
+
+def occurrences_of(df: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
+    """Each line with a word: at, doc, nth, line (md5 of the normal form), words_n, fp (of its words; null for fewer than ``min_words``)."""
+    t, key = _text_and_key(id_col, text)
+    rows = df.select(F.col(id_col).alias("at"), key.alias("doc"), t.alias("t"))
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    schema = rows.select("at", "doc", null("int", "nth"), null("binary", "line"), null("int", "words_n"), null("long", "fp")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh64_intdigest
         for b in batches:
-            norms = b.column(b.schema.get_field_index("norm")).to_pylist()
-            fps: list = [None] * len(norms)
-            todo, hashes, n = [], [], 0
-            for i, s in enumerate(norms):
-                words = s.encode("utf-8", "surrogatepass").split(b" ")
-                if len(words) >= min_words:
-                    todo.append(i)
-                    hashes.append([h(w, 42) for w in words])
-                    n += len(words)
-                if n >= 1 << 17 or i == len(norms) - 1:
+            row, nth, line, size, fp, hashes, todo, n = [], [], [], [], [], [], [], 0
+            for i, t in enumerate(b.column(2)):
+                for k, norm in enumerate(normalised(t.as_py())):
+                    if norm:
+                        words = norm.split(b" ")
+                        row.append(i)
+                        nth.append(k)
+                        line.append(_digest(norm))
+                        size.append(len(words))
+                        fp.append(None)
+                        if len(words) >= min_words:
+                            todo.append(len(fp) - 1)
+                            hashes.append([h(w, 42) for w in words])
+                            n += len(words)
+                if n >= 1 << 17 or i == b.num_rows - 1:
                     for k, f in zip(todo, fingerprints(hashes).astype("<u8").view("<i8").tolist(), strict=True):
-                        fps[k] = f
-                    todo, hashes, n = [], [], 0
-            rest = [b.column(b.schema.get_field_index(c)) for c in ("at", "doc", "nth", "line")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(fps, pa.int64()), pa.array([s.count(" ") + 1 for s in norms], pa.int32())], schema=pa.schema([*[b.schema.field(c) for c in ("at", "doc", "nth", "line")], pa.field("fp", pa.int64()), pa.field("words_n", pa.int32())]))
+                        fp[k] = f
+                    hashes, todo, n = [], [], 0
+            taken = pa.array(row, pa.int64())
+            cols = [b.column(0).take(taken), b.column(1).take(taken), pa.array(nth, pa.int32()), pa.array(line, pa.binary()), pa.array(size, pa.int32()), pa.array(fp, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["at", "doc", "nth", "line", "words_n", "fp"])
+
+    return rows.mapInArrow(run, schema)
 
-    return lines.mapInArrow(run, schema)
+
+def texts_of_lines(df: DataFrame, text: str) -> DataFrame:
+    """line and norm of every line with a word, once for each batch that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {x for t in b.column(0) for x in normalised(t.as_py()) if x}
+            cols = [pa.array(map(_digest, found), pa.binary()), pa.array(list(found), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["line", "norm"])
+
+    return df.select(text).mapInArrow(run, "line binary, norm binary")
 
 
 def _block(x: Column, k: int) -> Column:
@@ -82,7 +114,7 @@ def shared_blocks(lines: DataFrame, broadcast_rows: int) -> DataFrame:
     return out
 
 
-def word_distance(a: list[str], b: list[str]) -> int:
+def word_distance(a: list, b: list) -> int:
     """Levenshtein distance of two word sequences, by bit vectors over the first (Hyyroe's form of Myers' method)."""
     i, n = 0, min(len(a), len(b))
     while i < n and a[i] == b[i]:
@@ -93,7 +125,7 @@ def word_distance(a: list[str], b: list[str]) -> int:
     a, b = a[i : len(a) - j], b[i : len(b) - j]
     if not a or not b:
         return len(a) + len(b)
-    places: dict[str, int] = {}
+    places: dict = {}
     for k, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << k
     mask, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
@@ -117,7 +149,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [[s.split(" ") for s in batch.column(batch.schema.get_field_index(c)).to_pylist()] for c in ("x", "y")]
+            words = [[s.split(b" ") for s in batch.column(batch.schema.get_field_index(c)).to_pylist()] for c in ("x", "y")]
             keep = [word_distance(x, y) <= (1 - similarity) * max(len(x), len(y)) + 1e-9 for x, y in zip(*words, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -164,13 +196,13 @@ def duplicate_lines(
 ) -> DataFrame:
     """The lines to remove: doc (key of a row's id and text), removed (line numbers from 0, ascending).
 
-    Lines are equal if their normalised forms are (lower case, runs of other than letters and digits as
+    Lines are equal if their normal forms are (A-Z lowered, runs of other ASCII than letters and digits as
     one blank); lines of ``min_words`` words or more are also linked if their fingerprints share two
     blocks and differ in ``bits`` at most and their edit similarity (1 - Levenshtein distance in words / words
     of the longer) is ``similarity`` or more. Of each connected group the first occurrence stays (by id, a null first, then
-    key and line). Lines without letters or digits stay. Rows alike in id and text are one document.
+    key and line). Lines without words stay. Rows alike in id and text are one document.
     """
-    occurrences = stash(_with_fp(split_lines(df, id_col, text), min_words), "lines")
+    occurrences = stash(occurrences_of(df, id_col, text, min_words), "lines")
     one = occurrences.groupBy("line").agg(
         F.min(F.struct("at", "doc", "nth")).alias("first"), F.min("fp").alias("fp"), F.min("words_n").alias("words_n")
     )
@@ -180,7 +212,7 @@ def duplicate_lines(
         wanted = one.join(wanted, "n", "left_semi").select("line", "n")
         if wanted.count() <= broadcast_rows:
             wanted = F.broadcast(wanted)  # 24 bytes each
-        return split_lines(df, id_col, text).select("line", "norm").join(wanted, "line").dropDuplicates(["n"]).select("n", "norm")
+        return texts_of_lines(df, text).join(wanted, "line").dropDuplicates(["n"]).select("n", "norm")
 
     links = fuzzy_links(one.where("fp is not null").select("n", "fp", "words_n"), texts_of, bits, similarity, broadcast_rows)
     roots = components(links).withColumnRenamed("node", "n")
@@ -202,8 +234,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", name:
     comes back, with all its columns, whatever their names but these three.
     """
     removed = duplicate_lines(df, id_col, text, **options)
-    t = F.coalesce(F.col(text), F.lit(""))
-    key = F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), t)))
+    t, key = _text_and_key(id_col, text)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("doc"), F.split(t, "\n").alias("lines"))
     rows = rows.join(removed, "doc", "left")
     n = F.size("lines")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licences, lines, mixing, packing, quality, sharding, simhash
+from . import exact, licences, lines, mixing, packing, quality, sharding, simhash, suffixes
 
 #: The vocabulary file that packing counts tokens with.
 VOCABULARY = "word_bpe_49k.json"
@@ -31,6 +31,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), vocabulary_path(), 2048)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(_documents(spark, sf_dir), 400, keep=["doc_id"])
+    return done.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(_documents(spark, sf_dir), keep=["doc_id"])
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_sentences", "sequence", "licence", "kind", "licences")
@@ -78,6 +83,7 @@ QUERIES = {
     for f in (
         op1_quality_rules,
         op2_best_fit_packing,
+        op3_suffix_dedup,
         op4_license_scan,
         op5_simhash_near_dedup,
         op6_source_mix,

@@ -31,10 +31,14 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
-    """As ``stash``, laid out by hash of ``key`` so that later joins on it move only the other side."""
+    """As ``stash``, laid out by hash of ``key`` so that later joins on it move only the other side.
+
+    ``df`` is the result of an aggregation by ``key``, so its rows lie as the buckets do and one task
+    writes each bucket.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{label}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    df.write.bucketBy(n, key).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._stash_path = path
     return out
