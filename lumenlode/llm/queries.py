@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licences, lines, mixing, packing, quality, sharding, simhash, suffixes
+from . import exact, licences, lines, mixing, packing, quality, sharding, simhash, suffixes, toxicity
 
 #: The vocabulary file that packing counts tokens with.
 VOCABULARY = "word_bpe_49k.json"
@@ -78,6 +78,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_documents(spark, sf_dir), carry=carry)
 
 
+def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,6 +97,7 @@ QUERIES = {
         op7_ring_sharding,
         op8_line_dedup,
         op9_exact_dedup,
+        op10_pu_toxicity,
     )
 }
 
