@@ -93,21 +93,31 @@ def _ball(segment, width: int, radius: int):
     return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: segment.bitwiseXOR(m))
 
 
-def links(fps: DataFrame, bits: int = 3, segments: int = 2, name: str = "fp") -> DataFrame:
+def links(fps: DataFrame, bits: int = 3, segments: int = 2, reach: tuple[int, int] = (0, 1), name: str = "fp") -> DataFrame:
     """Pairs a < b of distinct fingerprints that differ in ``bits`` bits or fewer, each pair once.
 
-    Multi-index hashing: among ``segments`` segments, one differs in at most bits // segments places,
-    so looking up that Hamming ball of each segment in a table of that segment finds every pair; the
-    whole distance is then verified. One side is indexed, the other enumerates its ball.
+    Multi-index hashing: one of the segments differs in at most bits // segments places. Each fingerprint
+    is entered in a table of each segment under the values within reach[0] flips, and looked up under
+    those within reach[1]; what meets is verified by the whole distance. Every pair is found if the two
+    reaches add up to bits // segments; with less, pairs whose flips are spread most evenly may be missed.
     """
-    width, radius = 64 // segments, bits // segments
+    edges = [64 * s // segments for s in range(segments + 1)]
     one = fps.select(F.col(name).alias("x")).where("x is not null").distinct()
-    mask = F.lit((1 << width) - 1).cast("long")
-    parts = [F.shiftrightunsigned("x", s * width).bitwiseAND(mask) for s in range(segments)]
-    index = one.select("x", F.posexplode(F.array(*parts)).alias("segment", "value"))
-    probe = index.select(F.col("x").alias("y"), "segment", F.explode(_ball(F.col("value"), width, radius)).alias("value"))
+
+    def entries(flips: int, x: str) -> DataFrame:
+        each = []
+        for s, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
+            value = F.shiftrightunsigned("x", i).bitwiseAND(F.lit((1 << (j - i)) - 1).cast("long"))
+            part = one.select("x", F.lit(s).alias("segment"), value.alias("part"))
+            each.append(part.select("x", "segment", F.explode(_ball(F.col("part"), j - i, flips)).alias("value")))
+        out = each[0]
+        for e in each[1:]:
+            out = out.union(e)
+        return out.withColumnRenamed("x", x)
+
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= bits
-    found = index.join(probe, ["segment", "value"]).where((F.col("x") < F.col("y")) & near)
+    meet = ["segment", "value"]
+    found = entries(reach[0], "x").join(entries(reach[1], "y"), meet).where((F.col("x") < F.col("y")) & near)
     return found.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
@@ -131,3 +141,61 @@ def near_duplicates(
     labels = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = placed.select("fp", "root").join(labels, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select(id_col, "fp", "component_id")
+
+
+def _similar(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b of fingerprints whose shingle sets (fp, s) have the Jaccard similarity."""
+    a, b = shingles.select(F.col("fp").alias("a"), F.col("s").alias("p")), shingles.select(F.col("fp").alias("b"), F.col("s").alias("q"))
+    both = F.size(F.array_intersect("p", "q"))
+    return pairs.join(a, "a").join(b, "b").where(both >= similarity * (F.size("p") + F.size("q") - both)).select("a", "b")
+
+
+def one_of_each(
+    df: DataFrame,
+    words: int = 5,
+    similarity: float = 0.8,
+    bits: int = 12,
+    segments: int = 3,
+    reach: tuple[int, int] = (1, 1),
+    id_col: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """``df`` with one row of each group of near copies, the one with the least id (a null first).
+
+    Fingerprints that differ in ``bits`` bits at most are candidates; they are linked if the sets of
+    shingles of a text of each have a Jaccard similarity of ``similarity`` or more, and groups are what
+    links connect. Equal fingerprints are one group; so are texts without words, null ones included. Of
+    repeated rows one is kept; an empty table gives none; all columns come back.
+
+    Each fingerprint is first compared with the least of its candidates; of the other candidate pairs
+    only those that would connect two groups are compared.
+    """
+    key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    names = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), key.alias("key"), F.col(text).alias("t"))
+    rows = stash(with_fingerprint(rows.withColumn("at", F.monotonically_increasing_id()), words, "t"), "rows")
+    pairs = stash(links(rows, bits, segments, reach), "pairs")
+
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    texts = rows.select("fp", F.col("row")[text].alias("t")).join(wanted, "fp").dropDuplicates(["fp"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [np.unique(np.array(shingle_hashes(t.as_py(), words), np.uint64)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["fp", "s"])
+
+    shingles = stash(texts.select("fp", "t").mapInArrow(sets, "fp bigint, s array<bigint>"), "shingles")
+    least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = stash(_similar(least, shingles, similarity), "links")
+    roots = stash(components(first), "roots")
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    rest = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    roots = components(first.union(_similar(rest, shingles, similarity)))
+
+    of_fp = rows.select("fp").distinct().join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    least = rows.groupBy("fp").agg(F.min(F.struct("id", "at")).alias("least"))
+    of_fp = of_fp.join(least, "fp")
+    stays = of_fp.groupBy("root").agg(F.min("least").alias("stays"))
+    stays = of_fp.join(stays, "root").where(F.col("least")["at"] == F.col("stays")["at"]).select("fp", F.col("stays")["at"].alias("at"))
+    return rows.join(stays, ["fp", "at"], "left_semi").select("row.*")
