@@ -64,9 +64,10 @@ def fingerprints(each: list[list[int]]) -> np.ndarray:
 
 
 def with_fingerprint(df: DataFrame, words: int = 5, text: str = "text", name: str = "fp") -> DataFrame:
-    """``df`` with the fingerprint of ``text`` as a signed long in place of ``text``."""
+    """``df`` (names without dots) with the fingerprint of ``text`` as a signed long in place of ``text``."""
     rest = [c for c in df.columns if c != text]
-    schema = df.select(*rest, F.lit(0).cast("long").alias(name)).schema
+    columns = [F.col(f"`{c}`") for c in rest]
+    schema = df.select(*columns, F.lit(0).cast("long").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,7 +83,7 @@ def with_fingerprint(df: DataFrame, words: int = 5, text: str = "text", name: st
             cols = [b.column(b.schema.get_field_index(c)) for c in rest]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(fps).view(np.int64))], names=[*rest, name])
 
-    return df.select(*rest, text).mapInArrow(run, schema)
+    return df.select(*columns, text).mapInArrow(run, schema)
 
 
 def _ball(segment, width: int, radius: int):

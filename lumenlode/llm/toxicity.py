@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the training sample: confirmed toxic texts, and unlabelled ones. Every text is scored.
-POSITIVE, UNLABELLED = 4000, 12000
+POSITIVE, UNLABELLED = 4000, 8000
 
 _TABLE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
@@ -110,21 +110,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["y", "words"])
 
     found: dict[int, list[set[bytes]]] = {0: [], 1: []}
+    shared: dict[bytes, bytes] = {}  # one object for each word
     rows = sample.orderBy("id").select("y", "t").mapInArrow(distinct_words, "y int, words binary")
     for r in rows.toLocalIterator():
-        found[r["y"]].append(set(bytes(r["words"]).split()))
+        found[r["y"]].append({shared.setdefault(w, w) for w in bytes(r["words"]).split()})
     return fit(found[1], found[0], prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 in place of the text. A null text has no words; every row is scored."""
-    rest = [c for c in docs.columns if c != text]
-    schema = docs.select(*rest, F.lit(0.0).alias(name)).schema
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
+    rows = docs.select(rest.alias("row"), F.col(text).alias("t"))
+    schema = rows.select("row", F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text))
-            scores = pa.array([model.score(t.as_py()) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in rest], scores], names=[*rest, name])
+            scores = pa.array([model.score(t.as_py()) for t in b.column(1)], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), scores], names=["row", "score"])
 
-    return docs.select(*rest, text).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select("row.*", F.col("score").alias(name)).drop("_")
