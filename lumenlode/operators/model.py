@@ -53,9 +53,9 @@ def classify(t: DataFrame) -> DataFrame:
     return t.withColumn("verdict", verdict).withColumn("certainty", clamp01(sure))
 
 
-def backtest(series: DataFrame, cutoff: int, horizon: int = 2, hit: float = 1.5) -> DataFrame:
+def backtest(series: DataFrame, cutoff: int, ahead: int = 2, hit: float = 1.5) -> DataFrame:
     """Growth of each topic after the cutoff against the corpus' own: lift and hit."""
-    past, future = (F.col("period") <= cutoff) & (F.col("period") > cutoff - horizon), (F.col("period") > cutoff) & (F.col("period") <= cutoff + horizon)
+    past, future = (F.col("period") <= cutoff) & (F.col("period") > cutoff - ahead), (F.col("period") > cutoff) & (F.col("period") <= cutoff + ahead)
     total = lambda c, w: F.sum(F.when(w, F.col(c)).otherwise(0))
     t = series.groupBy("topic").agg(total("df", past).alias("a"), total("df", future).alias("b"), total("n", past).alias("na"), total("n", future).alias("nb"))
     lift = (F.col("b") / F.col("a")) / (F.col("nb") / F.col("na"))
