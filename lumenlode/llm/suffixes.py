@@ -165,12 +165,24 @@ def maximal_repeats(contexts: list[bytes], at: list[int], length: int) -> Iterat
                 yield left + depth, [(x, at[x] - left) for x in members]
 
 
-def repeats(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of the spans, as disjoint spans in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def repeats(texts: DataFrame, length: int, groups: bool = True) -> tuple[DataFrame, DataFrame]:
     """Maximal repeats among the texts (doc, t; each text once), and the runs of windows that have partners.
 
     Returns (spans, runs). runs: h, ch, doc, lo: the bytes from lo on of that doc form the context ch of
     anchor h. spans: h, ch, grp, s, e: the bytes s to e of every run with that context are an occurrence
-    of the repeat grp of that anchor. A repeat is reported by anchor, clipped to the anchor's windows, so
+    of the repeat grp of that anchor. Without ``groups`` the occurrences of a context are merged into
+    disjoint spans, whose grp says nothing; that is a few rows per context, however repeats nest. A repeat is reported by anchor, clipped to the anchor's windows, so
     a longer one is the union of its anchors'. Equal contexts are one entry with a count; anchors with
     more than MOST different contexts are not put into one array: their windows are compared by digest,
     counted before they are shuffled.
@@ -195,10 +207,19 @@ def repeats(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
             out: list[list] = [[], [], [], [], []]
             for h, members in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 members = sorted(members.as_py(), key=lambda x: x["ch"])
+                own: list[list[tuple[int, int]]] = [[] for _ in members]
+                rows = []
                 for k, (size, where) in enumerate(maximal_repeats([x["bytes"] for x in members], [x["at"] for x in members], length)):
                     for i, start in where:
-                        for c, v in zip(out, (h, members[i]["ch"], f"{h}-{k}", start, start + size), strict=True):
-                            c.append(v)
+                        if groups:
+                            rows.append((h, members[i]["ch"], f"{h}-{k}", start, start + size))
+                        else:
+                            own[i].append((start, start + size))
+                            if len(own[i]) > 64:
+                                own[i] = merged(own[i])
+                rows += [(h, x["ch"], "", s, e) for x, spans in zip(members, own, strict=True) for s, e in merged(spans)]
+                for c, values in zip(out, zip(*rows, strict=True), strict=False):
+                    c.extend(values)
             kinds_of = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds_of, strict=True)], names=["h", "ch", "grp", "s", "e"])
 
@@ -231,7 +252,7 @@ def remove_repeats(df: DataFrame, length: int = 400, text: str = "text", keep: l
     every = df.select(doc.alias("doc"), t.alias("t"))
     texts = bucketed(every.groupBy("doc").agg(F.first("t").alias("t"), F.count("*").alias("copies")), "doc", "texts")
     release(df.sparkSession)
-    spans, runs = repeats(texts.select("doc", "t"), length)
+    spans, runs = repeats(texts.select("doc", "t"), length, groups=False)
     covered = spans.groupBy("h", "ch").agg(F.array_distinct(F.collect_list(F.struct("s", "e"))).alias("own"))
     of_doc = runs.join(covered, ["h", "ch"]).select("doc", F.transform("own", lambda x: F.struct((x["s"] + F.col("lo")).alias("s"), (x["e"] + F.col("lo")).alias("e"))).alias("own"))
     of_doc = of_doc.groupBy("doc").agg(F.flatten(F.collect_list("own")).alias("spans"))
