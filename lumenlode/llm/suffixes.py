@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .store import bucketed, drop, release, stash
 
 #: Bytes of an anchor's own string, of text that is scanned at a time, and contexts that one suffix array holds.
-ANCHOR, CHUNK, MOST = 100, 1 << 21, 8192
+ANCHOR, CHUNK, MOST = 100, 1 << 19, 8192
 
 _BASE, _OTHER = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 
