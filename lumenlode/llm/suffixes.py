@@ -188,9 +188,10 @@ def repeats(texts: DataFrame, length: int, groups: bool = True) -> tuple[DataFra
     counted before they are shuffled.
     """
     found = stash(anchors(texts, length), "anchors")
-    often = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # written first, so that the join is not tied to the aggregation's partitions and a hot anchor can be split
+    often = stash(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "often")
     runs = stash(found.join(often, "h"), "runs")
-    drop(found)
+    drop(found, often)
     release(texts.sparkSession)
     kinds = runs.groupBy("h", "ch").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos", "lo", "hi")).alias("r"))
     several = kinds.groupBy("h").agg(F.count("*").alias("m"))
