@@ -254,7 +254,8 @@ def remove_repeats(df: DataFrame, length: int = 400, text: str = "text", keep: l
     texts = bucketed(every.groupBy("doc").agg(F.first("t").alias("t"), F.count("*").alias("copies")), "doc", "texts")
     release(df.sparkSession)
     spans, runs = repeats(texts.select("doc", "t"), length, groups=False)
-    covered = spans.groupBy("h", "ch").agg(F.array_distinct(F.collect_list(F.struct("s", "e"))).alias("own"))
+    # written first, so that a context with very many runs can be split among tasks of the join
+    covered = stash(spans.groupBy("h", "ch").agg(F.array_distinct(F.collect_list(F.struct("s", "e"))).alias("own")), "covered")
     of_doc = runs.join(covered, ["h", "ch"]).select("doc", F.transform("own", lambda x: F.struct((x["s"] + F.col("lo")).alias("s"), (x["e"] + F.col("lo")).alias("e"))).alias("own"))
     of_doc = of_doc.groupBy("doc").agg(F.flatten(F.collect_list("own")).alias("spans"))
 
@@ -278,6 +279,6 @@ def remove_repeats(df: DataFrame, length: int = 400, text: str = "text", keep: l
 
     done = texts.join(of_doc, "doc", "left").select("doc", "t", "copies", "spans")
     done = stash(done.mapInArrow(cut, "doc binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"), "cut")
-    drop(spans)
+    drop(spans, covered)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]).alias("row"), doc.alias("doc"))
     return rows.join(done, "doc").drop("doc")
