@@ -40,7 +40,7 @@ def _digest(norm: bytes) -> bytes:
 
 
 def occurrences_of(df: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """Each line with a word: at, doc, nth, line (md5 of the normal form), words_n, fp (of its words; null for fewer than ``min_words``)."""
+    """Each line with a word: at, doc, nth, line (md5 of the normal form), words_n, fp (of its pairs of words in sequence, as single words are too often the same; null for fewer than ``min_words`` words)."""
     t, key = _text_and_key(id_col, text)
     rows = df.select(F.col(id_col).alias("at"), key.alias("doc"), t.alias("t"))
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
@@ -61,7 +61,7 @@ def occurrences_of(df: DataFrame, id_col: str, text: str, min_words: int) -> Dat
                         fp.append(None)
                         if len(words) >= min_words:
                             todo.append(len(fp) - 1)
-                            hashes.append([h(w, 42) for w in words])
+                            hashes.append([h(x + b" " + y, 42) for x, y in zip(words, words[1:])])
                             n += len(words)
                 if n >= 1 << 17 or i == b.num_rows - 1:
                     for k, f in zip(todo, fingerprints(hashes).astype("<u8").view("<i8").tolist(), strict=True):
@@ -106,11 +106,14 @@ def shared_blocks(lines: DataFrame, broadcast_rows: int) -> DataFrame:
     pairs = list(combinations(range(len(WIDTHS)), 2))
     keys = [F.lit(k).cast("long") * (1 << 32) + _block(F.col("fp"), i) * (1 << 16) + _block(F.col("fp"), j) for k, (i, j) in enumerate(pairs)]
     index = lines.select("n", "fp", "words_n", F.explode(F.array(*keys)).alias("key"))
-    several = index.groupBy("key").agg(F.min(F.struct("n", "fp", "words_n")).alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m")
-    several = stash(several, "keys")
-    small = several.count() <= broadcast_rows
-    out = stash(index.join(F.broadcast(several) if small else several, "key"), "shared")
-    drop(several)
+    several = stash(index.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "keys")
+    release(lines.sparkSession)
+    small = several.count() <= broadcast_rows  # 8 bytes each
+    shared = stash(index.join(F.broadcast(several) if small else several, "key"), "shared")
+    lead = shared.groupBy("key").agg(F.min(F.struct("n", "fp", "words_n")).alias("lead"))
+    out = stash(shared.join(lead, "key"), "led")
+    drop(several, shared)
+    release(lines.sparkSession)
     return out
 
 
@@ -165,23 +168,32 @@ def fuzzy_links(lines: DataFrame, texts_of, bits: int, similarity: float, broadc
     then compared with all rows of other components. So a family of n variants costs about n comparisons.
     """
     shared = shared_blocks(lines, broadcast_rows)
-    texts = stash(texts_of(shared.select("n").distinct()), "texts")
     stars = shared.select(F.struct("n", "fp", "words_n").alias("x"), F.col("lead").alias("y")).where("x.n <> y.n")
-    stars = stars.where(_near(bits, similarity)).select(F.col("y.n").alias("a"), F.col("x.n").alias("b")).distinct()
-    first = stash(verified(stars, texts, similarity), "stars")
-    roots = stash(components(first), "roots")
-
+    stars = stash(stars.where(_near(bits, similarity)).select(F.col("y.n").alias("a"), F.col("x.n").alias("b")).distinct(), "stars")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Texts are read for the rows of pairs only."""
+        texts = stash(texts_of(pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()), "texts")
+        out = stash(verified(pairs, texts, similarity), "alike")
+        drop(texts)
+        release(lines.sparkSession)
+        return out
+
+    first = alike(stars)
+    roots = stash(components(first).distinct(), "roots")
     lead = roots.select(F.col("node").alias("lead_n"), F.col("root").alias("lead_root"))
     rows = shared.withColumn("lead_n", F.col("lead.n")).drop("lead")
     rows = rows.join(roots.withColumnRenamed("node", "n"), "n", "left").join(lead, "lead_n", "left")
     rows = rows.select("key", "n", "fp", "words_n", F.coalesce("root", "n").alias("root"), F.coalesce("lead_root", "lead_n").alias("lead_root"))
     rows = stash(rows, "rooted")
+    drop(shared, stars)
     odd, every = rows.where("root <> lead_root").alias("x"), rows.alias("y")
     once = (F.col("x.n") < F.col("y.n")) | (F.col("y.root") == F.col("y.lead_root"))
     rest = odd.join(every, F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & once & _near(bits, similarity))
-    rest = rest.select(F.col("x.n").alias("a"), F.col("y.n").alias("b")).distinct()
-    out = stash(first.union(verified(rest, texts, similarity)), "links")
-    drop(shared, texts, first, roots, rows)
+    # the least rows of keys have been compared with all of theirs
+    rest = stash(rest.select(F.col("x.n").alias("a"), F.col("y.n").alias("b")).distinct(), "rest")
+    out = first if rest.isEmpty() else first.union(alike(rest))
+    drop(rows, roots, rest)
     return out
 
 
@@ -192,7 +204,7 @@ def duplicate_lines(
     min_words: int = 5,
     bits: int = 10,
     similarity: float = 0.8,
-    broadcast_rows: int = 300_000,
+    broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """The lines to remove: doc (key of a row's id and text), removed (line numbers from 0, ascending).
 

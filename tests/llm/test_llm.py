@@ -322,7 +322,7 @@ def test_fuzzy_lines_against_brute_force(spark):
             w[rng.randrange(len(w))] = f"x{rng.randrange(100)}"
         texts_.append(" ".join(w))
     got = {r.doc_id: r.n_removed for r in lines.dedup_lines(odd(spark, texts_)).collect()}
-    fps = simhash.fingerprints([[xxhash.xxh64_intdigest(w, 42) for w in t.encode().split()] for t in texts_]).tolist()
+    fps = simhash.fingerprints([[xxhash.xxh64_intdigest(b" ".join(p), 42) for p in itertools.pairwise(t.encode().split())] for t in texts_]).tolist()
     edges = list(itertools.accumulate(lines.WIDTHS, initial=0))
     blocks = [[f >> i & (1 << (j - i)) - 1 for i, j in zip(edges, edges[1:])] for f in fps]
     root = list(range(len(texts_)))
