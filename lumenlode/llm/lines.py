@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, combinations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
+from .pairs import connecting, shared_keys
 from .simhash import fingerprints
 from .store import drop, release, stash
 
@@ -39,8 +42,8 @@ def _digest(norm: bytes) -> bytes:
     return hashlib.md5(norm, usedforsecurity=False).digest()
 
 
-def occurrences_of(df: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """Each line with a word: at, doc, nth, line (md5 of the normal form), words_n, fp (of its pairs of words in sequence, as single words are too often the same; null for fewer than ``min_words`` words)."""
+def occurrences_of(df: DataFrame, id_col: str, text: str, min_words: int, with_fp: bool = True) -> DataFrame:
+    """Each line with a word: at, doc, nth, line (md5 of the normal form), words_n, fp (of its pairs of words in sequence, as single words are too often the same; null for fewer than ``min_words`` words, or without ``with_fp``)."""
     t, key = _text_and_key(id_col, text)
     rows = df.select(F.col(id_col).alias("at"), key.alias("doc"), t.alias("t"))
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
@@ -59,7 +62,7 @@ def occurrences_of(df: DataFrame, id_col: str, text: str, min_words: int) -> Dat
                         line.append(_digest(norm))
                         size.append(len(words))
                         fp.append(None)
-                        if len(words) >= min_words:
+                        if with_fp and len(words) >= min_words:
                             todo.append(len(fp) - 1)
                             hashes.append([h(x + b" " + y, 42) for x, y in zip(words, words[1:])])
                             n += len(words)
@@ -86,6 +89,68 @@ def texts_of_lines(df: DataFrame, text: str) -> DataFrame:
     return df.select(text).mapInArrow(run, "line binary, norm binary")
 
 
+@lru_cache(1 << 16)
+def _prefix(n: int, similarity: float) -> int:
+    """Of the n - 1 pairs of words of a line of n words, so many must be keys for every similar line to share one.
+
+    An edit changes two pairs of words at most. So lines of n <= m words within d edits share m - 1 - 2 d
+    pairs, and the first 2 d - (m - n) + 1 pairs of the shorter, 2 d + 1 of the longer, in any order that
+    is the same for all lines, have one in common.
+    """
+    most, m = 1, n
+    while m - (d := int((1 - similarity) * m + 1e-9)) <= n:
+        most, m = max(most, 2 * d - (m - n) + 1), m + 1
+    return most
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _keys(lines: list[list[bytes]], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines of words: the parities of 64 counters of words, the number of keys, and the keys in sequence.
+
+    Keys are the pairs of words with most letters, as those are the least common, each with its number among the same pairs of the line.
+    """
+    flat = [w for x in lines for w in x]
+    h = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
+    size, n = np.fromiter(map(len, flat), np.int64, len(flat)), np.fromiter(map(len, lines), np.int64, len(lines))
+    line = np.repeat(np.arange(len(lines)), n)
+    odd = np.bincount(line * 64 + (h & np.uint64(63)).astype(np.int64), minlength=64 * len(lines)).reshape(-1, 64) & 1
+    parities = (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    inside = line[1:] == line[:-1]
+    pair, letters, line = _mixed(_mixed(h[:-1]) + h[1:])[inside], (size[:-1] + size[1:])[inside], line[1:][inside]
+    order = np.lexsort((pair, -letters, line))
+    pair, line, at = pair[order], line[order], np.arange(len(order))
+    new_line = np.diff(line, prepend=-1) != 0
+    new_pair = new_line | (np.diff(pair, prepend=np.uint64(0)) != 0)
+    nth = at - np.maximum.accumulate(np.where(new_pair, at, 0))
+    wanted = np.fromiter((_prefix(k, similarity) for k in n.tolist()), np.int64, len(n))
+    keep = at - np.maximum.accumulate(np.where(new_line, at, 0)) < wanted[line]
+    return parities, np.bincount(line[keep], minlength=len(lines)), _mixed(pair + nth.astype(np.uint64))[keep]
+
+
+def keys_of_lines(df: DataFrame, text: str, min_words: int, similarity: float) -> DataFrame:
+    """line, fp (parities of counters of its words) and keys of every line of ``min_words`` words, once for each batch that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some, n = [], 0
+            found = list({x for t in b.column(0) for x in normalised(t.as_py()) if x.count(b" ") >= min_words - 1 and x})
+            for i, x in enumerate(found):
+                some.append(x)
+                n += x.count(b" ") + 1
+                if n >= 1 << 17 or i == len(found) - 1:
+                    parities, sizes, keys = _keys([x.split(b" ") for x in some], similarity)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys.view(np.int64)))
+                    cols = [pa.array(map(_digest, some), pa.binary()), pa.array(parities.view(np.int64)), lists]
+                    yield pa.RecordBatch.from_arrays(cols, names=["line", "fp", "keys"])
+                    some, n = [], 0
+
+    return df.select(text).mapInArrow(run, "line binary, fp bigint, keys array<bigint>")
+
+
 def _block(x: Column, k: int) -> Column:
     start = list(accumulate(WIDTHS, initial=0))[k]
     return F.shiftrightunsigned(x, start).bitwiseAND(F.lit((1 << WIDTHS[k]) - 1).cast("long"))
@@ -98,23 +163,18 @@ def _near(bits: int, similarity: float) -> Column:
     return (differ <= bits) & (short >= similarity * long)
 
 
-def shared_blocks(lines: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Of the rows (n, fp, words_n) those that share two blocks with another: key, n, fp, words_n, lead (the least row of the key).
+def _possible(similarity: float) -> Column:
+    """Whether the parities and lengths of x and y leave their similarity possible: an edit changes two parities at most."""
+    differ = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
+    short, long = F.least("x.words_n", "y.words_n"), F.greatest("x.words_n", "y.words_n")
+    edits = F.floor((1 - similarity) * long + 1e-9)
+    return (differ <= 2 * edits) & (long - short <= edits)
 
-    Of five blocks, two agree whenever three bits or fewer differ.
-    """
+
+def block_keys() -> Column:
+    """A key for each two blocks of fp. Of five blocks, two agree whenever three bits or fewer differ."""
     pairs = list(combinations(range(len(WIDTHS)), 2))
-    keys = [F.lit(k).cast("long") * (1 << 32) + _block(F.col("fp"), i) * (1 << 16) + _block(F.col("fp"), j) for k, (i, j) in enumerate(pairs)]
-    index = lines.select("n", "fp", "words_n", F.explode(F.array(*keys)).alias("key"))
-    several = stash(index.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "keys")
-    release(lines.sparkSession)
-    small = several.count() <= broadcast_rows  # 8 bytes each
-    shared = stash(index.join(F.broadcast(several) if small else several, "key"), "shared")
-    lead = shared.groupBy("key").agg(F.min(F.struct("n", "fp", "words_n")).alias("lead"))
-    out = stash(shared.join(lead, "key"), "led")
-    drop(several, shared)
-    release(lines.sparkSession)
-    return out
+    return F.array(*[F.lit(k).cast("long") * (1 << 32) + _block(F.col("fp"), i) * (1 << 16) + _block(F.col("fp"), j) for k, (i, j) in enumerate(pairs)])
 
 
 def word_distance(a: list, b: list) -> int:
@@ -153,50 +213,16 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [[s.split(b" ") for s in batch.column(batch.schema.get_field_index(c)).to_pylist()] for c in ("x", "y")]
-            keep = [word_distance(x, y) <= (1 - similarity) * max(len(x), len(y)) + 1e-9 for x, y in zip(*words, strict=True)]
+            keep = []
+            for x, y in zip(*words, strict=True):
+                edits = (1 - similarity) * max(len(x), len(y)) + 1e-9
+                keep.append(len({*x} ^ {*y}) <= 2 * edits and word_distance(x, y) <= edits)  # an edit changes two words of the sets at most
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # texts are long: batches of the default size would be too, so pairs come in more partitions when there are many
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, pairs.schema)
 
 
-def fuzzy_links(lines: DataFrame, texts_of, bits: int, similarity: float, broadcast_rows: int) -> DataFrame:
-    """Edges a, b between rows (n, fp, words_n) that connect whatever the similar pairs among them connect.
-
-    First every row is compared with the least row of each of its keys, and components are formed. Pairs
-    inside a component need no comparison; in each key the rows outside its least row's component are
-    then compared with all rows of other components. So a family of n variants costs about n comparisons.
-    """
-    shared = shared_blocks(lines, broadcast_rows)
-    stars = shared.select(F.struct("n", "fp", "words_n").alias("x"), F.col("lead").alias("y")).where("x.n <> y.n")
-    stars = stash(stars.where(_near(bits, similarity)).select(F.col("y.n").alias("a"), F.col("x.n").alias("b")).distinct(), "stars")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Texts are read for the rows of pairs only."""
-        texts = stash(texts_of(pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()), "texts")
-        out = stash(verified(pairs, texts, similarity), "alike")
-        drop(texts)
-        release(lines.sparkSession)
-        return out
-
-    first = alike(stars)
-    roots = stash(components(first).distinct(), "roots")
-    lead = roots.select(F.col("node").alias("lead_n"), F.col("root").alias("lead_root"))
-    rows = shared.withColumn("lead_n", F.col("lead.n")).drop("lead")
-    rows = rows.join(roots.withColumnRenamed("node", "n"), "n", "left").join(lead, "lead_n", "left")
-    rows = rows.select("key", "n", "fp", "words_n", F.coalesce("root", "n").alias("root"), F.coalesce("lead_root", "lead_n").alias("lead_root"))
-    rows = stash(rows, "rooted")
-    drop(shared, stars)
-    odd, every = rows.where("root <> lead_root").alias("x"), rows.alias("y")
-    once = (F.col("x.n") < F.col("y.n")) | (F.col("y.root") == F.col("y.lead_root"))
-    rest = odd.join(every, F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & once & _near(bits, similarity))
-    # the least rows of keys have been compared with all of theirs
-    rest = stash(rest.select(F.col("x.n").alias("a"), F.col("y.n").alias("b")).distinct(), "rest")
-    out = first if rest.isEmpty() else first.union(alike(rest))
-    drop(rows, roots, rest)
-    return out
-
-
 def duplicate_lines(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -205,6 +231,7 @@ def duplicate_lines(
     bits: int = 10,
     similarity: float = 0.8,
     broadcast_rows: int = 1_000_000,
+    complete: bool = False,
 ) -> DataFrame:
     """The lines to remove: doc (key of a row's id and text), removed (line numbers from 0, ascending).
 
@@ -213,8 +240,11 @@ def duplicate_lines(
     blocks and differ in ``bits`` at most and their edit similarity (1 - Levenshtein distance in words / words
     of the longer) is ``similarity`` or more. Of each connected group the first occurrence stays (by id, a null first, then
     key and line). Lines without words stay. Rows alike in id and text are one document.
+
+    With ``complete`` there are no fingerprints: every pair of lines of ``min_words`` words or more with the
+    edit similarity (0.7 or more) is linked, as such lines share a key (see ``_prefix``).
     """
-    occurrences = stash(occurrences_of(df, id_col, text, min_words), "lines")
+    occurrences = stash(occurrences_of(df, id_col, text, min_words, not complete), "lines")
     one = occurrences.groupBy("line").agg(
         F.min(F.struct("at", "doc", "nth")).alias("first"), F.min("fp").alias("fp"), F.min("words_n").alias("words_n")
     )
@@ -226,7 +256,24 @@ def duplicate_lines(
             wanted = F.broadcast(wanted)  # 24 bytes each
         return texts_of_lines(df, text).join(wanted, "line").dropDuplicates(["n"]).select("n", "norm")
 
-    links = fuzzy_links(one.where("fp is not null").select("n", "fp", "words_n"), texts_of, bits, similarity, broadcast_rows)
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Texts are read for the rows of pairs only."""
+        texts = stash(texts_of(pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()), "texts")
+        out = stash(verified(pairs, texts, similarity), "alike")
+        drop(texts)
+        release(df.sparkSession)
+        return out
+
+    if complete:
+        keyed = keys_of_lines(df, text, min_words, similarity).dropDuplicates(["line"])
+        keyed = stash(keyed.join(one.select("line", "n", "words_n"), "line").select("n", "fp", "words_n", "keys"), "keyed")
+        release(df.sparkSession)
+        shared = shared_keys(keyed, F.col("keys"), broadcast_rows)
+        drop(keyed)
+        links = connecting(shared, _possible(similarity), alike)
+    else:
+        shared = shared_keys(one.where("fp is not null").select("n", "fp", "words_n"), block_keys(), broadcast_rows)
+        links = connecting(shared, _near(bits, similarity), alike)
     roots = components(links).withColumnRenamed("node", "n")
     release(df.sparkSession)
 

@@ -341,6 +341,46 @@ def test_fuzzy_lines_against_brute_force(spark):
     assert got == {d: int(find(d) != d) for d in range(len(texts_))}
 
 
+def edited(rng, w, edits):
+    w = list(w)
+    for _ in range(edits):
+        i = rng.randrange(len(w))
+        w[i : i + rng.choice((0, 1, 1))] = rng.choice(([f"x{rng.randrange(100)}"], [f"x{rng.randrange(100)}"], []))
+    return w
+
+
+def test_lines_of_the_edit_similarity_share_a_key():
+    rng = random.Random(4)
+    for _ in range(4000):
+        a = [f"w{rng.randrange(rng.choice((3, 300)))}" for _ in range(rng.randint(5, 80))]
+        b = edited(rng, a, rng.randrange(len(a) // 4 + 1))
+        if len(b) >= 5 and lines.word_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+            parities, sizes, keys = lines._keys([[x.encode() for x in y] for y in (a, b)], 0.8)
+            assert set(keys[: sizes[0]].tolist()) & set(keys[sizes[0] :].tolist())
+            assert (int(parities[0]) ^ int(parities[1])).bit_count() <= 2 * lines.word_distance(a, b)
+
+
+def test_op8_finds_what_brute_force_on_edit_similarity_finds(spark, tmp_path):
+    rng = random.Random(9)
+    bases = [[f"w{rng.randrange(300)}" for _ in range(rng.randint(5, 50))] for _ in range(40)]
+    w = [edited(rng, b, rng.randrange(len(b) // 4 + 1)) for b in bases for _ in range(4)]
+    w = [x for x in w if len(x) >= 5]
+    root = list(range(len(w)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(w)), 2):
+        if lines.word_distance(w[a], w[b]) <= 0.2 * max(len(w[a]), len(w[b])) + 1e-9:
+            i, j = find(a), find(b)
+            root[max(i, j)] = min(i, j)
+    odd(spark, [" ".join(x) for x in w]).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_removed for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {d: int(find(d) != d) for d in range(len(w))}
+
+
 def test_word_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
