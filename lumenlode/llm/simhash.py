@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import stash
+from .pairs import connecting, shared_keys
+from .store import drop, stash
 
 #: Shingles whose bits are spread out at a time: 64 bytes each.
 _AT_ONCE = 1 << 15
@@ -145,58 +146,63 @@ def near_duplicates(
 
 
 def _similar(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b of fingerprints whose shingle sets (fp, s) have the Jaccard similarity."""
-    a, b = shingles.select(F.col("fp").alias("a"), F.col("s").alias("p")), shingles.select(F.col("fp").alias("b"), F.col("s").alias("q"))
+    """The pairs a, b of texts whose shingle sets (n, s) have the Jaccard similarity."""
+    a, b = shingles.select(F.col("n").alias("a"), F.col("s").alias("p")), shingles.select(F.col("n").alias("b"), F.col("s").alias("q"))
     both = F.size(F.array_intersect("p", "q"))
-    return pairs.join(a, "a").join(b, "b").where(both >= similarity * (F.size("p") + F.size("q") - both)).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(both >= similarity * (F.size("p") + F.size("q") - both) - 1e-9).select("a", "b")
 
 
 def one_of_each(
     df: DataFrame,
     words: int = 5,
     similarity: float = 0.8,
-    bits: int = 12,
-    segments: int = 3,
-    reach: tuple[int, int] = (1, 1),
     id_col: str = "doc_id",
     text: str = "text",
+    broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """``df`` with one row of each group of near copies, the one with the least id (a null first).
 
-    Fingerprints that differ in ``bits`` bits at most are candidates; they are linked if the sets of
-    shingles of a text of each have a Jaccard similarity of ``similarity`` or more, and groups are what
-    links connect. Equal fingerprints are one group; so are texts without words, null ones included. Of
-    repeated rows one is kept; an empty table gives none; all columns come back.
+    Texts are linked if their sets of shingles have a Jaccard similarity of ``similarity`` or more, or if
+    their fingerprints are equal, and groups are what links connect. Texts without words, null ones
+    included, are one group. Of repeated rows one is kept; an empty table gives none; all columns come back.
 
-    Each fingerprint is first compared with the least of its candidates; of the other candidate pairs
-    only those that would connect two groups are compared.
+    No similar pair is left out: of two such sets, of x and y shingles, the least (1 - similarity) x + 1
+    of the one and (1 - similarity) y + 1 of the other have one in common.
     """
     key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
     names = [F.col(f"`{c}`") for c in df.columns]
     rows = df.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), key.alias("key"), F.col(text).alias("t"))
     rows = stash(with_fingerprint(rows.withColumn("at", F.monotonically_increasing_id()), words, "t"), "rows")
-    pairs = stash(links(rows, bits, segments, reach), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    texts = rows.select("fp", F.col("row")[text].alias("t")).join(wanted, "fp").dropDuplicates(["fp"])
+    one = rows.groupBy("key").agg(F.min("at").alias("n"), F.min("fp").alias("fp"), F.min(F.struct("id", "at")).alias("least"))
+    one = stash(one, "texts")
+    texts = rows.select(F.col("at").alias("n"), F.col("row")[text].alias("t")).join(one.select("n"), "n", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = [np.unique(np.array(shingle_hashes(t.as_py(), words), np.uint64)).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["fp", "s"])
-
-    shingles = stash(texts.select("fp", "t").mapInArrow(sets, "fp bigint, s array<bigint>"), "shingles")
-    least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = stash(_similar(least, shingles, similarity), "links")
-    roots = stash(components(first), "roots")
-    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    rest = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    roots = components(first.union(_similar(rest, shingles, similarity)))
-
-    of_fp = rows.select("fp").distinct().join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    least = rows.groupBy("fp").agg(F.min(F.struct("id", "at")).alias("least"))
-    of_fp = of_fp.join(least, "fp")
-    stays = of_fp.groupBy("root").agg(F.min("least").alias("stays"))
-    stays = of_fp.join(stays, "root").where(F.col("least")["at"] == F.col("stays")["at"]).select("fp", F.col("stays")["at"].alias("at"))
-    return rows.join(stays, ["fp", "at"], "left_semi").select("row.*")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["n", "s"])
+
+    def shingles(of: DataFrame) -> DataFrame:
+        return of.select("n", "t").mapInArrow(sets, "n bigint, s array<bigint>")
+
+    size = F.size("s")
+    first = F.slice("s", F.lit(1), size - F.ceil(similarity * size - 1e-9).cast("int") + 1)
+    keyed = stash(shingles(texts).where(size > 0).select("n", size.alias("size"), first.alias("keys")), "keyed")
+    shared = shared_keys(keyed, F.col("keys"), broadcast_rows)
+    drop(keyed)
+    short, long = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Shingles are made for the texts of pairs only."""
+        wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
+        s = stash(shingles(texts.join(wanted, "n", "left_semi")), "shingles")
+        out = stash(_similar(pairs, s, similarity), "links")
+        drop(s)
+        return out
+
+    found = connecting(shared, short >= similarity * long - 1e-9, alike)
+    same = one.groupBy("fp").agg(F.min("n").alias("a")).join(one.select("fp", F.col("n").alias("b")), "fp").where("a <> b").select("a", "b")
+    roots = components(found.union(same)).withColumnRenamed("node", "n")
+    placed = one.join(roots, "n", "left").select("least", F.coalesce("root", "n").alias("root"))
+    stays = placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least")["at"].alias("at"))
+    return rows.join(stays, "at", "left_semi").select("row.*")

@@ -256,6 +256,21 @@ def test_one_of_each_keeps_the_least_of_near_copies(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == [0, 4]
 
 
+def test_one_of_each_finds_every_pair_just_above_the_similarity(spark):
+    rng = random.Random(8)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts_ = []
+    while len(texts_) < 120:
+        a = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 300))]
+        b = list(a)
+        for i in rng.sample(range(len(a)), len(a) // 40):
+            b[i] = "changed"
+        x, y = shingles(a), shingles(b)
+        if 0.8 <= len(x & y) / len(x | y) < 0.85:
+            texts_ += [" ".join(a), " ".join(b)]
+    assert sorted(r.doc_id for r in simhash.one_of_each(odd(spark, texts_)).collect()) == list(range(0, 120, 2))
+
+
 def test_targets_fill_up():
     got = mixing.targets({"a": 10, "b": 100, "c": 1000}, {"a": 1, "b": 2, "c": 3})
     assert got["a"] == 30 and got["b"] == 300 and got["c"] == pytest.approx(780)
