@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sentences of well-known licences and notices, in normalised form (lower case, runs of other characters as one blank).
@@ -49,35 +49,26 @@ RULES = [
     ("proprietary", "notice", [22]),
 ]
 
-#: Words of 64 bits in the filter that is asked before the table of sentences.
-_WORDS = 1024
-
-
 def sentences(text: Column) -> Column:
     """Normalised sentences: cut after . ! ? and white space, and at line ends; empty ones left out."""
     cut = F.split(F.regexp_replace(text, r"([.!?])[\x20\x09-\x0D]+", "$1\n"), "\n")
     return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))), lambda s: s != "")
 
 
-def identify(spark: SparkSession, normalised: Column, known: list[str]) -> Column:
-    """The identifier (from 1) of each known sentence, in order; others are left out.
+def identify(text: Column, known: list[str]) -> Column:
+    """The identifier (from 1) of each known sentence, in order, the longest where several begin.
 
-    A bit per hash value is asked first, so that the table is searched for few sentences only.
+    A sentence may be wrapped over lines, with marks of comments before them, and be part of a longer one;
+    only . ! ? before white space end it.
     """
-    spread = lambda x: F.xxhash64(x).bitwiseAND(F.lit(64 * _WORDS - 1))
-    bits = [0] * _WORDS
-    for h in spark.range(1).select(*[spread(F.lit(s)) for s in known]).first() if known else ():
-        bits[h >> 6] |= 1 << (h & 63)
-    signed = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in bits)
-    words = F.split(F.lit(signed), ",").cast("array<bigint>")
+    if not known:
+        return F.array().cast("array<int>")
+    marked = F.regexp_replace(F.translate(text, "\x01", " "), r"([.!?])[\x20\x09-\x0D]+", "$1\x01")
+    normalised = F.regexp_replace(F.lower(marked), "[^a-z0-9\x01]+", " ")
+    longest = sorted(known, key=len, reverse=True)
+    found = F.regexp_extract_all(normalised, F.lit(f"(?<![a-z0-9])(?:{'|'.join(longest)})(?![a-z0-9])"), F.lit(0))
     table = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*[F.lit(i + 1) for i in range(len(known))]))
-
-    def maybe(s: Column) -> Column:
-        h = spread(s)
-        return F.getbit(F.get(words, F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-    ids = F.transform(F.filter(normalised, maybe), lambda s: F.element_at(table, s))
-    return F.filter(ids, lambda i: i.isNotNull())
+    return F.transform(found, lambda s: F.element_at(table, s))
 
 
 def _matches(sequence: Column, ids: list[int]) -> Column:
@@ -93,13 +84,14 @@ def scan(
     ``sequence`` holds the identifiers found, as ",1,5,"; ``licence`` and ``kind`` are of the first rule
     that matches (null if none), ``licences`` all licences with a matching rule, in the rules' order. A
     null text counts as empty and has none. Every row gives one row, repeated ones too; an empty table
-    gives none. Nothing is shuffled; the tables of sentences and rules are part of the plan.
+    gives none. ``n_sentences`` counts line ends as ends of sentences, ``sequence`` does not. Nothing is shuffled; the tables of sentences and rules are part of the plan.
     """
+    t = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]).alias("row"),
-        sentences(F.coalesce(F.col(text), F.lit(""))).alias("s"),
+        F.size(sentences(t)).cast("long").alias("n_sentences"),
+        identify(t, known).alias("ids"),
     )
-    rows = rows.select("row", F.size("s").cast("long").alias("n_sentences"), identify(df.sparkSession, F.col("s"), known).alias("ids"))
     joined = F.when(F.size("ids") > 0, F.concat(F.lit(","), F.array_join(F.col("ids").cast("array<string>"), ","), F.lit(","))).otherwise("")
     rows = rows.select("row", "n_sentences", joined.alias("sequence"))
     found = [F.when(_matches(F.col("sequence"), ids), F.struct(F.lit(name).alias("licence"), F.lit(kind).alias("kind"))) for name, kind, ids in rules]

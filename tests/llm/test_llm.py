@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import textwrap
 import zlib
 
 import duckdb
@@ -210,6 +211,32 @@ def test_licences(spark):
     assert got == {0: ("Apache-2.0", "header", "Apache-2.0"), 1: ("MIT", "notice", "MIT,proprietary"), 2: (None, None, ""), 3: (None, None, "")}
 
 
+def test_wrapped_licences(spark):
+    apache = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License."""
+    wrap = lambda *ids: "\n".join(textwrap.fill(licences.SENTENCES[i - 1] + ".", 72, initial_indent=" * ", subsequent_indent=" * ") for i in ids)
+    inside = "This file is released under the MIT License.\nAll rights\nreserved"
+    cut = "Licensed under the Apache License. Version 2.0"
+    got = {r.row.doc_id: (r.sequence, r.licence, r.kind) for r in licences.scan(odd(spark, [apache, wrap(8, 9, 10), wrap(18, 19, 20, 21), wrap(12, 13, 14), inside, cut])).collect()}
+    assert got == {
+        0: (",2,3,4,5,6,", "Apache-2.0", "header"),
+        1: (",8,9,10,", "MIT", "text"),
+        2: (",18,19,20,21,", "BSD-3-Clause", "text"),
+        3: (",12,13,14,", "GPL-3.0-or-later", "header"),
+        4: (",7,22,", "MIT", "notice"),
+        5: ("", None, None),
+    }
+
+
 def test_fingerprints_and_components(spark, texts):
     def fp(t):
         w = (t or "").encode().lower().split()
