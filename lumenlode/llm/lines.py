@@ -268,8 +268,7 @@ def duplicate_lines(
         keyed = keys_of_lines(df, text, min_words, similarity).dropDuplicates(["line"])
         keyed = stash(keyed.join(one.select("line", "n", "words_n"), "line").select("n", "fp", "words_n", "keys"), "keyed")
         release(df.sparkSession)
-        shared = shared_keys(keyed, F.col("keys"), broadcast_rows)
-        drop(keyed)
+        shared = shared_keys(keyed, F.col("keys"), broadcast_rows, passes=4)
         links = connecting(shared, _possible(similarity), alike)
     else:
         shared = shared_keys(one.where("fp is not null").select("n", "fp", "words_n"), block_keys(), broadcast_rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,20 +12,32 @@ from .graph import components
 from .store import drop, release, stash
 
 
-def shared_keys(rows: DataFrame, keys: Column, broadcast_rows: int) -> DataFrame:
-    """Of the rows (n, others, and maybe keys) those that share a key with another: key, n and others, lead (the least row of the key)."""
-    names = [c for c in rows.columns if c != "keys"]
-    index = rows.select("n", F.explode(keys).alias("key"))
-    several = stash(index.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "keys")
-    release(rows.sparkSession)
-    small = several.count() <= broadcast_rows  # 8 bytes each
-    shared = stash(index.join(F.broadcast(several) if small else several, "key"), "shared")
-    drop(several)
-    release(rows.sparkSession)
+def shared_keys(rows: DataFrame, keys: Column, broadcast_rows: int, passes: int = 1) -> DataFrame:
+    """Of the rows (n, others, and maybe keys) those that share a key with another: key, n and others, lead (the least row of the key).
+
+    The keys are taken in so many ``passes``, each with its share of them, so that less lies on disk at a
+    time. A stash with keys is dropped.
+    """
+    spark, names = rows.sparkSession, [c for c in rows.columns if c != "keys"]
+    parts = []
+    for k in range(passes):
+        index = rows.select("n", F.explode(keys).alias("key"))
+        index = index.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == k) if passes > 1 else index
+        several = stash(index.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "keys")
+        release(spark)
+        small = several.count() <= broadcast_rows  # 8 bytes each
+        parts.append(stash(index.join(F.broadcast(several) if small else several, "key"), "shared"))
+        drop(several)
+        release(spark)
+    shared = reduce(DataFrame.union, parts)
+    if "keys" in rows.columns:
+        slim = stash(rows.select(*names), "rows")
+        drop(rows)
+        rows = slim
     lead = shared.groupBy("key").agg(F.min("n").alias("n")).join(rows.select(*names), "n").select("key", F.struct(*names).alias("lead"))
     out = stash(shared.join(rows.select(*names), "n").select("key", *names).join(lead, "key"), "led")
-    drop(shared)
-    release(rows.sparkSession)
+    drop(*parts)
+    release(spark)
     return out
 
 

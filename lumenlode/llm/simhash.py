@@ -189,7 +189,6 @@ def one_of_each(
     first = F.slice("s", F.lit(1), size - F.ceil(similarity * size - 1e-9).cast("int") + 1)
     keyed = stash(shingles(texts).where(size > 0).select("n", size.alias("size"), first.alias("keys")), "keyed")
     shared = shared_keys(keyed, F.col("keys"), broadcast_rows)
-    drop(keyed)
     short, long = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
 
     def alike(pairs: DataFrame) -> DataFrame:
