@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .pairs import connecting, shared_keys
-from .store import drop, stash
+from .store import drop, release, stash
 
 #: Shingles whose bits are spread out at a time: 64 bytes each.
 _AT_ONCE = 1 << 15
@@ -179,24 +179,36 @@ def one_of_each(
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [np.unique(np.array(shingle_hashes(t.as_py(), words), np.uint64)).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["n", "s"])
+            hashes = [np.unique(np.array(shingle_hashes(t.as_py(), words), np.uint64)) for t in b.column(1)]
+            odd = [np.bincount((h & np.uint64(1023)).astype(np.int64), minlength=1024) & 1 for h in hashes]
+            marks = [np.packbits(x.astype(np.uint8)).view(np.int64) for x in odd]
+            lists = [pa.array([h.view(np.int64) for h in hashes], pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["n", "s", "parities"])
 
     def shingles(of: DataFrame) -> DataFrame:
-        return of.select("n", "t").mapInArrow(sets, "n bigint, s array<bigint>")
+        return of.select("n", "t").mapInArrow(sets, "n bigint, s array<bigint>, parities array<bigint>")
 
     size = F.size("s")
     first = F.slice("s", F.lit(1), size - F.ceil(similarity * size - 1e-9).cast("int") + 1)
-    keyed = stash(shingles(texts).where(size > 0).select("n", size.alias("size"), first.alias("keys")), "keyed")
-    shared = shared_keys(keyed, F.col("keys"), broadcast_rows)
+    keyed = stash(shingles(texts).where(size > 0).select("n", size.alias("size"), "parities", first.alias("keys")), "keyed")
+    marks = stash(keyed.select("n", "size", "parities"), "parities")
+    slim = keyed.select("n", "size", "keys")
+    slim._stash_path = keyed._stash_path
+    shared = shared_keys(slim, F.col("keys"), broadcast_rows)
     short, long = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """Shingles are made for the texts of pairs only."""
+        """Shingles are made only for the texts of pairs whose parities leave the similarity possible: a shingle that only one has changes one of 1024."""
+        x, y = (marks.select(F.col("n").alias(c), F.col("size").alias(f"size_{c}"), F.col("parities").alias(f"parities_{c}")) for c in "ab")
+        differ = F.aggregate(F.zip_with("parities_a", "parities_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+        most = (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-9
+        pairs = stash(pairs.join(x, "a").join(y, "b").where(differ <= most).select("a", "b"), "possible")
+        release(pairs.sparkSession)
         wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
         s = stash(shingles(texts.join(wanted, "n", "left_semi")), "shingles")
         out = stash(_similar(pairs, s, similarity), "links")
-        drop(s)
+        drop(s, pairs)
+        release(out.sparkSession)
         return out
 
     found = connecting(shared, short >= similarity * long - 1e-9, alike)
