@@ -1,11 +1,9 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups."""
+"""Fuzzy line deduplication: normalised lines, keys that similar lines must share, edit similarity, connected groups."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .pairs import connecting, shared_keys
-from .simhash import fingerprints
+from .pairs import BUCKET, Ranks, candidates, connecting, packed, ranks, record
 from .store import drop, release, stash
 
-#: Widths of the blocks that a fingerprint is cut into; lines are compared if two blocks agree.
-WIDTHS = (13, 13, 13, 13, 12)
+#: Words whose keys are made at a time.
+AT_ONCE = 1 << 20
+#: Records of the index of lines.
+KIND = record(marked=True, wide=False)
 
 
 #: Normal form: ASCII letters lower, other ASCII but digits and line ends blank; runs of blanks then become one.
@@ -42,54 +41,30 @@ def _digest(norm: bytes) -> bytes:
     return hashlib.md5(norm, usedforsecurity=False).digest()
 
 
-def occurrences_of(df: DataFrame, id_col: str, text: str, min_words: int, with_fp: bool = True) -> DataFrame:
-    """Each line with a word: at, doc, nth, line (md5 of the normal form), words_n, fp (of its pairs of words in sequence, as single words are too often the same; null for fewer than ``min_words`` words, or without ``with_fp``)."""
+def occurrences_of(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Each line with a word: at, doc, nth, line (md5 of the normal form), words_n."""
     t, key = _text_and_key(id_col, text)
     rows = df.select(F.col(id_col).alias("at"), key.alias("doc"), t.alias("t"))
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    schema = rows.select("at", "doc", null("int", "nth"), null("binary", "line"), null("int", "words_n"), null("long", "fp")).schema
+    schema = rows.select("at", "doc", null("int", "nth"), null("binary", "line"), null("int", "words_n")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = xxhash.xxh64_intdigest
         for b in batches:
-            row, nth, line, size, fp, hashes, todo, n = [], [], [], [], [], [], [], 0
+            row, nth, line, size = [], [], [], []
             for i, t in enumerate(b.column(2)):
                 for k, norm in enumerate(normalised(t.as_py())):
                     if norm:
-                        words = norm.split(b" ")
                         row.append(i)
                         nth.append(k)
                         line.append(_digest(norm))
-                        size.append(len(words))
-                        fp.append(None)
-                        if with_fp and len(words) >= min_words:
-                            todo.append(len(fp) - 1)
-                            hashes.append([h(x + b" " + y, 42) for x, y in zip(words, words[1:])])
-                            n += len(words)
-                if n >= 1 << 17 or i == b.num_rows - 1:
-                    for k, f in zip(todo, fingerprints(hashes).astype("<u8").view("<i8").tolist(), strict=True):
-                        fp[k] = f
-                    hashes, todo, n = [], [], 0
+                        size.append(norm.count(b" ") + 1)
             taken = pa.array(row, pa.int64())
-            cols = [b.column(0).take(taken), b.column(1).take(taken), pa.array(nth, pa.int32()), pa.array(line, pa.binary()), pa.array(size, pa.int32()), pa.array(fp, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["at", "doc", "nth", "line", "words_n", "fp"])
+            cols = [b.column(0).take(taken), b.column(1).take(taken), pa.array(nth, pa.int32()), pa.array(line, pa.binary()), pa.array(size, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["at", "doc", "nth", "line", "words_n"])
 
     return rows.mapInArrow(run, schema)
 
 
-def texts_of_lines(df: DataFrame, text: str) -> DataFrame:
-    """line and norm of every line with a word, once for each batch that has it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = {x for t in b.column(0) for x in normalised(t.as_py()) if x}
-            cols = [pa.array(map(_digest, found), pa.binary()), pa.array(list(found), pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["line", "norm"])
-
-    return df.select(text).mapInArrow(run, "line binary, norm binary")
-
-
-@lru_cache(1 << 16)
 def _prefix(n: int, similarity: float) -> int:
     """Of the n - 1 pairs of words of a line of n words, so many must be keys for every similar line to share one.
 
@@ -98,7 +73,7 @@ def _prefix(n: int, similarity: float) -> int:
     is the same for all lines, have one in common.
     """
     most, m = 1, n
-    while m - (d := int((1 - similarity) * m + 1e-9)) <= n:
+    while m - (d := int((1 - similarity) * m + 1e-9)) <= n and m <= n + 2 / (1 - similarity):  # beyond, the least is long past
         most, m = max(most, 2 * d - (m - n) + 1), m + 1
     return most
 
@@ -108,73 +83,71 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _keys(lines: list[list[bytes]], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines of words: the parities of 64 counters of words, the number of keys, and the keys in sequence.
+def _hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of the lines, and each line's number of words."""
+    each = [x.split(b" ") for x in lines]
+    n = np.fromiter(map(len, each), np.int64, len(each))
+    return np.fromiter((xxhash.xxh64_intdigest(w) for x in each for w in x), np.uint64, int(n.sum())), n
 
-    Keys are the pairs of words with most letters, as those are the least common, each with its number among the same pairs of the line.
-    """
-    flat = [w for x in lines for w in x]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
-    size, n = np.fromiter(map(len, flat), np.int64, len(flat)), np.fromiter(map(len, lines), np.int64, len(lines))
-    line = np.repeat(np.arange(len(lines)), n)
-    odd = np.bincount(line * 64 + (h & np.uint64(63)).astype(np.int64), minlength=64 * len(lines)).reshape(-1, 64) & 1
-    parities = (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+def _pairs_of(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of neighbouring words of the lines, and the line of each."""
+    line = np.repeat(np.arange(len(n)), n)
     inside = line[1:] == line[:-1]
-    pair, letters, line = _mixed(_mixed(h[:-1]) + h[1:])[inside], (size[:-1] + size[1:])[inside], line[1:][inside]
-    order = np.lexsort((pair, -letters, line))
-    pair, line, at = pair[order], line[order], np.arange(len(order))
-    new_line = np.diff(line, prepend=-1) != 0
+    return _mixed(_mixed(h[:-1]) + h[1:])[inside], line[1:][inside]
+
+
+def grams_of(texts: list[str | None], min_words: int) -> np.ndarray:
+    """The pairs of words of the different lines of ``min_words`` words or more of some texts."""
+    found = list({x for t in texts for x in normalised(t) if x.count(b" ") >= min_words - 1 and x})
+    return _pairs_of(*_hashes(found))[0]
+
+
+def _keys(lines: list[bytes], similarity: float, ranked: Ranks) -> tuple[np.ndarray, ...]:
+    """Keys of some lines, the members and the line of each, and the lines' words and marks.
+
+    Keys are the first of a line's pairs of words (see ``_prefix``) in the order of rank and hash, each with
+    its number among the same pairs of the line. Marks are the parities of 64 counters of words: an edit
+    changes two of them at most.
+    """
+    h, n = _hashes(lines)
+    line = np.repeat(np.arange(len(n)), n)
+    odd = np.bincount(line * 64 + (h & np.uint64(63)).astype(np.int64), minlength=64 * len(n)).reshape(-1, 64) & 1
+    marks = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
+    pair, line = _pairs_of(h, n)
+    order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (ranked(pair).astype(np.uint64) << np.uint64(40)) | (pair >> np.uint64(24)))
+    pair, at = pair[order], np.arange(len(order))
+    new_line = np.diff(line, prepend=-1) != 0  # lines are in sequence before and after
+    sizes, of_size = np.unique(n, return_inverse=True)
+    wanted = np.array([_prefix(k, similarity) for k in sizes.tolist()], np.int64)[of_size]
+    keep = at - np.maximum.accumulate(np.where(new_line, at, 0)) < wanted[line]
     new_pair = new_line | (np.diff(pair, prepend=np.uint64(0)) != 0)
     nth = at - np.maximum.accumulate(np.where(new_pair, at, 0))
-    wanted = np.fromiter((_prefix(k, similarity) for k in n.tolist()), np.int64, len(n))
-    keep = at - np.maximum.accumulate(np.where(new_line, at, 0)) < wanted[line]
-    return parities, np.bincount(line[keep], minlength=len(lines)), _mixed(pair + nth.astype(np.uint64))[keep]
+    return _mixed(pair + nth.astype(np.uint64))[keep], ranked.members(pair[keep]), line[keep], n, marks
 
 
-def keys_of_lines(df: DataFrame, text: str, min_words: int, similarity: float) -> DataFrame:
-    """line, fp (parities of counters of its words) and keys of every line of ``min_words`` words, once for each batch that has it."""
+def index_of(df: DataFrame, text: str, min_words: int, similarity: float, ranked: Ranks, buckets: int, passes: int, nth_pass: int) -> DataFrame:
+    """bucket and blob: the records of every line of ``min_words`` words or more, once for each batch that has it. A line's id is the head of its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            some, n = [], 0
             found = list({x for t in b.column(0) for x in normalised(t.as_py()) if x.count(b" ") >= min_words - 1 and x})
+            some, n, parts = [], 0, []
             for i, x in enumerate(found):
                 some.append(x)
                 n += x.count(b" ") + 1
-                if n >= 1 << 17 or i == len(found) - 1:
-                    parities, sizes, keys = _keys([x.split(b" ") for x in some], similarity)
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys.view(np.int64)))
-                    cols = [pa.array(map(_digest, some), pa.binary()), pa.array(parities.view(np.int64)), lists]
-                    yield pa.RecordBatch.from_arrays(cols, names=["line", "fp", "keys"])
+                if n >= AT_ONCE or i == len(found) - 1:
+                    keys, members, line, sizes, marks = _keys(some, similarity, ranked)
+                    ids = np.frombuffer(b"".join(_digest(x)[:8] for x in some), "<i8")
+                    parts.append(packed(KIND, buckets, passes, nth_pass, keys, members, line, id=ids, size=sizes, marks=marks))
                     some, n = [], 0
+            yield from parts
 
-    return df.select(text).mapInArrow(run, "line binary, fp bigint, keys array<bigint>")
-
+    return df.select(text).mapInArrow(run, "bucket bigint, blob binary")
 
-def _block(x: Column, k: int) -> Column:
-    start = list(accumulate(WIDTHS, initial=0))[k]
-    return F.shiftrightunsigned(x, start).bitwiseAND(F.lit((1 << WIDTHS[k]) - 1).cast("long"))
 
-
-def _near(bits: int, similarity: float) -> Column:
-    """Whether the fingerprints and lengths of x and y leave their similarity possible."""
-    differ = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
-    short, long = F.least("x.words_n", "y.words_n"), F.greatest("x.words_n", "y.words_n")
-    return (differ <= bits) & (short >= similarity * long)
-
-
-def _possible(similarity: float) -> Column:
-    """Whether the parities and lengths of x and y leave their similarity possible: an edit changes two parities at most."""
-    differ = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
-    short, long = F.least("x.words_n", "y.words_n"), F.greatest("x.words_n", "y.words_n")
-    edits = F.floor((1 - similarity) * long + 1e-9)
-    return (differ <= 2 * edits) & (long - short <= edits)
-
-
-def block_keys() -> Column:
-    """A key for each two blocks of fp. Of five blocks, two agree whenever three bits or fewer differ."""
-    pairs = list(combinations(range(len(WIDTHS)), 2))
-    return F.array(*[F.lit(k).cast("long") * (1 << 32) + _block(F.col("fp"), i) * (1 << 16) + _block(F.col("fp"), j) for k, (i, j) in enumerate(pairs)])
+def _edits(similarity: float):
+    return lambda size: np.floor((1 - similarity) * size + 1e-9).astype(np.int64)
 
 
 def word_distance(a: list, b: list) -> int:
@@ -206,77 +179,120 @@ def word_distance(a: list, b: list) -> int:
     return score
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose texts (n, norm) have the edit similarity: 1 - distance / words of the longer."""
-    a, b = texts.select(F.col("n").alias("a"), F.col("norm").alias("x")), texts.select(F.col("n").alias("b"), F.col("norm").alias("y"))
+def signature(words: list[bytes]) -> bytes:
+    """Parities of 512 counters of words, of which an edit changes two at most."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return np.packbits((np.bincount(((h >> np.uint64(32)) & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
+
+
+def wanted_lines(df: DataFrame, text: str, ids: DataFrame) -> DataFrame:
+    """id, line, words_n, marks (see ``signature``) and norm of the lines whose id is in ``ids``, each line once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = list({x for t in b.column(0) for x in normalised(t.as_py()) if x})
+            digests = [_digest(x) for x in found]
+            cols = [pa.array(np.frombuffer(b"".join(d[:8] for d in digests), "<i8")), pa.array(digests, pa.binary()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "line", "norm"])
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [x.split(b" ") for x in b.column(2).to_pylist()]
+            marks = np.frombuffer(b"".join(map(signature, words)), "<i8").reshape(-1, 8)
+            cols = [pa.array(list(map(len, words)), pa.int32()), *[pa.array(marks[:, k].copy()) for k in range(8)]]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=["id", "line", "norm", "words_n", *[f"m{k}" for k in range(8)]])
+
+    once = df.select(text).mapInArrow(run, "id bigint, line binary, norm binary").join(ids, "id").dropDuplicates(["line"]).select("id", "line", "norm")
+    return once.mapInArrow(signed, "id bigint, line binary, norm binary, words_n int, " + ", ".join(f"m{k} bigint" for k in range(8)))
+
+
+def possible(found: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of lines x < y whose ids are a pair of ``found`` and whose lengths and signatures leave the similarity possible."""
+    names = ["line", "words_n", *[f"m{k}" for k in range(8)]]
+    x, y = (lines.select(F.col("id").alias(c), F.struct(*names).alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    differ = sum((F.bit_count(F.col(f"x.m{k}").bitwiseXOR(F.col(f"y.m{k}"))) for k in range(8)), F.lit(0))
+    short, long = F.least("x.words_n", "y.words_n"), F.greatest("x.words_n", "y.words_n")
+    edits = F.floor((1 - similarity) * long + 1e-9)
+    met = found.join(x, "a").join(y, "b").where((differ <= 2 * edits) & (long - short <= edits) & (F.col("x.line") != F.col("y.line")))
+    return met.select(F.least("x.line", "y.line").alias("x"), F.greatest("x.line", "y.line").alias("y")).distinct()
+
+
+def verified(found: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs x, y of lines whose texts (line, norm) have the edit similarity: 1 - distance / words of the longer."""
+    a, b = texts.select(F.col("line").alias("x"), F.col("norm").alias("p")), texts.select(F.col("line").alias("y"), F.col("norm").alias("q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [[s.split(b" ") for s in batch.column(batch.schema.get_field_index(c)).to_pylist()] for c in ("x", "y")]
+            words = [[s.split(b" ") for s in batch.column(batch.schema.get_field_index(c)).to_pylist()] for c in ("p", "q")]
             keep = []
             for x, y in zip(*words, strict=True):
                 edits = (1 - similarity) * max(len(x), len(y)) + 1e-9
                 keep.append(len({*x} ^ {*y}) <= 2 * edits and word_distance(x, y) <= edits)  # an edit changes two words of the sets at most
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    # texts are long: batches of the default size would be too, so pairs come in more partitions when there are many
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, pairs.schema)
+    return found.join(a, "x").join(b, "y").select("x", "y", "p", "q").mapInArrow(run, "x binary, y binary")
 
 
 def duplicate_lines(
     df: DataFrame,
     id_col: str = "doc_id",
     text: str = "text",
-    min_words: int = 5,
-    bits: int = 10,
+    min_words: int = 4,
     similarity: float = 0.8,
     broadcast_rows: int = 1_000_000,
-    complete: bool = False,
+    passes: int = 2,
 ) -> DataFrame:
     """The lines to remove: doc (key of a row's id and text), removed (line numbers from 0, ascending).
 
     Lines are equal if their normal forms are (A-Z lowered, runs of other ASCII than letters and digits as
-    one blank); lines of ``min_words`` words or more are also linked if their fingerprints share two
-    blocks and differ in ``bits`` at most and their edit similarity (1 - Levenshtein distance in words / words
-    of the longer) is ``similarity`` or more. Of each connected group the first occurrence stays (by id, a null first, then
-    key and line). Lines without words stay. Rows alike in id and text are one document.
+    one blank); lines of ``min_words`` words or more are also linked if their edit similarity (1 - Levenshtein
+    distance in words / words of the longer) is ``similarity`` (0.7 or more) or more. Every such pair is found:
+    they share a key (see ``_prefix``). At 0.8 a line of three words or fewer has no other like it. Of each
+    connected group the first occurrence stays (by id, a null first, then key and line). Lines without
+    words stay. Rows alike in id and text are one document.
 
-    With ``complete`` there are no fingerprints: every pair of lines of ``min_words`` words or more with the
-    edit similarity (0.7 or more) is linked, as such lines share a key (see ``_prefix``).
+    The index of keys is made in ``passes`` parts, one after the other, so that less lies on disk at a time.
     """
-    occurrences = stash(occurrences_of(df, id_col, text, min_words, not complete), "lines")
-    one = occurrences.groupBy("line").agg(
-        F.min(F.struct("at", "doc", "nth")).alias("first"), F.min("fp").alias("fp"), F.min("words_n").alias("words_n")
-    )
-    one = stash(one.withColumn("n", F.monotonically_increasing_id()), "distinct")
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        wanted = one.join(wanted, "n", "left_semi").select("line", "n")
-        if wanted.count() <= broadcast_rows:
-            wanted = F.broadcast(wanted)  # 24 bytes each
-        return texts_of_lines(df, text).join(wanted, "line").dropDuplicates(["n"]).select("n", "norm")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Texts are read for the rows of pairs only."""
-        texts = stash(texts_of(pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()), "texts")
-        out = stash(verified(pairs, texts, similarity), "alike")
-        drop(texts)
-        release(df.sparkSession)
+    spark = df.sparkSession
+    occurrences = stash(occurrences_of(df, id_col, text), "lines")
+    one = stash(occurrences.groupBy("line").agg(F.min(F.struct("at", "doc", "nth")).alias("first"), F.first("words_n").alias("words_n")), "distinct")
+    words = one.where(F.col("words_n") >= min_words).agg(F.sum("words_n")).first()[0] or 0
+    ranked = ranks(df, text, lambda texts: grams_of(texts, min_words))
+    buckets = max(16, int(words * (1 - similarity) * 2 / passes / BUCKET))
+    met = candidates(lambda k: index_of(df, text, min_words, similarity, ranked, buckets, passes, k), KIND, passes, _edits(similarity), similarity)
+
+    ids = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
+    ids = stash(ids, "ids")
+    n = ids.count()
+    lines = stash(wanted_lines(df, text, F.broadcast(ids) if n <= broadcast_rows else ids), "wanted")  # 8 bytes each
+    drop(ids)
+    release(spark)
+
+    def alike(found: DataFrame) -> DataFrame:
+        near = stash(possible(found, lines, similarity), "possible")
+        out = stash(verified(near, lines.select("line", "norm"), similarity), "alike")
+        drop(near)
+        release(spark)
         return out
 
-    if complete:
-        keyed = keys_of_lines(df, text, min_words, similarity).dropDuplicates(["line"])
-        keyed = stash(keyed.join(one.select("line", "n", "words_n"), "line").select("n", "fp", "words_n", "keys"), "keyed")
-        release(df.sparkSession)
-        shared = shared_keys(keyed, F.col("keys"), broadcast_rows, passes=4)
-        links = connecting(shared, _possible(similarity), alike)
-    else:
-        shared = shared_keys(one.where("fp is not null").select("n", "fp", "words_n"), block_keys(), broadcast_rows)
-        links = connecting(shared, _near(bits, similarity), alike)
-    roots = components(links).withColumnRenamed("node", "n")
-    release(df.sparkSession)
-
-    placed = one.join(roots, "n", "left").select("line", "first", F.coalesce("root", "n").alias("root"))
+    same = {}
+
+    def alike_ids(found: DataFrame) -> DataFrame:
+        """As ids, for ``connecting``; the lines themselves are put by."""
+        out = alike(found)
+        same[len(same)] = out
+        x, y = (lines.select(F.col("line").alias(c), F.col("id").alias(i)) for c, i in (("x", "a"), ("y", "b")))
+        return out.join(x, "x").join(y, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    connecting(met, alike_ids)
+    edges = same[0].select(F.col("x").alias("a"), F.col("y").alias("b"))
+    for k in range(1, len(same)):
+        edges = edges.union(same[k])
+    roots = components(edges).withColumnRenamed("node", "line")
+    drop(lines, *same.values())
+    release(spark)
+
+    placed = one.join(roots, "line", "left").select("line", "first", F.coalesce("root", "line").alias("root"))
     stays = placed.groupBy("root").agg(F.min("first").alias("stays"))
     of_line = placed.select("line", "root").join(stays, "root").select("line", "stays")
     gone = occurrences.select("line", F.struct("at", "doc", "nth").alias("here")).join(of_line, "line").where(~F.col("here").eqNullSafe(F.col("stays")))
@@ -285,15 +301,16 @@ def duplicate_lines(
     )
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", name: str = "kept_text", **options) -> DataFrame:
-    """``df`` with the columns ``name`` (the text without its duplicate lines), n_lines and n_removed.
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
+    """Each row of ``df`` without its duplicate lines: row (struct of ``keep``, all columns by default), kept_text, n_lines, n_removed.
 
-    A null text counts as empty and has one line, which stays; an empty table gives no rows. Every row
-    comes back, with all its columns, whatever their names but these three.
+    A null text counts as empty and has one line, which stays; a text of one very long line is a line like
+    any other; an empty table gives no rows. Every row comes back, its columns named like anything.
     """
     removed = duplicate_lines(df, id_col, text, **options)
     t, key = _text_and_key(id_col, text)
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("doc"), F.split(t, "\n").alias("lines"))
+    row = F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)])
+    rows = df.select(row.alias("row"), key.alias("doc"), F.split(t, "\n").alias("lines"))
     rows = rows.join(removed, "doc", "left")
     n = F.size("lines")
     # the runs of lines between one removed line and the next
@@ -304,6 +321,6 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", name:
     )
     kept = F.when(F.col("removed").isNull(), F.col("lines")).otherwise(F.flatten(gaps))
     return rows.select(
-        "row.*", F.array_join(kept, "\n").alias(name), n.cast("long").alias("n_lines"),
+        "row", F.array_join(kept, "\n").alias("kept_text"), n.cast("long").alias("n_lines"),
         F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"),
     )

@@ -1,70 +1,222 @@
-"""Links between rows that share a key, by few comparisons."""
+"""Pairs of items that share a key of their prefixes: an exact similarity join whose index travels as packed records.
+
+Every item (a line, a text) is a set of grams, and similar items have many grams in common. All sets are
+put in one order; then two similar sets share a gram among the first few of each (their prefixes), so that
+only these are indexed. Any order will do, and the best one puts common grams last: a gram's rank is the
+count of its slot in a sample of bounded size. The sample decides how many pairs are compared, never which
+are found.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .store import drop, release, stash
 
+#: Slots of the table of ranks (a byte each), those that are kept at most, and documents that are sampled at most.
+SLOTS, KEPT, SAMPLE = 1 << 24, 300_000, 20_000
+#: Groups of a key beyond this size are compared with a few leaders first.
+WIDE = 64
+#: Keys that one task holds, about; members of a common key that one task holds at most, by estimate.
+BUCKET, HOT = 1 << 20, 500_000
+
+
+class Ranks:
+    """How common grams are, from 0 (rare) to 15, by their slots."""
+
+    def __init__(self, slots: np.ndarray, counts: np.ndarray, scale: float):
+        self.slots, self.counts, self.scale = slots, counts, scale
+
+    def _table(self) -> np.ndarray:
+        table = np.zeros(SLOTS, np.uint8)
+        table[self.slots] = np.minimum(np.log2(np.maximum(self.counts, 1)).astype(np.int64), 15)
+        return table
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        if not hasattr(self, "table"):
+            self.table = self._table()
+        return self.table[grams >> np.uint64(40)]
+
+    def members(self, grams: np.ndarray) -> np.ndarray:
+        """How many items of the whole table have the gram, at most about; 1 where the sample says little."""
+        return np.where((r := self(grams)) >= 3, np.exp2(r + 1.0) * self.scale, 1.0)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+
+def ranks(df: DataFrame, text: str, grams_of: Callable[[list], np.ndarray]) -> Ranks:
+    """Counted over a sample of ``df`` by hash of the text, of about SAMPLE rows; ``grams_of``: the grams of some texts."""
+    n = df.count()
+    share = min(1.0, SAMPLE / max(n, 1))
+    sample = df.where(F.pmod(F.xxhash64(F.lit("sample"), text), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(text).dropDuplicates()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slots, counts = np.unique((grams_of(b.column(0).to_pylist()) >> np.uint64(40)).astype(np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts.astype(np.int64))], names=["slot", "n"])
+
+    counted = sample.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    top = counted.orderBy(F.desc("n"), "slot").limit(KEPT).toArrow()  # KEPT rows of 12 bytes
+    return Ranks(top.column("slot").to_numpy(), top.column("n").to_numpy(), 1 / share)
+
 
-def shared_keys(rows: DataFrame, keys: Column, broadcast_rows: int, passes: int = 1) -> DataFrame:
-    """Of the rows (n, others, and maybe keys) those that share a key with another: key, n and others, lead (the least row of the key).
+def record(marked: bool, wide: bool) -> np.dtype:
+    """An entry of the index: 32 bits of a key, an item's id and size, and maybe 64 marks that bound how far two items differ."""
+    return np.dtype([("key", "<u4"), ("id", "<i8"), ("size", "<u4" if wide else "<u2")] + [("marks", "<u8")] * marked)
 
-    The keys are taken in so many ``passes``, each with its share of them, so that less lies on disk at a
-    time. A stash with keys is dropped.
+
+def packed(kind: np.dtype, buckets: int, passes: int, nth: int, grams: np.ndarray, members: np.ndarray, item: np.ndarray, **of_item: np.ndarray) -> pa.RecordBatch:
+    """The records of a batch, one blob per bucket; ``members``: see ``Ranks``. Members of a key too common for one task are cut into parts, and each two parts meet in a bucket."""
+    bucket = (grams >> np.uint64(32)) % np.uint64(buckets * passes)
+    if passes > 1:
+        mine = bucket % np.uint64(passes) == nth
+        grams, members, item, bucket = grams[mine], members[mine], item[mine], bucket[mine]
+    parts = np.ceil(members / HOT).astype(np.int64)
+    if parts.size and parts.max() > 1:
+        many = parts > 1
+        own = of_item["id"][item[many]] % parts[many]
+        again = np.repeat(np.flatnonzero(many), parts[many])
+        other = np.concatenate([np.arange(p) for p in parts[many]])
+        own = np.repeat(own, parts[many])
+        low, high = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
+        spread = (bucket[again] + (low * np.uint64(0x9E3779B1) + high + np.uint64(1)) * np.uint64(passes)) % np.uint64(buckets * passes)
+        # a key of its own for each two parts, as buckets may fall together
+        keyed = grams[again] ^ ((low << np.uint64(16)) + high + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        grams, item, bucket = (np.concatenate([x[~many], y]) for x, y in ((grams, keyed), (item, item[again]), (bucket, spread)))
+    out = np.empty(len(grams), kind)
+    order = np.argsort(bucket, kind="stable")
+    bucket, item = bucket[order], item[order]
+    out["key"] = (grams[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    out["id"], out["size"] = of_item["id"][item], np.minimum(of_item["size"], np.iinfo(kind["size"]).max)[item]
+    if "marks" in kind.names:
+        out["marks"] = of_item["marks"][item]
+    cuts = np.flatnonzero(np.diff(bucket)) + 1 if len(bucket) else np.zeros(0, np.int64)
+    firsts = np.concatenate([np.zeros(1, np.int64), cuts])[: len(bucket)]
+    data, ends = out.tobytes(), np.concatenate([firsts, [len(bucket)]]) * kind.itemsize
+    blobs = pa.array([data[i:j] for i, j in zip(ends[:-1], ends[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[firsts].astype(np.int64)), blobs], names=["bucket", "blob"])
+
+
+def meeting(r: np.ndarray, edits: Callable[[np.ndarray], np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, led) of the records with equal keys whose sizes and marks leave the similarity possible.
+
+    All pairs of a group are looked at here, but of a wide group's pairs not all go on: what passes with one
+    of a few leaders is ``led`` by it, and pairs led by one leader are left out (see ``connecting``).
     """
-    spark, names = rows.sparkSession, [c for c in rows.columns if c != "keys"]
+    r = r[np.argsort(r["key"])]
+    twice = np.zeros(len(r), bool)
+    if len(r):
+        same = r["key"][1:] == r["key"][:-1]
+        twice[1:] |= same
+        twice[:-1] |= same
+    r = r[twice]
+    r = r[np.lexsort((r["id"], r["size"], r["key"]))]
+    fresh = np.ones(len(r), bool)
+    fresh[1:] = (r["key"][1:] != r["key"][:-1]) | (r["id"][1:] != r["id"][:-1])
+    r = r[fresh]
+    key, ids, size, top = r["key"], r["id"], r["size"].astype(np.int64), np.iinfo(r.dtype["size"]).max
+    marks = r["marks"] if "marks" in r.dtype.names else None
+    starts = np.concatenate([np.zeros(min(1, len(r)), np.int64), np.flatnonzero(np.diff(key)) + 1])
+    ends = np.concatenate([starts[1:], np.full(min(1, len(r)), len(r))])
+    end = np.repeat(ends, ends - starts)
+
+    def passes(i, j):
+        """i is no longer than j; a size at the top of its range may be any beyond."""
+        if marks is None:
+            return np.ones(np.broadcast(i, j).shape, bool)
+        return (np.bitwise_count(marks[i] ^ marks[j]) <= 2 * edits(size[j])) | (size[j] == top)
+
+    def fits(i, j):
+        return (size[i] >= similarity * size[j] - 1e-9) | (size[j] == top)
+
+    leader = -np.arange(len(r)) - 1  # each its own
+    found = []
+    for s, e in zip(starts[ends - starts > WIDE], ends[ends - starts > WIDE]):
+        alone, at = np.arange(s, e), 0
+        for k in range(16):
+            if len(alone) < 2:
+                break
+            z = alone[(int(key[s]) + 0x9E3779B1 * k) % len(alone)]
+            low, high = np.minimum(alone, z), np.maximum(alone, z)
+            ours = fits(low, high) & passes(low, high) & (alone != z)
+            if (n := int(ours.sum())) < 8:
+                continue
+            leader[alone[ours]] = leader[z] = z
+            found.append((np.full(n, ids[z]), ids[alone[ours]], np.ones(n, bool)))
+            alone = alone[~ours & (alone != z)]
+    i, gap = np.arange(len(r)), 0
+    while len(i):
+        gap += 1
+        i = i[i + gap < end[i]]
+        i = i[fits(i, i + gap)]
+        near = (leader[i] != leader[i + gap]) & passes(i, i + gap)
+        if near.any():
+            x = i[near]
+            found.append((ids[x], ids[x + gap], np.zeros(len(x), bool)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    a, b, led = map(np.concatenate, zip(*found))
+    swap = ~led & (a > b)  # a led pair begins with its leader
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    order = np.lexsort((led, b, a))
+    a, b, led = a[order], b[order], led[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (led[1:] != led[:-1])
+    return a[first], b[first], led[first]
+
+
+def candidates(records: Callable[[int], DataFrame], kind: np.dtype, passes: int, edits: Callable, similarity: float) -> DataFrame:
+    """a, b, led of all passes over the index; ``records(k)``: bucket and blob of the pass k. Each pair may come several times."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [x.as_py() for b in batches for x in b.column(b.schema.get_field_index("blob"))]
+        a, b, led = meeting(np.frombuffer(b"".join(blobs), kind), edits, similarity)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(led)], names=["a", "b", "led"])
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(run(key, table.to_batches())))
+
     parts = []
     for k in range(passes):
-        index = rows.select("n", F.explode(keys).alias("key"))
-        index = index.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == k) if passes > 1 else index
-        several = stash(index.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "keys")
-        release(spark)
-        small = several.count() <= broadcast_rows  # 8 bytes each
-        parts.append(stash(index.join(F.broadcast(several) if small else several, "key"), "shared"))
-        drop(several)
-        release(spark)
-    shared = reduce(DataFrame.union, parts)
-    if "keys" in rows.columns:
-        slim = stash(rows.select(*names), "rows")
-        drop(rows)
-        rows = slim
-    lead = shared.groupBy("key").agg(F.min("n").alias("n")).join(rows.select(*names), "n").select("key", F.struct(*names).alias("lead"))
-    out = stash(shared.join(rows.select(*names), "n").select("key", *names).join(lead, "key"), "led")
+        met = records(k).groupBy("bucket").applyInArrow(whole, "a bigint, b bigint, led boolean")
+        parts.append(stash(met, "met"))
+        release(met.sparkSession)
+    met = parts[0]
+    for p in parts[1:]:
+        met = met.union(p)
+    out = stash(met.distinct(), "pairs")
     drop(*parts)
-    release(spark)
+    release(out.sparkSession)
     return out
 
 
-def connecting(shared: DataFrame, near: Column, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges a, b that connect whatever the similar pairs that share a key and are ``near`` connect; ``alike`` keeps the similar ones of pairs a, b.
+def connecting(pairs: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges a, b that connect whatever the similar ones of all met pairs connect; ``alike`` keeps the similar ones of distinct pairs a < b.
 
-    First every row is compared with the least row of each of its keys, and components are formed. Pairs
-    inside a component need no comparison; in each key the rows outside its least row's component are
-    then compared with all rows of other components. So a family of n variants costs about n comparisons.
+    Two items led by one leader were not compared. They are connected if both are like the leader; where one
+    is not, it is now compared with all that the leader leads, unless they are connected already.
     """
-    names = [c for c in shared.columns if c not in ("key", "lead")]
-    stars = shared.select(F.struct(*names).alias("x"), F.col("lead").alias("y")).where("x.n <> y.n")
-    stars = stash(stars.where(near).select(F.col("y.n").alias("a"), F.col("x.n").alias("b")).distinct(), "stars")
-    first = alike(stars)
+    one_way = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    first = alike(one_way)
+    led = pairs.where("led").select(F.col("a").alias("z"), F.col("b").alias("x"))
+    held = first.select(F.col("a").alias("z"), F.col("b").alias("x")).union(first.select("b", "a"))
+    unlike = stash(led.join(held, ["z", "x"], "left_anti"), "unlike")
+    if unlike.isEmpty():
+        drop(unlike, pairs)
+        return first
     roots = stash(components(first).distinct(), "roots")
-    lead = roots.select(F.col("node").alias("lead_n"), F.col("root").alias("lead_root"))
-    rows = shared.withColumn("lead_n", F.col("lead.n")).drop("lead")
-    rows = rows.join(roots.withColumnRenamed("node", "n"), "n", "left").join(lead, "lead_n", "left")
-    rows = rows.select("key", *names, F.coalesce("root", "n").alias("root"), F.coalesce("lead_root", "lead_n").alias("lead_root"))
-    rows = stash(rows, "rooted")
-    drop(shared, stars)
-    release(rows.sparkSession)
-    odd, every = rows.where("root <> lead_root").alias("x"), rows.alias("y")
-    once = (F.col("x.n") < F.col("y.n")) | (F.col("y.root") == F.col("y.lead_root"))
-    rest = odd.join(every, F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & once & near)
-    # the least rows of keys have been compared with all of theirs
-    rest = stash(rest.select(F.col("x.n").alias("a"), F.col("y.n").alias("b")).distinct(), "rest")
+    rest = unlike.join(led.withColumnRenamed("x", "y"), "z").where("x <> y")
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not root_a <=> root_b or root_a is null")
+    rest = stash(rest.select("a", "b").join(one_way, ["a", "b"], "left_anti"), "rest")
     out = first if rest.isEmpty() else first.union(alike(rest))
-    drop(rows, roots, rest)
+    drop(unlike, rest, roots, pairs)
     return out

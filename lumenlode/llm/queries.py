@@ -69,8 +69,8 @@ def op7_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = lines.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), complete=True)
-    return done.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    done = lines.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"])
+    return done.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
