@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,10 @@ from .graph import components
 from .pairs import BUCKET, Ranks, candidates, connecting, packed, ranks, record
 from .store import drop, release, stash
 
-#: Words whose keys are made at a time.
-AT_ONCE = 1 << 20
-#: Records of the index of lines.
-KIND = record(marked=True, wide=False)
+#: Words whose keys are made at a time: few enough for a processor's cache.
+AT_ONCE = 1 << 16
+#: Records of the index of lines, and the counters that their marks are parities of.
+KIND, COUNTERS = record(2, wide=False), 128
 
 
 #: Normal form: ASCII letters lower, other ASCII but digits and line ends blank; runs of blanks then become one.
@@ -87,7 +88,7 @@ def _hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of the lines, and each line's number of words."""
     each = [x.split(b" ") for x in lines]
     n = np.fromiter(map(len, each), np.int64, len(each))
-    return np.fromiter((xxhash.xxh64_intdigest(w) for x in each for w in x), np.uint64, int(n.sum())), n
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(each)), np.uint64, int(n.sum())), n
 
 
 def _pairs_of(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +108,13 @@ def _keys(lines: list[bytes], similarity: float, ranked: Ranks) -> tuple[np.ndar
     """Keys of some lines, the members and the line of each, and the lines' words and marks.
 
     Keys are the first of a line's pairs of words (see ``_prefix``) in the order of rank and hash, each with
-    its number among the same pairs of the line. Marks are the parities of 64 counters of words: an edit
-    changes two of them at most.
+    its number among the same pairs of the line. Marks are the parities of COUNTERS counters of words: an
+    edit changes two of them at most.
     """
     h, n = _hashes(lines)
     line = np.repeat(np.arange(len(n)), n)
-    odd = np.bincount(line * 64 + (h & np.uint64(63)).astype(np.int64), minlength=64 * len(n)).reshape(-1, 64) & 1
-    marks = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
+    odd = np.bincount(line * COUNTERS + (h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS * len(n)).reshape(-1, COUNTERS) & 1
+    marks = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<u8")
     pair, line = _pairs_of(h, n)
     order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (ranked(pair).astype(np.uint64) << np.uint64(40)) | (pair >> np.uint64(24)))
     pair, at = pair[order], np.arange(len(order))
@@ -126,24 +127,52 @@ def _keys(lines: list[bytes], similarity: float, ranked: Ranks) -> tuple[np.ndar
     return _mixed(pair + nth.astype(np.uint64))[keep], ranked.members(pair[keep]), line[keep], n, marks
 
 
-def index_of(df: DataFrame, text: str, min_words: int, similarity: float, ranked: Ranks, buckets: int, passes: int, nth_pass: int) -> DataFrame:
-    """bucket and blob: the records of every line of ``min_words`` words or more, once for each batch that has it. A line's id is the head of its digest."""
+def keys_of(df: DataFrame, text: str, min_words: int, similarity: float, ranked: Ranks) -> DataFrame:
+    """id (the head of the digest), size, marks, keys and members of every line of ``min_words`` words or more, once for each batch that has it. members is null where all are 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(some: list[bytes]) -> pa.RecordBatch:
+            keys, members, line, sizes, marks = _keys(some, similarity, ranked)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(some)))])
+            data, common = keys.tobytes(), members.astype("<f4").tobytes()
+            many = np.bincount(line, members > 1, len(some)) > 0
+            spans = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+            cols = [
+                pa.array(np.frombuffer(b"".join(_digest(x)[:8] for x in some), "<i8")),
+                pa.array(sizes.astype(np.int32)),
+                pa.array([m.tobytes() for m in marks], pa.binary()),
+                pa.array([data[8 * i : 8 * j] for i, j in spans], pa.binary()),
+                pa.array([common[4 * i : 4 * j] if m else None for (i, j), m in zip(spans, many)], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(cols, names=["id", "size", "marks", "keys", "members"])
+
         for b in batches:
-            found = list({x for t in b.column(0) for x in normalised(t.as_py()) if x.count(b" ") >= min_words - 1 and x})
-            some, n, parts = [], 0, []
-            for i, x in enumerate(found):
+            found, some, n = {x for t in b.column(0) for x in normalised(t.as_py()) if x.count(b" ") >= min_words - 1 and x}, [], 0
+            for x in found:
                 some.append(x)
                 n += x.count(b" ") + 1
-                if n >= AT_ONCE or i == len(found) - 1:
-                    keys, members, line, sizes, marks = _keys(some, similarity, ranked)
-                    ids = np.frombuffer(b"".join(_digest(x)[:8] for x in some), "<i8")
-                    parts.append(packed(KIND, buckets, passes, nth_pass, keys, members, line, id=ids, size=sizes, marks=marks))
+                if n >= AT_ONCE:
+                    yield made(some)
                     some, n = [], 0
-            yield from parts
+            if some:
+                yield made(some)
+
+    return df.select(text).mapInArrow(run, "id bigint, size int, marks binary, keys binary, members binary")
+
+
+def index_of(keyed: DataFrame, buckets: int, passes: int, nth_pass: int) -> DataFrame:
+    """bucket and blob: the records of the lines of ``keys_of`` for one of the passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = b.column(3).to_pylist()
+            keys = np.frombuffer(b"".join(each), "<u8")
+            n = np.fromiter(map(len, each), np.int64, len(each)) // 8
+            members = np.frombuffer(b"".join(m if m is not None else b"\0\0\x80\x3f" * k for m, k in zip(b.column(4).to_pylist(), n.tolist())), "<f4")
+            marks = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u8").reshape(len(each), -1)
+            yield packed(KIND, buckets, passes, nth_pass, keys, members, np.repeat(np.arange(len(each)), n), id=b.column(0).to_numpy(), size=b.column(1).to_numpy(), marks=marks)
 
-    return df.select(text).mapInArrow(run, "bucket bigint, blob binary")
+    return keyed.select("id", "size", "marks", "keys", "members").mapInArrow(run, "bucket bigint, blob binary")
 
 
 def _edits(similarity: float):
@@ -240,7 +269,7 @@ def duplicate_lines(
     min_words: int = 4,
     similarity: float = 0.8,
     broadcast_rows: int = 1_000_000,
-    passes: int = 2,
+    passes: int = 3,
 ) -> DataFrame:
     """The lines to remove: doc (key of a row's id and text), removed (line numbers from 0, ascending).
 
@@ -251,7 +280,7 @@ def duplicate_lines(
     connected group the first occurrence stays (by id, a null first, then key and line). Lines without
     words stay. Rows alike in id and text are one document.
 
-    The index of keys is made in ``passes`` parts, one after the other, so that less lies on disk at a time.
+    The index of keys is shuffled in ``passes`` parts, one after the other, so that less lies on disk at a time.
     """
     spark = df.sparkSession
     occurrences = stash(occurrences_of(df, id_col, text), "lines")
@@ -259,7 +288,9 @@ def duplicate_lines(
     words = one.where(F.col("words_n") >= min_words).agg(F.sum("words_n")).first()[0] or 0
     ranked = ranks(df, text, lambda texts: grams_of(texts, min_words))
     buckets = max(16, int(words * (1 - similarity) * 2 / passes / BUCKET))
-    met = candidates(lambda k: index_of(df, text, min_words, similarity, ranked, buckets, passes, k), KIND, passes, _edits(similarity), similarity)
+    keyed = stash(keys_of(df, text, min_words, similarity, ranked), "keyed")
+    met = candidates(lambda k: index_of(keyed, buckets, passes, k), KIND, passes, _edits(similarity), similarity)
+    drop(keyed)
 
     ids = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
     ids = stash(ids, "ids")

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from .graph import components
 from .store import drop, release, stash
 
-#: Slots of the table of ranks (a byte each), those that are kept at most, and documents that are sampled at most.
-SLOTS, KEPT, SAMPLE = 1 << 24, 300_000, 20_000
-#: Groups of a key beyond this size are compared with a few leaders first.
-WIDE = 64
+#: Slots of the table of ranks (a byte each, few enough for a processor's cache), those that are kept at most, and documents that are sampled at most.
+SLOTS, KEPT, SAMPLE = 1 << 22, 300_000, 20_000
+#: Groups of a key beyond this size are compared with so many leaders first.
+WIDE, LEADERS = 4, 8
 #: Keys that one task holds, about; members of a common key that one task holds at most, by estimate.
 BUCKET, HOT = 1 << 20, 500_000
 
@@ -41,7 +41,7 @@ class Ranks:
     def __call__(self, grams: np.ndarray) -> np.ndarray:
         if not hasattr(self, "table"):
             self.table = self._table()
-        return self.table[grams >> np.uint64(40)]
+        return self.table[grams >> np.uint64(42)]
 
     def members(self, grams: np.ndarray) -> np.ndarray:
         """How many items of the whole table have the gram, at most about; 1 where the sample says little."""
@@ -59,7 +59,7 @@ def ranks(df: DataFrame, text: str, grams_of: Callable[[list], np.ndarray]) -> R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slots, counts = np.unique((grams_of(b.column(0).to_pylist()) >> np.uint64(40)).astype(np.int32), return_counts=True)
+            slots, counts = np.unique((grams_of(b.column(0).to_pylist()) >> np.uint64(42)).astype(np.int32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts.astype(np.int64))], names=["slot", "n"])
 
     counted = sample.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
@@ -67,9 +67,9 @@ def ranks(df: DataFrame, text: str, grams_of: Callable[[list], np.ndarray]) -> R
     return Ranks(top.column("slot").to_numpy(), top.column("n").to_numpy(), 1 / share)
 
 
-def record(marked: bool, wide: bool) -> np.dtype:
-    """An entry of the index: 32 bits of a key, an item's id and size, and maybe 64 marks that bound how far two items differ."""
-    return np.dtype([("key", "<u4"), ("id", "<i8"), ("size", "<u4" if wide else "<u2")] + [("marks", "<u8")] * marked)
+def record(marks: int, wide: bool) -> np.dtype:
+    """An entry of the index: 32 bits of a key, an item's id and size, and so many times 64 marks that bound how far two items differ."""
+    return np.dtype([("key", "<u4"), ("id", "<i8"), ("size", "<u4" if wide else "<u2")] + [("marks", "<u8", (marks,))] * (marks > 0))
 
 
 def packed(kind: np.dtype, buckets: int, passes: int, nth: int, grams: np.ndarray, members: np.ndarray, item: np.ndarray, **of_item: np.ndarray) -> pa.RecordBatch:
@@ -131,26 +131,25 @@ def meeting(r: np.ndarray, edits: Callable[[np.ndarray], np.ndarray], similarity
         """i is no longer than j; a size at the top of its range may be any beyond."""
         if marks is None:
             return np.ones(np.broadcast(i, j).shape, bool)
-        return (np.bitwise_count(marks[i] ^ marks[j]) <= 2 * edits(size[j])) | (size[j] == top)
+        return (np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64) <= 2 * edits(size[j])) | (size[j] == top)
 
     def fits(i, j):
         return (size[i] >= similarity * size[j] - 1e-9) | (size[j] == top)
 
     leader = -np.arange(len(r)) - 1  # each its own
     found = []
-    for s, e in zip(starts[ends - starts > WIDE], ends[ends - starts > WIDE]):
-        alone, at = np.arange(s, e), 0
-        for k in range(16):
-            if len(alone) < 2:
-                break
-            z = alone[(int(key[s]) + 0x9E3779B1 * k) % len(alone)]
-            low, high = np.minimum(alone, z), np.maximum(alone, z)
-            ours = fits(low, high) & passes(low, high) & (alone != z)
-            if (n := int(ours.sum())) < 8:
-                continue
-            leader[alone[ours]] = leader[z] = z
-            found.append((np.full(n, ids[z]), ids[alone[ours]], np.ones(n, bool)))
-            alone = alone[~ours & (alone != z)]
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    alone = np.flatnonzero((ends - starts > WIDE)[group])
+    for _ in range(LEADERS):  # in every wide group at once
+        if not len(alone):
+            break
+        first = np.concatenate([np.ones(1, bool), np.diff(group[alone]) != 0])
+        z, x = alone[first][np.cumsum(first) - 1][~first], alone[~first]
+        ours = fits(z, x) & passes(z, x)  # z is the shortest left
+        z, x = z[ours], x[ours]
+        leader[x] = leader[z] = z
+        found.append((ids[z], ids[x], np.ones(len(x), bool)))
+        alone = alone[~first][~ours]
     i, gap = np.arange(len(r)), 0
     while len(i):
         gap += 1

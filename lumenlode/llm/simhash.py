@@ -16,7 +16,7 @@ from .pairs import BUCKET, Ranks, candidates, connecting, packed, ranks, record
 from .store import drop, release, stash
 
 #: Records of the index of texts.
-KIND = record(marked=False, wide=True)
+KIND = record(0, wide=True)
 
 #: Shingles whose bits are spread out at a time: 64 bytes each.
 _AT_ONCE = 1 << 15
