@@ -42,30 +42,6 @@ def _digest(norm: bytes) -> bytes:
     return hashlib.md5(norm, usedforsecurity=False).digest()
 
 
-def occurrences_of(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Each line with a word: at, doc, nth, line (md5 of the normal form), words_n."""
-    t, key = _text_and_key(id_col, text)
-    rows = df.select(F.col(id_col).alias("at"), key.alias("doc"), t.alias("t"))
-    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    schema = rows.select("at", "doc", null("int", "nth"), null("binary", "line"), null("int", "words_n")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, nth, line, size = [], [], [], []
-            for i, t in enumerate(b.column(2)):
-                for k, norm in enumerate(normalised(t.as_py())):
-                    if norm:
-                        row.append(i)
-                        nth.append(k)
-                        line.append(_digest(norm))
-                        size.append(norm.count(b" ") + 1)
-            taken = pa.array(row, pa.int64())
-            cols = [b.column(0).take(taken), b.column(1).take(taken), pa.array(nth, pa.int32()), pa.array(line, pa.binary()), pa.array(size, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=["at", "doc", "nth", "line", "words_n"])
-
-    return rows.mapInArrow(run, schema)
-
-
 def _prefix(n: int, similarity: float) -> int:
     """Of the n - 1 pairs of words of a line of n words, so many must be keys for every similar line to share one.
 
@@ -127,41 +103,53 @@ def _keys(lines: list[bytes], similarity: float, ranked: Ranks) -> tuple[np.ndar
     return _mixed(pair + nth.astype(np.uint64))[keep], ranked.members(pair[keep]), line[keep], n, marks
 
 
-def keys_of(df: DataFrame, text: str, min_words: int, similarity: float, ranked: Ranks) -> DataFrame:
-    """id (the head of the digest), size, marks, keys and members of every line of ``min_words`` words or more, once for each batch that has it. members is null where all are 1."""
+def lines_of(df: DataFrame, id_col: str, text: str, min_words: int, similarity: float, ranked: Ranks) -> DataFrame:
+    """Each line with a word: at, doc, nth, line (md5 of the normal form), words_n; and, once for each batch that has a line of ``min_words`` words or more, its marks, keys and members (null where all are 1)."""
+    t, key = _text_and_key(id_col, text)
+    rows = df.select(F.col(id_col).alias("at"), key.alias("doc"), t.alias("t"))
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    more = [null("int", "nth"), null("binary", "line"), null("int", "words_n"), null("binary", "marks"), null("binary", "keys"), null("binary", "members")]
+    schema = rows.select("at", "doc", *more).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(some: list[bytes]) -> pa.RecordBatch:
-            keys, members, line, sizes, marks = _keys(some, similarity, ranked)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(some)))])
-            data, common = keys.tobytes(), members.astype("<f4").tobytes()
-            many = np.bincount(line, members > 1, len(some)) > 0
-            spans = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
-            cols = [
-                pa.array(np.frombuffer(b"".join(_digest(x)[:8] for x in some), "<i8")),
-                pa.array(sizes.astype(np.int32)),
-                pa.array([m.tobytes() for m in marks], pa.binary()),
-                pa.array([data[8 * i : 8 * j] for i, j in spans], pa.binary()),
-                pa.array([common[4 * i : 4 * j] if m else None for (i, j), m in zip(spans, many)], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(cols, names=["id", "size", "marks", "keys", "members"])
-
         for b in batches:
-            found, some, n = {x for t in b.column(0) for x in normalised(t.as_py()) if x.count(b" ") >= min_words - 1 and x}, [], 0
-            for x in found:
-                some.append(x)
-                n += x.count(b" ") + 1
-                if n >= AT_ONCE:
-                    yield made(some)
+            number: dict[bytes, int] = {}
+            row, nth, which = [], [], []
+            for i, t in enumerate(b.column(2)):
+                for k, norm in enumerate(normalised(t.as_py())):
+                    if norm:
+                        row.append(i)
+                        nth.append(k)
+                        which.append(number.setdefault(norm, len(number)))
+            found = list(number)
+            digests, sizes = [_digest(x) for x in found], [x.count(b" ") + 1 for x in found]
+            marks, keys, members = [None] * len(found), [None] * len(found), [None] * len(found)
+            some, n = [], 0
+            for i, size in enumerate(sizes):
+                if size >= min_words:
+                    some.append(i)
+                    n += size
+                if some and (n >= AT_ONCE or i == len(found) - 1):
+                    k, common, line, _, m = _keys([found[x] for x in some], similarity, ranked)
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(some)))]).tolist()
+                    data, hot, many = k.tobytes(), common.astype("<f4").tobytes(), (np.bincount(line, common > 1, len(some)) > 0).tolist()
+                    for at, x in enumerate(some):
+                        marks[x], keys[x] = m[at].tobytes(), data[8 * ends[at] : 8 * ends[at + 1]]
+                        members[x] = hot[4 * ends[at] : 4 * ends[at + 1]] if many[at] else None
                     some, n = [], 0
-            if some:
-                yield made(some)
+            taken, of = pa.array(row, pa.int64()), np.array(which, np.int64)
+            again = np.ones(len(of), bool)
+            again[np.unique(of, return_index=True)[1]] = False
+            once = pa.array(of, mask=again)  # null for a line's later places
+            cols = [b.column(0).take(taken), b.column(1).take(taken), pa.array(nth, pa.int32()), pa.array(digests, pa.binary()).take(pa.array(of)), pa.array(sizes, pa.int32()).take(pa.array(of))]
+            cols += [pa.array(x, pa.binary()).take(once) for x in (marks, keys, members)]
+            yield pa.RecordBatch.from_arrays(cols, names=["at", "doc", "nth", "line", "words_n", "marks", "keys", "members"])
 
-    return df.select(text).mapInArrow(run, "id bigint, size int, marks binary, keys binary, members binary")
+    return rows.mapInArrow(run, schema)
 
 
-def index_of(keyed: DataFrame, buckets: int, passes: int, nth_pass: int) -> DataFrame:
-    """bucket and blob: the records of the lines of ``keys_of`` for one of the passes."""
+def index_of(lines: DataFrame, buckets: int, passes: int, nth_pass: int) -> DataFrame:
+    """bucket and blob: the records of the lines with keys for one of the passes. A line's id is the head of its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,9 +158,10 @@ def index_of(keyed: DataFrame, buckets: int, passes: int, nth_pass: int) -> Data
             n = np.fromiter(map(len, each), np.int64, len(each)) // 8
             members = np.frombuffer(b"".join(m if m is not None else b"\0\0\x80\x3f" * k for m, k in zip(b.column(4).to_pylist(), n.tolist())), "<f4")
             marks = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u8").reshape(len(each), -1)
-            yield packed(KIND, buckets, passes, nth_pass, keys, members, np.repeat(np.arange(len(each)), n), id=b.column(0).to_numpy(), size=b.column(1).to_numpy(), marks=marks)
+            ids = np.frombuffer(b"".join(x[:8] for x in b.column(0).to_pylist()), "<i8")
+            yield packed(KIND, buckets, passes, nth_pass, keys, members, np.repeat(np.arange(len(each)), n), id=ids, size=b.column(1).to_numpy(), marks=marks)
 
-    return keyed.select("id", "size", "marks", "keys", "members").mapInArrow(run, "bucket bigint, blob binary")
+    return lines.where("keys is not null").select("line", "words_n", "marks", "keys", "members").mapInArrow(run, "bucket bigint, blob binary")
 
 
 def _edits(similarity: float):
@@ -214,15 +203,22 @@ def signature(words: list[bytes]) -> bytes:
     return np.packbits((np.bincount(((h >> np.uint64(32)) & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
 
 
-def wanted_lines(df: DataFrame, text: str, ids: DataFrame) -> DataFrame:
-    """id, line, words_n, marks (see ``signature``) and norm of the lines whose id is in ``ids``, each line once."""
+def wanted_lines(df: DataFrame, text: str, ids: DataFrame, few: int) -> DataFrame:
+    """id, line, words_n, marks (see ``signature``) and norm of the lines whose id is in ``ids``, each line once.
+
+    Up to ``few`` ids are sent to the tasks (8 bytes each), so that other lines stay where they are.
+    """
+    known = np.sort(ids.toArrow().column("id").to_numpy()) if ids.count() <= few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = list({x for t in b.column(0) for x in normalised(t.as_py()) if x})
             digests = [_digest(x) for x in found]
-            cols = [pa.array(np.frombuffer(b"".join(d[:8] for d in digests), "<i8")), pa.array(digests, pa.binary()), pa.array(found, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "line", "norm"])
+            heads = np.frombuffer(b"".join(d[:8] for d in digests), "<i8")
+            if known is not None:
+                at = np.flatnonzero(np.isin(heads, known))
+                heads, digests, found = heads[at], [digests[i] for i in at], [found[i] for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array(digests, pa.binary()), pa.array(found, pa.binary())], names=["id", "line", "norm"])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,8 +227,9 @@ def wanted_lines(df: DataFrame, text: str, ids: DataFrame) -> DataFrame:
             cols = [pa.array(list(map(len, words)), pa.int32()), *[pa.array(marks[:, k].copy()) for k in range(8)]]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=["id", "line", "norm", "words_n", *[f"m{k}" for k in range(8)]])
 
-    once = df.select(text).mapInArrow(run, "id bigint, line binary, norm binary").join(ids, "id").dropDuplicates(["line"]).select("id", "line", "norm")
-    return once.mapInArrow(signed, "id bigint, line binary, norm binary, words_n int, " + ", ".join(f"m{k} bigint" for k in range(8)))
+    found = df.select(text).mapInArrow(run, "id bigint, line binary, norm binary")
+    once = (found if known is not None else found.join(ids, "id")).groupBy("line").agg(F.first("id").alias("id"), F.first("norm").alias("norm"))
+    return once.select("id", "line", "norm").mapInArrow(signed, "id bigint, line binary, norm binary, words_n int, " + ", ".join(f"m{k} bigint" for k in range(8)))
 
 
 def possible(found: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
@@ -283,44 +280,37 @@ def duplicate_lines(
     The index of keys is shuffled in ``passes`` parts, one after the other, so that less lies on disk at a time.
     """
     spark = df.sparkSession
-    occurrences = stash(occurrences_of(df, id_col, text), "lines")
-    one = stash(occurrences.groupBy("line").agg(F.min(F.struct("at", "doc", "nth")).alias("first"), F.first("words_n").alias("words_n")), "distinct")
-    words = one.where(F.col("words_n") >= min_words).agg(F.sum("words_n")).first()[0] or 0
     ranked = ranks(df, text, lambda texts: grams_of(texts, min_words))
+    every = stash(lines_of(df, id_col, text, min_words, similarity, ranked), "lines")
+    one = stash(every.groupBy("line").agg(F.min(F.struct("at", "doc", "nth")).alias("first"), F.first("words_n").alias("words_n")), "distinct")
+    words = one.where(F.col("words_n") >= min_words).agg(F.sum("words_n")).first()[0] or 0
     buckets = max(16, int(words * (1 - similarity) * 2 / passes / BUCKET))
-    keyed = stash(keys_of(df, text, min_words, similarity, ranked), "keyed")
-    met = candidates(lambda k: index_of(keyed, buckets, passes, k), KIND, passes, _edits(similarity), similarity)
-    drop(keyed)
+    met, wide = candidates(lambda k: index_of(every, buckets, passes, k), KIND, passes, _edits(similarity), similarity)
+    occurrences = stash(every.select("at", "doc", "nth", "line"), "occurrences")
+    drop(every)
 
-    ids = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
+    ids = met.select(F.col("a").alias("id")).union(met.select("b")).union(wide.select("id")).distinct()
     ids = stash(ids, "ids")
-    n = ids.count()
-    lines = stash(wanted_lines(df, text, F.broadcast(ids) if n <= broadcast_rows else ids), "wanted")  # 8 bytes each
+    lines = stash(wanted_lines(df, text, ids, broadcast_rows), "wanted")
     drop(ids)
     release(spark)
+    same = []
 
     def alike(found: DataFrame) -> DataFrame:
+        """As ids, for ``connecting``; the pairs of lines are put by."""
         near = stash(possible(found, lines, similarity), "possible")
-        out = stash(verified(near, lines.select("line", "norm"), similarity), "alike")
+        same.append(stash(verified(near, lines.select("line", "norm"), similarity), "alike"))
         drop(near)
         release(spark)
-        return out
-
-    same = {}
-
-    def alike_ids(found: DataFrame) -> DataFrame:
-        """As ids, for ``connecting``; the lines themselves are put by."""
-        out = alike(found)
-        same[len(same)] = out
         x, y = (lines.select(F.col("line").alias(c), F.col("id").alias(i)) for c, i in (("x", "a"), ("y", "b")))
-        return out.join(x, "x").join(y, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    connecting(met, alike_ids)
-    edges = same[0].select(F.col("x").alias("a"), F.col("y").alias("b"))
-    for k in range(1, len(same)):
-        edges = edges.union(same[k])
-    roots = components(edges).withColumnRenamed("node", "line")
-    drop(lines, *same.values())
+        return same[-1].join(x, "x").join(y, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    connecting(met, wide, KIND, _edits(similarity), similarity, alike)
+    edges = same[0]
+    for e in same[1:]:
+        edges = edges.union(e)
+    roots = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "line")
+    drop(lines, *same)
     release(spark)
 
     placed = one.join(roots, "line", "left").select("line", "first", F.coalesce("root", "line").alias("root"))

@@ -21,8 +21,8 @@ from .store import drop, release, stash
 
 #: Slots of the table of ranks (a byte each, few enough for a processor's cache), those that are kept at most, and documents that are sampled at most.
 SLOTS, KEPT, SAMPLE = 1 << 22, 300_000, 20_000
-#: Groups of a key beyond this size are compared with so many leaders first.
-WIDE, LEADERS = 4, 8
+#: Groups of a key beyond this size are first compared with so many leaders only.
+WIDE, LEADERS = 32, 8
 #: Keys that one task holds, about; members of a common key that one task holds at most, by estimate.
 BUCKET, HOT = 1 << 20, 500_000
 
@@ -104,11 +104,33 @@ def packed(kind: np.dtype, buckets: int, passes: int, nth: int, grams: np.ndarra
     return pa.RecordBatch.from_arrays([pa.array(bucket[firsts].astype(np.int64)), blobs], names=["bucket", "blob"])
 
 
-def meeting(r: np.ndarray, edits: Callable[[np.ndarray], np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, led) of the records with equal keys whose sizes and marks leave the similarity possible.
+class _Bounds:
+    """What sizes and marks say about two records, the first of which is no longer; a size at the top of its range may be any beyond."""
 
-    All pairs of a group are looked at here, but of a wide group's pairs not all go on: what passes with one
-    of a few leaders is ``led`` by it, and pairs led by one leader are left out (see ``connecting``).
+    def __init__(self, r: np.ndarray, edits: Callable[[np.ndarray], np.ndarray] | None, similarity: float):
+        self.size, self.top = r["size"].astype(np.int64), np.iinfo(r.dtype["size"]).max
+        self.marks, self.edits, self.similarity = r["marks"] if "marks" in r.dtype.names else None, edits, similarity
+
+    def fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (self.size[i] >= self.similarity * self.size[j] - 1e-9) | (self.size[j] == self.top)
+
+    def passes(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if self.marks is None:
+            return np.ones(len(i), bool)
+        differ = np.bitwise_count(self.marks[i] ^ self.marks[j]).sum(axis=1, dtype=np.int64)
+        return (differ <= 2 * self.edits(self.size[j])) | (self.size[j] == self.top)
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal keys start and end."""
+    starts = np.concatenate([np.zeros(min(1, len(key)), np.int64), np.flatnonzero(key[1:] != key[:-1]) + 1])
+    return starts, np.concatenate([starts[1:], np.full(min(1, len(key)), len(key))])
+
+
+def meeting(r: np.ndarray, edits: Callable | None, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b) of the records with equal keys whose sizes and marks leave the similarity possible, and the records of wide groups.
+
+    Of a wide group's pairs only those with a few leaders are among them; see ``across`` for the others.
     """
     r = r[np.argsort(r["key"])]
     twice = np.zeros(len(r), bool)
@@ -121,101 +143,131 @@ def meeting(r: np.ndarray, edits: Callable[[np.ndarray], np.ndarray], similarity
     fresh = np.ones(len(r), bool)
     fresh[1:] = (r["key"][1:] != r["key"][:-1]) | (r["id"][1:] != r["id"][:-1])
     r = r[fresh]
-    key, ids, size, top = r["key"], r["id"], r["size"].astype(np.int64), np.iinfo(r.dtype["size"]).max
-    marks = r["marks"] if "marks" in r.dtype.names else None
-    starts = np.concatenate([np.zeros(min(1, len(r)), np.int64), np.flatnonzero(np.diff(key)) + 1])
-    ends = np.concatenate([starts[1:], np.full(min(1, len(r)), len(r))])
-    end = np.repeat(ends, ends - starts)
-
-    def passes(i, j):
-        """i is no longer than j; a size at the top of its range may be any beyond."""
-        if marks is None:
-            return np.ones(np.broadcast(i, j).shape, bool)
-        return (np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64) <= 2 * edits(size[j])) | (size[j] == top)
-
-    def fits(i, j):
-        return (size[i] >= similarity * size[j] - 1e-9) | (size[j] == top)
-
-    leader = -np.arange(len(r)) - 1  # each its own
+    ids, bounds = r["id"], _Bounds(r, edits, similarity)
+    starts, ends = _groups(r["key"])
+    end, group = np.repeat(ends, ends - starts), np.repeat(np.arange(len(starts)), ends - starts)
+    wide = (ends - starts > WIDE)[group]
     found = []
-    group = np.repeat(np.arange(len(starts)), ends - starts)
-    alone = np.flatnonzero((ends - starts > WIDE)[group])
+    alone = np.flatnonzero(wide)
     for _ in range(LEADERS):  # in every wide group at once
         if not len(alone):
             break
         first = np.concatenate([np.ones(1, bool), np.diff(group[alone]) != 0])
         z, x = alone[first][np.cumsum(first) - 1][~first], alone[~first]
-        ours = fits(z, x) & passes(z, x)  # z is the shortest left
-        z, x = z[ours], x[ours]
-        leader[x] = leader[z] = z
-        found.append((ids[z], ids[x], np.ones(len(x), bool)))
-        alone = alone[~first][~ours]
-    i, gap = np.arange(len(r)), 0
+        ours = bounds.fits(z, x) & bounds.passes(z, x)  # z is the shortest left
+        found.append((ids[z[ours]], ids[x[ours]]))
+        alone = x[~ours]
+    i, gap = np.flatnonzero(~wide), 0
     while len(i):
         gap += 1
         i = i[i + gap < end[i]]
-        i = i[fits(i, i + gap)]
-        near = (leader[i] != leader[i + gap]) & passes(i, i + gap)
-        if near.any():
-            x = i[near]
-            found.append((ids[x], ids[x + gap], np.zeros(len(x), bool)))
+        i = i[bounds.fits(i, i + gap)]  # sizes ascend: what does not fit now never will
+        x = i[bounds.passes(i, i + gap)]
+        found.append((ids[x], ids[x + gap]))
+    return *_distinct(found), r[wide]
+
+
+def across(r: np.ndarray, key: np.ndarray, root: np.ndarray, edits: Callable | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of the records with equal keys but different roots whose sizes and marks leave the similarity possible.
+
+    In each group the records outside its commonest root are compared with all others.
+    """
+    order = np.lexsort((r["id"], r["size"], key))
+    r, key, root = r[order], key[order], root[order]
+    starts, ends = _groups(key)
+    start, end = np.repeat(starts, ends - starts), np.repeat(ends, ends - starts)
+    by_root = np.lexsort((root, start))
+    runs, run_ends = _groups_of_two(start[by_root], root[by_root])
+    longest = np.lexsort((runs - run_ends, start[by_root][runs]))  # of each group the longest run first
+    firsts = np.unique(start[by_root][runs][longest], return_index=True)[1] if len(runs) else np.zeros(0, np.int64)
+    common = np.repeat(root[by_root][runs][longest][firsts], ends - starts) if len(runs) else root
+    odd, ids, bounds = root != common, r["id"], _Bounds(r, edits, similarity)
+    found, up, down, gap = [], np.flatnonzero(odd), np.flatnonzero(odd), 0
+    while len(up) or len(down):
+        gap += 1
+        up = up[up + gap < end[up]]
+        up = up[bounds.fits(up, up + gap)]
+        x = up[root[up] != root[up + gap]]
+        x = x[bounds.passes(x, x + gap)]
+        found.append((ids[x], ids[x + gap]))
+        down = down[down - gap >= start[down]]
+        down = down[bounds.fits(down - gap, down)]
+        x = down[~odd[down - gap]]
+        x = x[bounds.passes(x - gap, x)]
+        found.append((ids[x - gap], ids[x]))
+    return _distinct(found)
+
+
+def _groups_of_two(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    new = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+    starts = np.concatenate([np.zeros(min(1, len(a)), np.int64), new])
+    return starts, np.concatenate([starts[1:], np.full(min(1, len(a)), len(a))])
+
+
+def _distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    a, b, led = map(np.concatenate, zip(*found))
-    swap = ~led & (a > b)  # a led pair begins with its leader
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    order = np.lexsort((led, b, a))
-    a, b, led = a[order], b[order], led[order]
-    first = np.ones(len(a), bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (led[1:] != led[:-1])
-    return a[first], b[first], led[first]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = map(np.concatenate, zip(*found))
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    starts, _ = _groups_of_two(a[order], b[order])
+    return a[order][starts], b[order][starts]
 
 
-def candidates(records: Callable[[int], DataFrame], kind: np.dtype, passes: int, edits: Callable, similarity: float) -> DataFrame:
-    """a, b, led of all passes over the index; ``records(k)``: bucket and blob of the pass k. Each pair may come several times."""
+_MET = "a bigint, b bigint, key bigint, record binary"
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x.as_py() for b in batches for x in b.column(b.schema.get_field_index("blob"))]
-        a, b, led = meeting(np.frombuffer(b"".join(blobs), kind), edits, similarity)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(led)], names=["a", "b", "led"])
 
-    def whole(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(run(key, table.to_batches())))
+def candidates(records: Callable[[int], DataFrame], kind: np.dtype, passes: int, edits: Callable | None, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """All passes over the index; ``records(k)``: bucket and blob of the pass k. Returns the pairs (a < b, each once) and the records of wide groups (id, key, record)."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        a, b, wide = meeting(np.frombuffer(b"".join(table.column("blob").to_pylist()), kind), edits, similarity)
+        n, m = len(a), len(wide)
+        data = wide.tobytes()
+        cols = [
+            pa.array(np.concatenate([a, wide["id"]])),
+            pa.array(np.concatenate([b, np.zeros(m, np.int64)]), mask=np.concatenate([np.zeros(n, bool), np.ones(m, bool)])),
+            pa.array((key[0].as_py() << 32) + np.concatenate([np.zeros(n, np.int64), wide["key"].astype(np.int64)])),
+            pa.array([None] * n + [data[i : i + kind.itemsize] for i in range(0, len(data), kind.itemsize)], pa.binary()),
+        ]
+        return pa.table(cols, names=["a", "b", "key", "record"])
 
     parts = []
     for k in range(passes):
-        met = records(k).groupBy("bucket").applyInArrow(whole, "a bigint, b bigint, led boolean")
-        parts.append(stash(met, "met"))
-        release(met.sparkSession)
+        parts.append(stash(records(k).groupBy("bucket").applyInArrow(run, _MET), "met"))
+        release(parts[0].sparkSession)
     met = parts[0]
     for p in parts[1:]:
         met = met.union(p)
-    out = stash(met.distinct(), "pairs")
+    pairs = stash(met.where("b is not null").select("a", "b").distinct(), "pairs")
+    wide = stash(met.where("b is null").select(F.col("a").alias("id"), "key", "record"), "wide")
     drop(*parts)
-    release(out.sparkSession)
-    return out
+    release(pairs.sparkSession)
+    return pairs, wide
 
 
-def connecting(pairs: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges a, b that connect whatever the similar ones of all met pairs connect; ``alike`` keeps the similar ones of distinct pairs a < b.
+def connecting(pairs: DataFrame, wide: DataFrame, kind: np.dtype, edits: Callable | None, similarity: float, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges a, b that connect whatever the similar ones of all pairs with a key in common connect; ``alike`` keeps the similar ones of pairs a < b.
 
-    Two items led by one leader were not compared. They are connected if both are like the leader; where one
-    is not, it is now compared with all that the leader leads, unless they are connected already.
+    Members of wide groups have been compared with leaders only. They are now compared with each other where
+    what was found so far does not connect them.
     """
-    one_way = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    first = alike(one_way)
-    led = pairs.where("led").select(F.col("a").alias("z"), F.col("b").alias("x"))
-    held = first.select(F.col("a").alias("z"), F.col("b").alias("x")).union(first.select("b", "a"))
-    unlike = stash(led.join(held, ["z", "x"], "left_anti"), "unlike")
-    if unlike.isEmpty():
-        drop(unlike, pairs)
+    first = stash(alike(pairs), "first")
+    if wide.isEmpty():
+        drop(pairs, wide)
         return first
     roots = stash(components(first).distinct(), "roots")
-    rest = unlike.join(led.withColumnRenamed("x", "y"), "z").where("x <> y")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not root_a <=> root_b or root_a is null")
-    rest = stash(rest.select("a", "b").join(one_way, ["a", "b"], "left_anti"), "rest")
-    out = first if rest.isEmpty() else first.union(alike(rest))
-    drop(unlike, rest, roots, pairs)
+    rooted = wide.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "record", F.coalesce("root", "id").alias("root"))
+
+    def run(bucket: tuple, table: pa.Table) -> pa.Table:
+        r = np.frombuffer(b"".join(table.column("record").to_pylist()), kind)
+        a, b = across(r, table.column("key").to_numpy(), table.column("root").to_numpy(), edits, similarity)
+        return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    several = rooted.groupBy("key").agg((F.min("root") != F.max("root")).alias("s")).where("s").select("key")
+    rest = rooted.join(several, "key").withColumn("bucket", F.shiftright("key", 32)).groupBy("bucket").applyInArrow(run, "a bigint, b bigint")
+    rest = stash(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    out = first if rest.isEmpty() else stash(first.union(alike(rest)), "links")
+    drop(wide, rest, roots, pairs)
+    release(out.sparkSession)
     return out

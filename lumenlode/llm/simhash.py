@@ -243,16 +243,16 @@ def one_of_each(
     fps = one.groupBy("fp").agg(F.min("n").alias("n"))
     near = links(fps, bits).join(fps.select(F.col("fp").alias("a"), F.col("n").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("n").alias("y")), "b")
     same = fps.withColumnRenamed("n", "x").join(one.select("fp", F.col("n").alias("y")), "fp").where("x <> y")
-    close = stash(near.select("x", "y").union(same.select("x", "y")).select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(False).alias("led")).distinct(), "close")
+    close = stash(near.select("x", "y").union(same.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "close")
     release(spark)
 
     ranked = ranks(rows.select(F.col("row")[text].alias("t")), "t", lambda t: np.concatenate([*_sets(t, words), np.zeros(0, np.uint64)]))
     letters = rows.agg(F.sum(F.length(F.col("row")[text]))).first()[0] or 0
     buckets = max(16, int(letters / 6 * (1 - similarity) / passes / BUCKET))
-    met = candidates(lambda k: _index_of(texts, words, similarity, ranked, buckets, passes, k), KIND, passes, None, similarity)
+    met, wide = candidates(lambda k: _index_of(texts, words, similarity, ranked, buckets, passes, k), KIND, passes, None, similarity)
     both = stash(met.union(close).distinct(), "both")
     drop(met, close)
-    ids = stash(both.select(F.col("a").alias("id")).union(both.select("b")).distinct(), "ids")
+    ids = stash(both.select(F.col("a").alias("id")).union(both.select("b")).union(wide.select("id")).distinct(), "ids")
     few = F.broadcast(ids) if ids.count() <= broadcast_rows else ids  # 8 bytes each
     marked = stash(_marked(texts.join(few, "id"), words), "marked")
     drop(ids)
@@ -268,7 +268,7 @@ def one_of_each(
         x, y = (marked.select(F.col("key").alias(c), F.col("id").alias(i)) for c, i in (("x", "a"), ("y", "b")))
         return found[-1].join(x, "x").join(y, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    connecting(both, alike)
+    connecting(both, wide, KIND, None, similarity, alike)
     edges = found[0]
     for e in found[1:]:
         edges = edges.union(e)

@@ -377,7 +377,7 @@ def test_lines_of_the_edit_similarity_share_a_key():
             assert (strong[0] ^ strong[1]).bit_count() <= 2 * lines.word_distance(a, b)
 
 
-@pytest.mark.parametrize("wide, hot", [(64, 500_000), (1, 2)])
+@pytest.mark.parametrize("wide, hot", [(32, 500_000), (1, 2)])
 def test_op8_finds_what_brute_force_on_edit_similarity_finds(spark, tmp_path, monkeypatch, wide, hot):
     monkeypatch.setattr(pairs, "WIDE", wide)  # 1: every group has leaders
     monkeypatch.setattr(pairs, "HOT", hot)  # 2: common keys are cut into parts
