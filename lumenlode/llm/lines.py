@@ -18,8 +18,9 @@ from .store import drop, release, stash
 
 #: Words whose keys are made at a time: few enough for a processor's cache.
 AT_ONCE = 1 << 16
-#: Records of the index of lines, and the counters that their marks are parities of.
-KIND, COUNTERS = record(2, wide=False), 128
+#: Counters of words that go with a record of the index of lines, and that the lines of pairs are compared by.
+COUNTERS, FINE = 32, 64
+KIND = record(COUNTERS, wide=False)
 
 
 #: Normal form: ASCII letters lower, other ASCII but digits and line ends blank; runs of blanks then become one.
@@ -84,13 +85,14 @@ def _keys(lines: list[bytes], similarity: float, ranked: Ranks) -> tuple[np.ndar
     """Keys of some lines, the members and the line of each, and the lines' words and marks.
 
     Keys are the first of a line's pairs of words (see ``_prefix``) in the order of rank and hash, each with
-    its number among the same pairs of the line. Marks are the parities of COUNTERS counters of words: an
-    edit changes two of them at most.
+    its number among the same pairs of the line. Marks are COUNTERS counters of words (up to 15): an edit
+    changes them by two in all at most.
     """
     h, n = _hashes(lines)
     line = np.repeat(np.arange(len(n)), n)
-    odd = np.bincount(line * COUNTERS + (h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS * len(n)).reshape(-1, COUNTERS) & 1
-    marks = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<u8")
+    counts = np.bincount(line * COUNTERS + (h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS * len(n)).reshape(-1, COUNTERS)
+    counts = np.minimum(counts, 15).astype(np.uint8)
+    marks = counts[:, : COUNTERS // 2] | counts[:, COUNTERS // 2 :] << 4
     pair, line = _pairs_of(h, n)
     order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (ranked(pair).astype(np.uint64) << np.uint64(40)) | (pair >> np.uint64(24)))
     pair, at = pair[order], np.arange(len(order))
@@ -157,7 +159,7 @@ def index_of(lines: DataFrame, buckets: int, passes: int, nth_pass: int) -> Data
             keys = np.frombuffer(b"".join(each), "<u8")
             n = np.fromiter(map(len, each), np.int64, len(each)) // 8
             members = np.frombuffer(b"".join(m if m is not None else b"\0\0\x80\x3f" * k for m, k in zip(b.column(4).to_pylist(), n.tolist())), "<f4")
-            marks = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u8").reshape(len(each), -1)
+            marks = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(each), -1)
             ids = np.frombuffer(b"".join(x[:8] for x in b.column(0).to_pylist()), "<i8")
             yield packed(KIND, buckets, passes, nth_pass, keys, members, np.repeat(np.arange(len(each)), n), id=ids, size=b.column(1).to_numpy(), marks=marks)
 
@@ -198,9 +200,9 @@ def word_distance(a: list, b: list) -> int:
 
 
 def signature(words: list[bytes]) -> bytes:
-    """Parities of 512 counters of words, of which an edit changes two at most."""
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    return np.packbits((np.bincount(((h >> np.uint64(32)) & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
+    """FINE counters of words (up to 255), which an edit changes by two in all at most."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.minimum(np.bincount(((h >> np.uint64(32)) & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE), 255).astype(np.uint8).tobytes()
 
 
 def wanted_lines(df: DataFrame, text: str, ids: DataFrame, few: int) -> DataFrame:
@@ -223,24 +225,28 @@ def wanted_lines(df: DataFrame, text: str, ids: DataFrame, few: int) -> DataFram
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [x.split(b" ") for x in b.column(2).to_pylist()]
-            marks = np.frombuffer(b"".join(map(signature, words)), "<i8").reshape(-1, 8)
-            cols = [pa.array(list(map(len, words)), pa.int32()), *[pa.array(marks[:, k].copy()) for k in range(8)]]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=["id", "line", "norm", "words_n", *[f"m{k}" for k in range(8)]])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(map(len, words)), pa.int32()), pa.array(list(map(signature, words)), pa.binary())], names=["id", "line", "norm", "words_n", "marks"])
 
     found = df.select(text).mapInArrow(run, "id bigint, line binary, norm binary")
     once = (found if known is not None else found.join(ids, "id")).groupBy("line").agg(F.first("id").alias("id"), F.first("norm").alias("norm"))
-    return once.select("id", "line", "norm").mapInArrow(signed, "id bigint, line binary, norm binary, words_n int, " + ", ".join(f"m{k} bigint" for k in range(8)))
+    return once.select("id", "line", "norm").mapInArrow(signed, "id bigint, line binary, norm binary, words_n int, marks binary")
 
 
 def possible(found: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """Pairs of lines x < y whose ids are a pair of ``found`` and whose lengths and signatures leave the similarity possible."""
-    names = ["line", "words_n", *[f"m{k}" for k in range(8)]]
-    x, y = (lines.select(F.col("id").alias(c), F.struct(*names).alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    differ = sum((F.bit_count(F.col(f"x.m{k}").bitwiseXOR(F.col(f"y.m{k}"))) for k in range(8)), F.lit(0))
-    short, long = F.least("x.words_n", "y.words_n"), F.greatest("x.words_n", "y.words_n")
+    x, y = (lines.select(F.col("id").alias(c), F.col("line").alias(s), F.col("words_n").alias(f"{s}_n"), F.col("marks").alias(f"{s}_m")) for c, s in (("a", "x"), ("b", "y")))
+    short, long = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
     edits = F.floor((1 - similarity) * long + 1e-9)
-    met = found.join(x, "a").join(y, "b").where((differ <= 2 * edits) & (long - short <= edits) & (F.col("x.line") != F.col("y.line")))
-    return met.select(F.least("x.line", "y.line").alias("x"), F.greatest("x.line", "y.line").alias("y")).distinct()
+    met = found.join(x, "a").join(y, "b").where((long - short <= edits) & (F.col("x") != F.col("y"))).select("x", "y", edits.cast("int").alias("edits"), "x_m", "y_m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p, q = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, FINE).astype(np.int16) for k in (3, 4))
+            near = np.abs(p - q).sum(axis=1) <= 2 * b.column(2).to_numpy()
+            yield b.select(["x", "y"]).filter(pa.array(near))
+
+    out = met.mapInArrow(run, "x binary, y binary")
+    return out.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def verified(found: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -289,28 +295,26 @@ def duplicate_lines(
     occurrences = stash(every.select("at", "doc", "nth", "line"), "occurrences")
     drop(every)
 
-    ids = met.select(F.col("a").alias("id")).union(met.select("b")).union(wide.select("id")).distinct()
-    ids = stash(ids, "ids")
-    lines = stash(wanted_lines(df, text, ids, broadcast_rows), "wanted")
-    drop(ids)
-    release(spark)
     same = []
 
     def alike(found: DataFrame) -> DataFrame:
         """As ids, for ``connecting``; the pairs of lines are put by."""
+        ids = stash(found.select(F.col("a").alias("id")).union(found.select("b")).distinct(), "ids")
+        lines = stash(wanted_lines(df, text, ids, broadcast_rows), "wanted")
+        drop(ids)
         near = stash(possible(found, lines, similarity), "possible")
         same.append(stash(verified(near, lines.select("line", "norm"), similarity), "alike"))
-        drop(near)
+        drop(lines, near)
         release(spark)
-        x, y = (lines.select(F.col("line").alias(c), F.col("id").alias(i)) for c, i in (("x", "a"), ("y", "b")))
-        return same[-1].join(x, "x").join(y, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        head = lambda c: F.conv(F.hex(F.reverse(F.substring(c, 1, 8))), 16, -10).cast("long")
+        return same[-1].select(F.least(head("x"), head("y")).alias("a"), F.greatest(head("x"), head("y")).alias("b")).distinct()
 
     connecting(met, wide, KIND, _edits(similarity), similarity, alike)
     edges = same[0]
     for e in same[1:]:
         edges = edges.union(e)
     roots = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "line")
-    drop(lines, *same)
+    drop(*same)
     release(spark)
 
     placed = one.join(roots, "line", "left").select("line", "first", F.coalesce("root", "line").alias("root"))

@@ -9,6 +9,7 @@ are found.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from .graph import components
 from .store import drop, release, stash
 
-#: Slots of the table of ranks (a byte each, few enough for a processor's cache), those that are kept at most, and documents that are sampled at most.
-SLOTS, KEPT, SAMPLE = 1 << 22, 300_000, 20_000
+#: Slots of the table of ranks (a byte each), ranges that they are counted in, and documents that are sampled at most.
+SLOTS, RANGES, SAMPLE = 1 << 24, 64, 100_000
 #: Groups of a key beyond this size are first compared with so many leaders only.
 WIDE, LEADERS = 32, 8
 #: Keys that one task holds, about; members of a common key that one task holds at most, by estimate.
@@ -28,48 +29,57 @@ BUCKET, HOT = 1 << 20, 500_000
 
 
 class Ranks:
-    """How common grams are, from 0 (rare) to 15, by their slots."""
+    """How common grams are, from 0 (rare) up, by the slots of their hashes: a table of SLOTS bytes."""
 
-    def __init__(self, slots: np.ndarray, counts: np.ndarray, scale: float):
-        self.slots, self.counts, self.scale = slots, counts, scale
-
-    def _table(self) -> np.ndarray:
-        table = np.zeros(SLOTS, np.uint8)
-        table[self.slots] = np.minimum(np.log2(np.maximum(self.counts, 1)).astype(np.int64), 15)
-        return table
+    def __init__(self, table: bytes, scale: float):
+        self.packed, self.scale = zlib.compress(table, 1), scale
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "table"):
-            self.table = self._table()
-        return self.table[grams >> np.uint64(42)]
+        if "table" not in self.__dict__:
+            self.table = np.frombuffer(zlib.decompress(self.packed), np.uint8)
+        return self.table[grams >> np.uint64(40)]
 
     def members(self, grams: np.ndarray) -> np.ndarray:
         """How many items of the whole table have the gram, at most about; 1 where the sample says little."""
-        return np.where((r := self(grams)) >= 3, np.exp2(r + 1.0) * self.scale, 1.0)
+        return np.where((r := self(grams)) >= 4, np.exp2(r / 2 + 0.5) * self.scale, 1.0)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "table"}
 
 
 def ranks(df: DataFrame, text: str, grams_of: Callable[[list], np.ndarray]) -> Ranks:
-    """Counted over a sample of ``df`` by hash of the text, of about SAMPLE rows; ``grams_of``: the grams of some texts."""
+    """Logarithms of the counts of slots over a sample of ``df`` by hash of the text, of about SAMPLE rows; ``grams_of``: the grams of some texts."""
     n = df.count()
-    share = min(1.0, SAMPLE / max(n, 1))
-    sample = df.where(F.pmod(F.xxhash64(F.lit("sample"), text), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(text).dropDuplicates()
+    share, width = min(1.0, SAMPLE / max(n, 1)), SLOTS // RANGES
+    sample = df.where(F.pmod(F.xxhash64(F.lit("sample"), text), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each task the slots that it met, by range, with saturated counts."""
+        seen = np.zeros(SLOTS, np.uint16)
         for b in batches:
-            slots, counts = np.unique((grams_of(b.column(0).to_pylist()) >> np.uint64(42)).astype(np.int32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts.astype(np.int64))], names=["slot", "n"])
+            slots, counts = np.unique((grams_of(list(set(b.column(0).to_pylist()))) >> np.uint64(40)).astype(np.int32), return_counts=True)
+            seen[slots] = np.minimum(seen[slots].astype(np.int64) + counts, 65535)
+        met = np.flatnonzero(seen).astype(np.int32)
+        cuts = np.searchsorted(met, np.arange(0, SLOTS + 1, width))
+        for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if j > i:
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(met[i:j] - k * width).tobytes()], pa.binary()), pa.array([seen[met[i:j]].tobytes()], pa.binary())], names=["range", "slots", "counts"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.int64)
+        for slots, counts in zip(table.column("slots").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            total[np.frombuffer(slots, np.int32)] += np.frombuffer(counts, np.uint16)
+        rank = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)  # half powers of two
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([rank.tobytes()], pa.binary())], names=["range", "ranks"])
 
-    counted = sample.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counted.orderBy(F.desc("n"), "slot").limit(KEPT).toArrow()  # KEPT rows of 12 bytes
-    return Ranks(top.column("slot").to_numpy(), top.column("n").to_numpy(), 1 / share)
+    counted = sample.mapInArrow(count, "range int, slots binary, counts binary").groupBy("range").applyInArrow(add, "range int, ranks binary")
+    found = {r["range"]: bytes(r["ranks"]) for r in counted.collect()}  # SLOTS bytes
+    return Ranks(b"".join(found.get(k, bytes(width)) for k in range(RANGES)), 1 / share)
 
 
-def record(marks: int, wide: bool) -> np.dtype:
-    """An entry of the index: 32 bits of a key, an item's id and size, and so many times 64 marks that bound how far two items differ."""
-    return np.dtype([("key", "<u4"), ("id", "<i8"), ("size", "<u4" if wide else "<u2")] + [("marks", "<u8", (marks,))] * (marks > 0))
+def record(counters: int, wide: bool) -> np.dtype:
+    """An entry of the index: 32 bits of a key, an item's id and size, and counters of four bits, whose differences bound how far two items differ."""
+    return np.dtype([("key", "<u4"), ("id", "<i8"), ("size", "<u4" if wide else "<u2")] + [("marks", "u1", (counters // 2,))] * (counters > 0))
 
 
 def packed(kind: np.dtype, buckets: int, passes: int, nth: int, grams: np.ndarray, members: np.ndarray, item: np.ndarray, **of_item: np.ndarray) -> pa.RecordBatch:
@@ -109,7 +119,8 @@ class _Bounds:
 
     def __init__(self, r: np.ndarray, edits: Callable[[np.ndarray], np.ndarray] | None, similarity: float):
         self.size, self.top = r["size"].astype(np.int64), np.iinfo(r.dtype["size"]).max
-        self.marks, self.edits, self.similarity = r["marks"] if "marks" in r.dtype.names else None, edits, similarity
+        self.edits, self.similarity = edits, similarity
+        self.marks = np.concatenate([r["marks"] & 15, r["marks"] >> 4], axis=1).astype(np.int8) if "marks" in r.dtype.names else None
 
     def fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return (self.size[i] >= self.similarity * self.size[j] - 1e-9) | (self.size[j] == self.top)
@@ -117,8 +128,12 @@ class _Bounds:
     def passes(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         if self.marks is None:
             return np.ones(len(i), bool)
-        differ = np.bitwise_count(self.marks[i] ^ self.marks[j]).sum(axis=1, dtype=np.int64)
-        return (differ <= 2 * self.edits(self.size[j])) | (self.size[j] == self.top)
+        out = np.ones(len(i), bool)
+        for k in range(0, len(i), 1 << 16):  # few enough for a processor's cache
+            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            differ = np.abs(self.marks[x] - self.marks[y]).sum(axis=1, dtype=np.int16)
+            out[k : k + (1 << 16)] = (differ <= 2 * self.edits(self.size[y])) | (self.size[y] == self.top)
+        return out
 
 
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,12 +164,18 @@ def meeting(r: np.ndarray, edits: Callable | None, similarity: float) -> tuple[n
     wide = (ends - starts > WIDE)[group]
     found = []
     alone = np.flatnonzero(wide)
-    for _ in range(LEADERS):  # in every wide group at once
+    for k in range(LEADERS):  # in every wide group at once
         if not len(alone):
             break
-        first = np.concatenate([np.ones(1, bool), np.diff(group[alone]) != 0])
-        z, x = alone[first][np.cumsum(first) - 1][~first], alone[~first]
-        ours = bounds.fits(z, x) & bounds.passes(z, x)  # z is the shortest left
+        first = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(np.diff(group[alone])) + 1])
+        many = np.diff(np.concatenate([first, [len(alone)]]))
+        at = first + (r["key"][alone[first]].astype(np.uint64) * np.uint64(2654435761) + np.uint64(k)) % many.astype(np.uint64)  # not the same for every key
+        at = at.astype(np.int64)
+        rest = np.ones(len(alone), bool)
+        rest[at] = False
+        z, x = np.repeat(alone[at], many)[rest], alone[rest]
+        low, high = np.minimum(z, x), np.maximum(z, x)
+        ours = bounds.fits(low, high) & bounds.passes(low, high)
         found.append((ids[z[ours]], ids[x[ours]]))
         alone = x[~ours]
     i, gap = np.flatnonzero(~wide), 0
