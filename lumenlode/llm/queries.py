@@ -106,32 +106,25 @@ def _licence_sql() -> str:
     known = ", ".join(f"({i + 1}, '{s}')" for i, s in enumerate(licences.SENTENCES))
     tests = [("," + ",(?:[0-9]+,)*".join(map(str, ids)) + ",", name, kind) for name, kind, ids in licences.RULES]
     rules = ", ".join(f"({i}, '{p}', '{name}', '{kind}')" for i, (p, name, kind) in enumerate(tests))
+    ends = "regexp_replace({}, '([.!?])[\\x20\\x09-\\x0D]+', '\\1' || chr({}), 'g')"
     return f"""
         WITH known(id, s) AS (VALUES {known}),
         rules(nth, pattern, licence, kind) AS (VALUES {rules}),
-        cut AS (
-            SELECT row_number() OVER () AS r, doc_id,
-                   string_split(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS parts
-            FROM documents
+        texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        counted AS (
+            SELECT r, len(list_filter(list_transform(string_split({ends.format("t", 10)}, chr(10)), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '')) AS n_sentences FROM texts
         ),
-        sentences AS (
-            SELECT r, i, trim(regexp_replace(lower(parts[i]), '[^a-z0-9]+', ' ', 'g')) AS s
-            FROM (SELECT r, parts, unnest(range(1, len(parts) + 1)) AS i FROM cut)
-        ),
-        sequences AS (
-            SELECT r, count(*) AS n_sentences,
-                   coalesce(',' || string_agg(known.id::VARCHAR, ',' ORDER BY i) FILTER (known.id IS NOT NULL) || ',', '') AS sequence
-            FROM sentences LEFT JOIN known USING (s) WHERE s <> '' GROUP BY r
-        ),
-        matched AS (
-            SELECT r, licence, kind, nth FROM sequences JOIN rules ON regexp_matches(sequence, pattern)
+        found AS (
+            SELECT r, regexp_extract_all(regexp_replace(lower({ends.format("replace(t, chr(1), ' ')", 1)}), '[^a-z0-9\\x01]+', ' ', 'g'), '{licences.known_pattern(licences.SENTENCES)}') AS f FROM texts
         ),
+        each AS (SELECT r, unnest(f) AS s, unnest(range(0, len(f))) AS i FROM found),
+        sequences AS (SELECT r, ',' || string_agg(known.id::VARCHAR, ',' ORDER BY i) || ',' AS sequence FROM each JOIN known USING (s) GROUP BY r),
+        matched AS (SELECT r, licence, kind, nth FROM sequences JOIN rules ON regexp_matches(sequence, pattern)),
         firsts AS (SELECT r, licence, min(nth) AS nth FROM matched GROUP BY r, licence),
         best AS (SELECT r, arg_min(licence, nth) AS licence, arg_min(kind, nth) AS kind FROM matched GROUP BY r),
         lists AS (SELECT r, string_agg(licence, ',' ORDER BY nth) AS licences FROM firsts GROUP BY r)
-        SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(sequence, '') AS sequence,
-               best.licence, best.kind, coalesce(licences, '') AS licences
-        FROM cut LEFT JOIN sequences USING (r) LEFT JOIN best USING (r) LEFT JOIN lists USING (r)
+        SELECT doc_id, n_sentences, coalesce(sequence, '') AS sequence, best.licence, best.kind, coalesce(licences, '') AS licences
+        FROM texts JOIN counted USING (r) LEFT JOIN sequences USING (r) LEFT JOIN best USING (r) LEFT JOIN lists USING (r)
     """
 
 

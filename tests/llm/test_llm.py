@@ -237,6 +237,26 @@ def test_wrapped_licences(spark):
     }
 
 
+def test_licences_as_files_carry_them(spark):
+    known = licences.SENTENCES
+    header = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+    mit = "\n".join(textwrap.fill(known[i - 1] + ".", 80) for i in (8, 9, 10))
+    cases = {
+        header: ("Apache-2.0", "header"),
+        "# " + textwrap.fill(header, 70).replace("\n", "\n# "): ("Apache-2.0", "header"),
+        mit: ("MIT", "text"),
+        "Copyright (c) 2020 A. All rights reserved.\n\n" + mit: ("MIT", "text"),
+        "// SPDX-License-Identifier: MIT\nint x;": ("MIT", "identifier"),
+        "/* SPDX-License-Identifier: GPL-2.0-or-later */": ("GPL-2.0-or-later", "identifier"),
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.": ("MPL-2.0", "header"),
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": ("ISC", "text"),
+        "Licensed under CC BY-NC-SA 4.0.": ("CC-BY-NC-SA-4.0", "notice"),
+        "a licensed practitioner of software": (None, None),
+    }
+    got = {r.row.doc_id: (r.licence, r.kind) for r in licences.scan(odd(spark, list(cases))).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_fingerprints_and_components(spark, texts):
     def fp(t):
         w = (t or "").encode().lower().split()
