@@ -9,6 +9,7 @@ from ..functions.numeric import clamp01, log_share, safe_div
 
 
 def term_period_stats(m: DataFrame) -> DataFrame:
+    """df and tf of each topic and period."""
     return m.groupBy("topic", "period").agg(F.countDistinct("doc").alias("df"), F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("tf"))
 
 
@@ -22,35 +23,94 @@ def corpus_per_period(m: DataFrame) -> DataFrame:
     return m.groupBy("period").agg(F.countDistinct("doc").alias("n"))
 
 
-def topic_series(m: DataFrame) -> DataFrame:
+#: What a topic is counted by: the columns that make a thing distinct inside a topic.
+KINDS = {"period": ["period", "doc"], "doc": ["doc"], "org": ["org"], "venue": ["venue"], "class": ["source_class", "doc"]}
+
+
+def profile(m: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+    """One row per topic with what its indicators need, from one pass over the mentions.
+
+    The mentions are grouped by several sets of columns at once (partial sums before the shuffle), then
+    counted per period or class, and only those few counts of a topic are brought together. Columns: topic;
+    series (period, df, tf); documents, doc_firsts and org_firsts (period, n: things first seen then), orgs,
+    venues, classes (documents per class), citations, patent_share and corporate_share per document.
+    """
+    named = ["topic", "period", "doc", "org", "venue", "source_class"]
+    sets = [["topic", *KINDS[k]] for k in kinds]
+    of = {sum(1 << (len(named) - 1 - i) for i, c in enumerate(named) if c not in x): k for k, x in zip(kinds, sets)}
+    rows = m.withColumn("at", F.col("period"))
+    held = lambda c, d="null": F.max(c) if c in m.columns else F.lit(None).cast("double")
+    g = rows.groupingSets([[F.col(c) for c in x] for x in sets], *[F.col(c) for c in named]).agg(
+        F.grouping_id().alias("gid"), F.sum("tf").alias("tf"), F.min("at").alias("first"),
+        held("citations").alias("c"), held("patent").alias("p"), held("corporate").alias("i"),
+    )
+    kind = F.coalesce(*[F.when(F.col("gid") == k, v) for k, v in of.items()])
+    g = g.withColumn("kind", kind).where("not (kind = 'org' and org is null) and not (kind = 'venue' and venue is null)")
+    at = F.when(F.col("kind") == "period", F.col("period")).when(F.col("kind").isin("doc", "org"), F.col("first"))
+    counts = g.groupBy("topic", "kind", at.alias("at"), F.when(F.col("kind") == "class", F.col("source_class")).alias("class")).agg(
+        F.count("*").alias("n"), F.sum("tf").alias("tf"), F.sum("c").alias("c"), F.count("c").alias("cited"), F.sum("p").alias("p"), F.sum("i").alias("i")
+    )
+    every = counts.groupBy("topic").agg(F.collect_list(F.struct("kind", "at", "class", "n", "tf", "c", "cited", "p", "i")).alias("x"))  # a few rows per period and class
+    of_kind = lambda k: F.filter("x", lambda r: r["kind"] == k)
+    total = lambda k, f: F.aggregate(of_kind(k), F.lit(0.0), lambda s, r: s + F.coalesce(r[f].cast("double"), F.lit(0.0)))
+    firsts = lambda k: F.array_sort(F.transform(of_kind(k), lambda r: F.struct(r["at"].alias("period"), r["n"].alias("n"))))
+    docs = total("doc", "n")
+    return every.select(
+        "topic",
+        F.array_sort(F.transform(of_kind("period"), lambda r: F.struct(r["at"].alias("period"), r["n"].alias("df"), F.coalesce(r["tf"], F.lit(0)).cast("long").alias("tf")))).alias("series"),
+        docs.cast("long").alias("documents"),
+        firsts("doc").alias("doc_firsts"),
+        firsts("org").alias("org_firsts"),
+        total("org", "n").cast("long").alias("orgs"),
+        total("venue", "n").cast("long").alias("venues"),
+        F.transform(of_kind("class"), lambda r: r["n"]).alias("classes"),
+        safe_div(total("doc", "c"), total("doc", "cited")).alias("citations"),
+        safe_div(total("doc", "p"), docs).alias("patent_share"),
+        safe_div(total("doc", "i"), docs).alias("corporate_share"),
+        (total("doc", "cited") > 0).alias("cited"),
+    )
+
+
+def span(m: DataFrame) -> DataFrame:
+    """One row: the corpus' first period a, its periods, and documents by period as a map (periods are years)."""
+    c = corpus_per_period(m)
+    return c.agg(F.min("period").alias("a"), F.max("period").alias("b"), F.map_from_entries(F.collect_list(F.struct("period", "n"))).alias("by_period"))
+
+
+def filled(profiles: DataFrame, corpus: DataFrame) -> DataFrame:
     """A row for each topic and each period of the corpus' span, zero where there is none: df, tf, n, idx (from 1), length."""
-    corpus = corpus_per_period(m)
-    span = corpus.agg(F.min("period").alias("a"), F.max("period").alias("b"))
-    spine = span.select(F.explode(F.sequence("a", "b")).alias("period"), "a", (F.col("b") - F.col("a") + 1).cast("long").alias("length"))
-    spine = spine.select("period", (F.col("period") - F.col("a") + 1).cast("long").alias("idx"), "length")
-    # the spine has a row per period and the corpus one too: both are years
-    spine = spine.join(F.broadcast(corpus), "period", "left")
-    grid = m.select("topic").distinct().crossJoin(F.broadcast(spine))
-    out = grid.join(term_period_stats(m), ["topic", "period"], "left")
-    return out.select("topic", "period", "idx", "length", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("df", "tf", "n")])
+    j = profiles.select("topic", F.map_from_entries(F.transform("series", lambda r: F.struct(r["period"], r))).alias("own")).crossJoin(F.broadcast(corpus))  # one row
+    row = lambda p: F.struct(
+        p.alias("period"), (p - F.col("a") + 1).cast("long").alias("idx"), (F.col("b") - F.col("a") + 1).cast("long").alias("length"),
+        F.coalesce(F.try_element_at("own", p)["df"], F.lit(0)).cast("long").alias("df"), F.coalesce(F.try_element_at("own", p)["tf"], F.lit(0)).cast("long").alias("tf"),
+        F.coalesce(F.try_element_at("by_period", p), F.lit(0)).cast("long").alias("n"),
+    )
+    return j.select("topic", F.explode(F.transform(F.sequence("a", "b"), row)).alias("r")).select("topic", "r.*")
+
+
+def topic_series(m: DataFrame) -> DataFrame:
+    """See ``filled``; of all topics of the mentions."""
+    return filled(profile(m, ("period",)), span(m))
 
 
 def growth(series: DataFrame, g_max: float = 3.0, last_share: float = 1.0) -> DataFrame:
-    """Slope of ln(df + 1) over periods with documents, the last one annualised; half-window slopes; growth in 0..1."""
+    """Slope of ln(df + 1) over periods with documents, the last one annualised; half-window slopes; growth in 0..1.
+
+    Slopes have nine decimals: a flat series has slope 0, not the noise of its sums.
+    """
     df = F.when(F.col("idx") == F.col("length"), F.col("df") / max(last_share, 0.05)).otherwise(F.col("df"))
     s = series.withColumn("y", F.when(df > 0, F.log(df + 1.0))).withColumn("x", F.when(df > 0, F.col("idx").cast("double")))
     half = F.floor(F.col("length") / 2)
 
     def slope(where) -> F.Column:
         x, y = F.when(where, F.col("x")), F.when(where, F.col("y"))
-        flat = F.coalesce(F.var_pop(x), F.lit(0.0)) > 0
-        return F.when(flat, F.coalesce(F.regr_slope(y, x), F.lit(0.0))).otherwise(0.0)
+        varied = F.coalesce(F.var_pop(x), F.lit(0.0)) > 0
+        return F.when(varied, F.round(F.coalesce(F.regr_slope(y, x), F.lit(0.0)), 9)).otherwise(0.0)
 
     always, early, late = F.lit(True), F.col("idx") <= half, F.col("idx") > F.col("length") - half
-    varied = F.coalesce(F.var_pop("y"), F.lit(0.0)) > 0
     out = s.groupBy("topic").agg(
-        F.when(varied, slope(always)).otherwise(0.0).alias("slope"),
-        F.when(varied, F.coalesce(F.regr_r2("y", "x"), F.lit(0.0))).otherwise(0.0).alias("r2"),
+        slope(always).alias("slope"),
+        F.when(F.coalesce(F.var_pop("y"), F.lit(0.0)) > 1e-12, F.coalesce(F.regr_r2("y", "x"), F.lit(0.0))).otherwise(0.0).alias("r2"),
         F.count("x").alias("points"),
         slope(early).alias("early"),
         slope(late).alias("recent"),
@@ -100,20 +160,28 @@ def corpus_stats(m: DataFrame, series: DataFrame, recent: int = 2) -> DataFrame:
     return volume.agg(F.max("r").alias("recent_max"), *q).crossJoin(m.agg(F.countDistinct("source_class").alias("classes")))
 
 
+def first_credible(p: DataFrame, documents: int = 2, parties: int = 2) -> F.Column:
+    """Of a profile the first period by which the topic has so many documents of so many organisations, or null."""
+    by = lambda c, at: F.aggregate(F.filter(c, lambda r: r["period"] <= at), F.lit(0).cast("long"), lambda s, r: s + r["n"])
+    reached = F.filter(F.transform("doc_firsts", lambda r: r["period"]), lambda at: (by("doc_firsts", at) >= documents) & (by("org_firsts", at) >= parties))
+    late = F.filter(F.transform("org_firsts", lambda r: r["period"]), lambda at: (by("doc_firsts", at) >= documents) & (by("org_firsts", at) >= parties))
+    return F.least(F.array_min(reached), F.array_min(late))
+
+
 def first_credible_year(m: DataFrame, documents: int = 2, parties: int = 2) -> DataFrame:
-    """The first period by which a topic has so many documents of so many organisations."""
-    w = Window.partitionBy("topic").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
-    docs = m.groupBy("topic", "doc").agg(F.min("period").alias("period")).groupBy("topic", "period").agg(F.count("*").alias("d"))
-    orgs = m.groupBy("topic", "org").agg(F.min("period").alias("period")).groupBy("topic", "period").agg(F.count("*").alias("o"))
-    both = docs.join(orgs, ["topic", "period"], "full").fillna(0, ["d", "o"])
-    both = both.withColumn("d", F.sum("d").over(w)).withColumn("o", F.sum("o").over(w))
-    return both.where((F.col("d") >= documents) & (F.col("o") >= parties)).groupBy("topic").agg(F.min("period").alias("first_year"))
+    """Topics that reach them, with the first period by which a topic has so many documents of so many organisations."""
+    p = profile(m, ("doc", "org"))
+    return p.select("topic", first_credible(p, documents, parties).alias("first_year")).where("first_year is not null")
+
+
+def novelty_of(first_year: F.Column, current_year: int, tau: float = 3.0) -> F.Column:
+    """1 in the year of the first credible evidence, then decaying; 0 without such a year."""
+    return F.when(first_year.isNull(), 0.0).otherwise(F.exp(-F.greatest(F.lit(0), F.lit(current_year) - first_year) / tau))
 
 
 def novelty(m: DataFrame, current_year: int, tau: float = 3.0) -> DataFrame:
-    found = m.select("topic").distinct().join(first_credible_year(m), "topic", "left")
-    age = F.greatest(F.lit(0), F.lit(current_year) - F.coalesce("first_year", F.lit(current_year)))
-    return found.select("topic", "first_year", F.exp(-age / tau).alias("novelty"))
+    p = profile(m, ("doc", "org"))
+    return p.select("topic", first_credible(p).alias("first_year")).select("topic", "first_year", novelty_of(F.col("first_year"), current_year, tau).alias("novelty"))
 
 
 def weakness(series: DataFrame, recent: int = 2, floor: int = 5) -> DataFrame:
@@ -123,26 +191,36 @@ def weakness(series: DataFrame, recent: int = 2, floor: int = 5) -> DataFrame:
     return r.crossJoin(F.broadcast(r.agg(most))).select("topic", "recent", clamp01(1 - F.log1p("recent") / F.log1p("most")).alias("weakness"))
 
 
-def diffusion(m: DataFrame, weights=(0.40, 0.35, 0.25), orgs: int = 50, venues: int = 25) -> DataFrame:
+def diffusion_of(active: F.Column, weights=(0.40, 0.35, 0.25), orgs: int = 50, venues: int = 25) -> tuple[F.Column, F.Column]:
+    """Of a profile the evenness over source classes (``active``: how many the corpus has), and the diffusion."""
+    n = F.aggregate("classes", F.lit(0.0), lambda s, x: s + x)
+    entropy = F.aggregate("classes", F.lit(0.0), lambda s, x: s - (x / n) * F.log(x / n))
+    even = clamp01(safe_div(entropy, F.log(active.cast("double"))))
+    return even, clamp01(weights[0] * even + weights[1] * log_share(F.col("orgs"), orgs) + weights[2] * log_share(F.col("venues"), venues))
+
+
+def diffusion(m: DataFrame) -> DataFrame:
     """Entropy over source classes, breadth of organisations and of venues."""
-    by_class = m.groupBy("topic", "source_class").agg(F.countDistinct("doc").alias("c"))
-    share = by_class.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("topic")))
-    entropy = share.groupBy("topic").agg(F.sum(-F.col("p") * F.log("p")).alias("h"))
-    # a single row
     active = F.broadcast(m.agg(F.countDistinct("source_class").alias("k")))
-    breadth = m.groupBy("topic").agg(F.countDistinct("org").alias("orgs"), F.countDistinct("venue").alias("venues"))
-    j = breadth.join(entropy, "topic").crossJoin(active)
-    even = clamp01(safe_div(F.col("h"), F.log(F.col("k").cast("double"))))
-    value = weights[0] * even + weights[1] * log_share(F.col("orgs"), orgs) + weights[2] * log_share(F.col("venues"), venues)
-    return j.select("topic", "orgs", "venues", even.alias("evenness"), clamp01(value).alias("diffusion"))
-
-
-def impact(m: DataFrame, weights=(0.45, 0.30, 0.25)) -> DataFrame:
-    """Citations per document, share of patents and of corporate organisations; each part held in 0..1 first."""
-    d = m.groupBy("topic", "doc").agg(F.max("citations").alias("c"), F.max("patent").alias("p"), F.max("corporate").alias("i"))
-    a = d.groupBy("topic").agg(F.avg("c").alias("c"), F.avg("p").alias("p"), F.avg("i").alias("i"))
-    value = weights[0] * log_share(F.col("c"), 10) + weights[1] * clamp01(F.col("p") / 0.30) + weights[2] * clamp01(F.col("i") / 0.50)
-    return a.select("topic", F.col("p").alias("patent_share"), value.alias("impact"))
+    even, value = diffusion_of(F.col("k"))
+    return profile(m, ("org", "venue", "class")).crossJoin(active).select("topic", "orgs", "venues", even.alias("evenness"), value.alias("diffusion"))  # one row
+
+
+def impact_of(weights=(0.45, 0.30, 0.25)) -> tuple[F.Column, F.Column]:
+    """Of a profile the impact, and whether anything of it is measured."""
+    value = weights[0] * log_share(F.col("citations"), 10) + weights[1] * clamp01(F.col("patent_share") / 0.30) + weights[2] * clamp01(F.col("corporate_share") / 0.50)
+    return value, F.col("cited") | (F.col("patent_share") > 0) | (F.col("corporate_share") > 0)
+
+
+def impact(m: DataFrame) -> DataFrame:
+    """Citations a year per document, share of patents and of corporate organisations; each part held in 0..1 first."""
+    value, measured = impact_of()
+    return profile(m, ("doc",)).select("topic", "patent_share", value.alias("impact"), measured.alias("measured"))
+
+
+def per_year(citations: F.Column, year: F.Column, current_year: int) -> F.Column:
+    """Citations a year since publication, the year itself counting as one."""
+    return citations / F.greatest(F.lit(1), F.lit(current_year) - year)
 
 
 def confidence(series: DataFrame, fit: DataFrame, classes: DataFrame, threshold: float = 0.40) -> DataFrame:

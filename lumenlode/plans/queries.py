@@ -6,12 +6,14 @@ their nations for venues and return flags for source classes.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.numeric import cosine, out
-from ..operators import model, reports, scoring, selection, series, terms, vectors
+from ..operators import evidence, model, reports, scoring, selection, series, terms, vectors
 from ..streaming import events as streams
 
 QUERIES: dict = {}
@@ -46,7 +48,7 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_returnflag").alias("source_class"),
         F.col("s_nationkey").alias("venue"),
         F.col("l_linenumber").alias("tf"),
-        F.col("l_quantity").alias("citations"),
+        series.per_year(F.col("l_quantity"), F.year("l_shipdate"), 2001).alias("citations"),
         (F.col("l_linestatus") == "F").cast("double").alias("patent"),
         (F.col("l_discount") > 0.05).cast("double").alias("corporate"),
     )
@@ -54,7 +56,7 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 M = """WITH m AS (
     SELECT l_partkey AS topic, l_orderkey AS doc, year(l_shipdate) AS period, l_suppkey AS org, l_returnflag AS source_class,
-           s_nationkey AS venue, l_linenumber AS tf, l_quantity AS citations,
+           s_nationkey AS venue, l_linenumber AS tf, l_quantity / greatest(1, 2001 - year(l_shipdate)) AS citations,
            (l_linestatus = 'F')::INT::DOUBLE AS patent, (l_discount > 0.05)::INT::DOUBLE AS corporate
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
 )"""
@@ -72,11 +74,11 @@ CLAMP = "least(1.0, greatest(0.0, {}))"
 FIT = f"""{SERIES}, xy AS (SELECT *, CASE WHEN df > 0 THEN ln(df + 1.0) END AS y, CASE WHEN df > 0 THEN idx::DOUBLE END AS x, floor(length / 2) AS half FROM s),
 fit AS (
     SELECT topic,
-        CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN regr_slope(y, x) ELSE 0 END AS slope,
-        CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN regr_r2(y, x) ELSE 0 END AS r2,
+        CASE WHEN var_pop(x) > 0 THEN round(regr_slope(y, x), 9) ELSE 0 END AS slope,
+        CASE WHEN var_pop(y) > 1e-12 THEN regr_r2(y, x) ELSE 0 END AS r2,
         count(x) AS points,
-        CASE WHEN var_pop(x) FILTER (idx <= half) > 0 THEN regr_slope(y, x) FILTER (idx <= half) ELSE 0 END AS early,
-        CASE WHEN var_pop(x) FILTER (idx > length - half) > 0 THEN regr_slope(y, x) FILTER (idx > length - half) ELSE 0 END AS recent
+        CASE WHEN var_pop(x) FILTER (idx <= half) > 0 THEN round(regr_slope(y, x) FILTER (idx <= half), 9) ELSE 0 END AS early,
+        CASE WHEN var_pop(x) FILTER (idx > length - half) > 0 THEN round(regr_slope(y, x) FILTER (idx > length - half), 9) ELSE 0 END AS recent
     FROM xy GROUP BY topic
 )"""
 BURST = """rates AS (SELECT *, CASE WHEN n > 0 THEN df / n ELSE 0 END AS rate, greatest(1, floor(length / 2)) AS half FROM s),
@@ -99,7 +101,7 @@ NOVELTY = """firsts AS (
     WHERE d >= 2 AND o >= 2 GROUP BY topic
 ),
 novel AS (
-    SELECT t.topic, first_year, exp(-greatest(0, 2001 - coalesce(first_year, 2001)) / 3.0) AS novelty
+    SELECT t.topic, first_year, CASE WHEN first_year IS NULL THEN 0.0 ELSE exp(-greatest(0, 2001 - first_year) / 3.0) END AS novelty
     FROM (SELECT DISTINCT topic FROM m) t LEFT JOIN firsts USING (topic)
 )"""
 WEAK = """recents AS (SELECT topic, sum(CASE WHEN idx > length - 2 THEN df ELSE 0 END)::BIGINT AS recent FROM s GROUP BY topic),
@@ -120,7 +122,7 @@ diff AS (
 )"""
 IMPACT = """per_doc AS (SELECT topic, doc, max(citations) AS c, max(patent) AS p, max(corporate) AS i FROM m GROUP BY ALL),
 imp AS (
-    SELECT topic, avg(p) AS patent_share,
+    SELECT topic, avg(p) AS patent_share, count(c) > 0 OR avg(p) > 0 OR avg(i) > 0 AS measured,
            0.45 * least(1.0, ln(1 + avg(c)) / ln(11)) + 0.30 * least(1.0, avg(p) / 0.30) + 0.25 * least(1.0, avg(i) / 0.50) AS impact
     FROM per_doc GROUP BY topic
 )"""
@@ -198,7 +200,7 @@ def diffusion(spark, sf):
     return rounded(series.diffusion(mentions(spark, sf)))
 
 
-@query(f"{M}, {IMPACT} SELECT topic, round(patent_share, 6) AS patent_share, round(impact, 6) AS impact FROM imp")
+@query(f"{M}, {IMPACT} SELECT topic, round(patent_share, 6) AS patent_share, round(impact, 6) AS impact, measured FROM imp")
 def impact(spark, sf):
     return rounded(series.impact(mentions(spark, sf)))
 
@@ -232,17 +234,18 @@ STAGE = """staged AS (
 )"""
 
 
-def _staged(m, s):
+def _staged(m):
+    p = series.profile(m)
+    s = series.filled(p, series.span(m))
     volume = s.groupBy("topic").agg(F.sum("df").alias("volume"))
     q = F.broadcast(series.corpus_stats(m, s).select("q25", "q60"))  # one row
-    t = series.growth(s).join(series.impact(m), "topic").join(series.burst(s), "topic").join(volume, "topic").crossJoin(q)
+    t = series.growth(s).join(p.select("topic", "patent_share"), "topic").join(series.burst(s), "topic").join(volume, "topic").crossJoin(q)
     return series.lifecycle(t.withColumn("bursting", F.col("weight") > 0))
 
 
 @query(f"{FIT}, {BURST}, {IMPACT}, {VOLUME}, {STAGE} SELECT topic, v AS volume, stage FROM staged")
 def lifecycle(spark, sf):
-    m = mentions(spark, sf)
-    return _staged(m, series.topic_series(m)).select("topic", "volume", "stage")
+    return _staged(mentions(spark, sf)).select("topic", "volume", "stage")
 
 
 _MEASURED = ["novelty", "growth", "diffusion", "weakness", "impact"]
@@ -260,12 +263,16 @@ def _geo_sql(w: dict[str, float]) -> str:
 
 
 def indicators(spark, sf):
+    """Five indicators and the burst weight of each topic, from one profile of the mentions."""
     m = mentions(spark, sf)
-    s = series.topic_series(m)
-    t = series.novelty(m, 2001).select("topic", "novelty")
-    for more in (series.growth(s).select("topic", "growth"), series.diffusion(m).select("topic", "diffusion"), series.weakness(s).select("topic", "weakness"), series.impact(m).select("topic", "impact"), series.burst(s).select("topic", F.col("weight").alias("burst_weight"))):
-        t = t.join(more, "topic")
-    return t
+    p = series.profile(m)
+    s = series.filled(p, series.span(m))
+    classes = F.broadcast(m.agg(F.countDistinct("source_class").alias("k")))  # one row
+    own = p.crossJoin(classes).select(
+        "topic", series.novelty_of(series.first_credible(p), 2001).alias("novelty"), series.diffusion_of(F.col("k"))[1].alias("diffusion"), series.impact_of()[0].alias("impact")
+    )
+    t = own.join(series.growth(s).select("topic", "growth"), "topic").join(series.weakness(s).select("topic", "weakness"), "topic")
+    return t.join(series.burst(s).select("topic", F.col("weight").alias("burst_weight")), "topic")
 
 
 @query(f"""{_PARTS} SELECT topic, round({_geo_sql(_W)}, 6) AS geometric,
@@ -282,21 +289,10 @@ def aggregators(spark, sf):
     FROM (SELECT *, {_geo_sql(_W)} AS score FROM parts)) WHERE rank <= 15""")
 def emergence_ranking(spark, sf):
     t = indicators(spark, sf).withColumn("score", scoring.geometric(_W))
-    # the fifteen first by the total order: a top-k, not a sort of everything
-    order = [F.desc(F.round("score", 6)), F.desc(F.round("burst_weight", 6)), F.desc(F.round("novelty", 6)), F.asc("topic")]
-    return rounded(scoring.ranked(t.orderBy(*order).limit(15)).select("rank", "topic", "score", *_MEASURED))
+    return rounded(scoring.top(t).select("rank", "topic", "score", *_MEASURED))
 
 
-def _scenarios() -> list[dict[str, float]]:
-    made = [_W]
-    for k in _W:
-        for f in (1.5, 0.5):
-            r = _W | {k: _W[k] * f}
-            made.append({x: v / sum(r.values()) for x, v in r.items()})
-    return made
-
-
-@query(f"""{_PARTS}, placed AS ({' UNION ALL '.join(f'SELECT topic, row_number() OVER (ORDER BY round({_geo_sql(w)}, 6) DESC, topic) AS place FROM parts' for w in _scenarios())})
+@query(f"""{_PARTS}, placed AS ({' UNION ALL '.join(f'SELECT topic, row_number() OVER (ORDER BY round({_geo_sql(w)}, 6) DESC, topic) AS place FROM parts' for w in scoring.scenarios(_W))})
     SELECT topic, min(place) AS best, max(place) AS worst FROM placed GROUP BY topic""")
 def rank_stability(spark, sf):
     return scoring.stability(indicators(spark, sf), _W)
@@ -310,34 +306,72 @@ def npmi(spark, sf):
     return rounded(terms.npmi(table(spark, sf, "lineitem"), "l_orderkey", "l_suppkey", 3))
 
 
-_TOKENS = """WITH w AS (SELECT doc_id AS doc, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
-toks AS (SELECT doc, unnest(w) AS token, unnest(range(0, len(w))) AS pos FROM w),
-around AS (SELECT *, lag(token) OVER x AS l, lead(token) OVER x AS r FROM toks WINDOW x AS (PARTITION BY doc ORDER BY pos)),
-stats AS (
-    SELECT token, count(*) AS freq, count(DISTINCT doc) AS docs, avg(pos) AS place, count(DISTINCT l) AS lefts, count(DISTINCT r) AS rights
-    FROM around GROUP BY token
-)"""
+def _quoted(x: str) -> str:
+    return x.replace("'", "''")
+
+
+_TOKEN = _quoted(T.TOKEN)
+_BLANK = "[ \\t\\n\\x0B\\f\\r\\x{a0}]+"
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_GRAMS = f"""grams AS (
-    SELECT doc, array_to_string(run, ' ') AS term, size FROM (
-        SELECT doc, w[i:i + size - 1] AS run, size FROM (SELECT doc, w, unnest(range(1, len(w) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3]) AS size)
-        WHERE i + size - 1 <= len(w))
-    WHERE len(list_filter(run, lambda x: x IN ({_STOP}) OR regexp_full_match(x, '[0-9]+'))) = 0
-),
-posts AS (SELECT term, size, doc, count(*) AS tf FROM grams GROUP BY ALL),
-cand AS (SELECT term, size, count(*) AS df, sum(tf)::BIGINT AS tf FROM posts GROUP BY ALL HAVING count(*) >= 2)"""
+_BRIDGE = ", ".join(f"'{w}'" for w in T.BRIDGING_WORDS)
+
+
+def _sentences_sql(text: str) -> str:
+    """The sentences of a text: abbreviations and initials are protected first, twice as they may follow each other."""
+    known = "|".join(_quoted(re.escape(x)) for x in T.ABBREVIATIONS)
+    out = text
+    for pattern in (f"(^|[^\\p{{L}}\\p{{N}}])((?i:{known}))\\.{_BLANK}", f"(^|[^\\p{{L}}])(\\p{{Lu}})\\.{_BLANK}"):
+        for _ in range(2):
+            out = f"regexp_replace({out}, '{pattern}', '\\1\\2.' || chr(2), 'g')"
+    cut = f"string_split(regexp_replace({out}, '([.!?…]){_BLANK}', '\\1' || chr(1), 'g'), chr(1))"
+    return f"list_filter(list_transform({cut}, lambda x: trim(replace(x, chr(2), ' '))), lambda x: x <> '')"
+
 
+def _tokens_sql(text: str) -> str:
+    return f"list_filter(regexp_extract_all({text}, '{_TOKEN}'), lambda x: NOT regexp_matches(x, '{T.UNSEGMENTED}'))"
 
-@query(f"{_TOKENS} SELECT token, freq, docs, round(place, 6) AS place, lefts, rights FROM stats")
+
+def _normal_sql(x: str) -> str:
+    return f"replace(lower({x}), '’', chr(39))"
+
+
+_TOKENS = f"""WITH sent AS (
+    SELECT doc_id AS doc, unnest(p) AS s, unnest(range(0, len(p))) AS nth FROM (SELECT doc_id, {_sentences_sql("coalesce(text, '')")} AS p FROM documents)),
+tk AS (SELECT doc, nth, w, list_transform(w, lambda x: {_normal_sql('x')}) AS n FROM (SELECT doc, nth, {_tokens_sql('s')} AS w FROM sent) WHERE len(w) > 0)"""
+_STATS = f"""{_TOKENS},
+placed AS (SELECT row_number() OVER (ORDER BY doc, nth) - 1 AS sid, w, n FROM tk),
+each AS (SELECT sid, unnest(w) AS x, unnest(n) AS token FROM placed),
+ins AS (
+    SELECT token, sid, count(*) AS f, sum((regexp_matches(x, '\\p{{L}}.*\\p{{L}}') AND NOT regexp_matches(x, '\\p{{Ll}}|\\p{{Lo}}'))::INT) AS u, sum(regexp_matches(x, '^\\p{{Lu}}')::INT) AS c
+    FROM each GROUP BY ALL),
+pairs AS (SELECT DISTINCT unnest(list_prepend('', n)) AS l, unnest(list_append(n, '')) AS r FROM placed),
+lefts AS (SELECT r AS token, count(*) AS lefts FROM pairs WHERE r <> '' GROUP BY r),
+rights AS (SELECT l AS token, count(*) AS rights FROM pairs WHERE l <> '' GROUP BY l),
+stats AS (
+    SELECT token, sum(f)::BIGINT AS freq, sum(u)::BIGINT AS upper, sum(c)::BIGINT AS capitalised, count(*) AS sentences, median(sid) AS middle, any_value(lefts) AS lefts, any_value(rights) AS rights
+    FROM ins JOIN lefts USING (token) JOIN rights USING (token) GROUP BY token)"""
+_GRAMS = f"""joined AS (
+    SELECT doc, string_split(array_to_string(list_transform(w, lambda x: CASE WHEN ({_normal_sql('x')} IN ({_STOP}) AND {_normal_sql('x')} NOT IN ({_BRIDGE})) OR regexp_full_match({_normal_sql('x')}, '[0-9][0-9.,]*') THEN chr(1) ELSE x END), ' '), chr(1)) AS p FROM tk),
+runs AS (SELECT doc, string_split(run, ' ') AS r FROM (SELECT doc, unnest(list_transform(p, lambda x: regexp_replace(trim(x), '^(?i:(?:{'|'.join(T.BRIDGING_WORDS)})(?: |$))+', ''))) AS run FROM joined) WHERE run <> ''),
+lower_runs AS (SELECT doc, r, list_transform(r, lambda x: {_normal_sql('x')}) AS n FROM runs),
+grams AS (
+    SELECT doc, array_to_string(n[i:i + size - 1], ' ') AS term, size, size = 1 AND regexp_matches(r[i], '\\p{{L}}.*\\p{{L}}') AND NOT regexp_matches(r[i], '\\p{{Ll}}|\\p{{Lo}}') AS upper
+    FROM (SELECT doc, r, n, unnest(range(1, len(n) + 1)) AS i FROM lower_runs), (SELECT unnest([1, 2, 3, 4]) AS size)
+    WHERE i + size - 1 <= len(n) AND n[i] NOT IN ({_BRIDGE}) AND n[i + size - 1] NOT IN ({_BRIDGE})),
+posts AS (SELECT term, size, doc, count(*) AS tf, sum(upper::INT) AS upper FROM grams GROUP BY ALL),
+cand AS (SELECT term, size, count(*) AS df, sum(tf)::BIGINT AS tf, sum(upper)::BIGINT AS upper FROM posts GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+@query(f"{_STATS} SELECT token, freq, upper, capitalised, sentences, round(middle, 6) AS middle, lefts, rights FROM stats")
 def token_statistics(spark, sf):
-    return rounded(terms.token_statistics(terms.tokens(table(spark, sf, "documents"))))
+    return rounded(terms.token_statistics(terms.sentences(table(spark, sf, "documents"))))
 
 
 def _candidates(spark, sf):
     return terms.candidates(terms.postings(terms.ngrams(table(spark, sf, "documents"))))
 
 
-@query(f"{_TOKENS}, {_GRAMS} SELECT term, size, df, tf FROM cand")
+@query(f"{_TOKENS}, {_GRAMS} SELECT term, size, df, tf, upper FROM cand")
 def candidate_terms(spark, sf):
     return rounded(_candidates(spark, sf))
 
@@ -347,7 +381,7 @@ _GENERIC = ", ".join(f"'{w}'" for w in T.GENERIC_WORDS)
 
 @query(f"""{_TOKENS}, {_GRAMS}, ruled AS (SELECT *, split_part(term, ' ', 1) AS a, split_part(term, ' ', size) AS z FROM cand)
     SELECT rule, count(*) AS terms FROM (SELECT CASE WHEN trim(term) = '' THEN 'empty' WHEN length(term) < 3 THEN 'too_short' WHEN length(term) > 60 THEN 'too_long'
-        WHEN regexp_full_match(term, '[0-9 ]+') THEN 'numeric_only' WHEN NOT regexp_matches(term, '[a-z]') THEN 'no_alphabetic'
+        WHEN regexp_full_match(term, '[0-9 ]+') THEN 'numeric_only' WHEN NOT regexp_matches(term, '\\p{{L}}') THEN 'no_alphabetic'
         WHEN size = 1 AND term IN ({_GENERIC}) THEN 'generic_term' WHEN a IN ({_STOP}) OR z IN ({_STOP}) THEN 'generic_boundary'
         WHEN size > 1 AND z IN ({_GENERIC}) THEN 'process_noun' WHEN regexp_matches(z, '^[a-z]{{3,}}(ing|ed)$') AND size > 1 THEN 'participle_tail' ELSE 'kept' END AS rule FROM ruled) GROUP BY rule""")
 def term_filter(spark, sf):
@@ -357,7 +391,7 @@ def term_filter(spark, sf):
 
 _CVALUE = """inside AS (
     SELECT DISTINCT array_to_string(string_split(term, ' ')[i:i + n - 1], ' ') AS part, term AS outside, tf
-    FROM cand, (SELECT unnest([1, 2, 3]) AS i), (SELECT unnest([1, 2]) AS n) WHERE size > 1 AND n < size AND i + n - 1 <= size
+    FROM cand, (SELECT unnest([1, 2, 3, 4]) AS i), (SELECT unnest([1, 2, 3]) AS n) WHERE size > 1 AND n < size AND i + n - 1 <= size
 ),
 nested AS (SELECT part AS term, avg(tf) AS f, count(*) AS containers FROM inside GROUP BY part),
 cv AS (
@@ -372,35 +406,43 @@ def c_value(spark, sf):
     return rounded(terms.c_value(_candidates(spark, sf)))
 
 
-_YAKE = """totals AS (SELECT avg(freq) AS mean, stddev_pop(freq) AS std, max(freq) AS most, max(docs) AS every FROM stats),
+_YAKE = """totals AS (SELECT avg(freq) AS mean, stddev_pop(freq) AS std, max(freq) AS most, (SELECT count(*) FROM tk) AS n FROM stats),
 yake AS (
     SELECT token, freq, 1 + (lefts / freq + rights / freq) * freq / most AS rel,
-           rel * ln(ln(3 + place)) / (1 / (1 + ln(freq)) + freq / (mean + std) / rel + docs / every / rel) AS yake
+           rel * ln(ln(3 + middle)) / (greatest(upper, capitalised) / (1 + ln(freq)) + freq / (mean + std) / rel + sentences / greatest(n, 1) / rel) AS yake
     FROM stats, totals
 )"""
 
 
-@query(f"{_TOKENS}, {_YAKE} SELECT token, freq, round(yake, 6) AS yake FROM yake")
+def _word_scores(spark, sf):
+    s = terms.sentences(table(spark, sf, "documents"))
+    return terms.yake(terms.token_statistics(s), s.agg(F.count("*").alias("n")))
+
+
+@query(f"{_STATS}, {_YAKE} SELECT token, freq, round(yake, 6) AS yake FROM yake")
 def yake(spark, sf):
-    return rounded(terms.yake(terms.token_statistics(terms.tokens(table(spark, sf, "documents")))))
+    return rounded(_word_scores(spark, sf))
 
 
-@query(f"""{_TOKENS}, {_GRAMS}, {_CVALUE}, {_YAKE},
-    each AS (SELECT term, tf, unnest(string_split(term, ' ')) AS token FROM cv),
-    ty AS (SELECT term, exp(sum(ln(coalesce(yake, 1)))) / (any_value(tf) * (1 + sum(coalesce(yake, 1)))) AS y FROM each LEFT JOIN yake USING (token) GROUP BY term)
-    SELECT term, size, df, tf, round(least(1.0, greatest(0.0, 0.6 * ln(1 + greatest(c_value, 0)) / ln(1 + (SELECT max(greatest(c_value, 0)) FROM cv)) + 0.4 / (1 + y))), 6) AS termhood
+@query(f"""{_STATS}, {_GRAMS}, {_CVALUE}, {_YAKE},
+    parts AS (SELECT term, tf, unnest(string_split(term, ' ')) AS token FROM cv),
+    ty AS (SELECT term, product(coalesce(yake, 1)) / (any_value(tf) * (1 + sum(coalesce(yake, 1)))) AS y FROM parts LEFT JOIN yake USING (token) GROUP BY term)
+    SELECT term, size, df, tf, round(least(1.0, greatest(0.0, 0.6 * least(1.0, ln(1 + greatest(c_value, 0)) / ln(1 + (SELECT max(greatest(c_value, 0)) FROM cv))) + 0.4 * CASE WHEN y >= 0 THEN 1 / (1 + y) ELSE 0 END)), 6) AS termhood
     FROM cv JOIN ty USING (term)""")
 def termhood(spark, sf):
-    stats = terms.token_statistics(terms.tokens(table(spark, sf, "documents")))
-    return rounded(terms.termhood(terms.c_value(_candidates(spark, sf)), terms.yake(stats)))
+    cand = _candidates(spark, sf).persist()  # read five times
+    return rounded(terms.termhood(terms.c_value(cand), _word_scores(spark, sf)))
 
 
-@query(f"""{_TOKENS}, q AS (
-        SELECT DISTINCT query, left(unnest(w[1:4]), 6) AS s FROM (SELECT item_id AS query, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)),
+@query(f"""WITH d AS (
+        SELECT doc_id AS doc, list_concat(list_concat(t, t), list_concat(t, b)) AS s FROM (
+            SELECT doc_id, list_transform({_tokens_sql("split_part(coalesce(text, ''), chr(10), 1)")}, lambda x: left({_normal_sql('x')}, 6)) AS t,
+                   list_transform({_tokens_sql("coalesce(text, '')")}, lambda x: left({_normal_sql('x')}, 6)) AS b FROM documents)),
+    q AS (SELECT DISTINCT query, unnest(w) AS s FROM (SELECT item_id AS query, list_transform({_tokens_sql("coalesce(text, '')")}, lambda x: left({_normal_sql('x')}, 6)) AS w FROM benchmark)),
     qs AS (SELECT * FROM q WHERE s NOT IN ({_STOP})),
     need AS (SELECT query, CASE WHEN count(*) <= 3 THEN count(*) ELSE count(*) - 1 END AS need FROM qs GROUP BY query),
-    lens AS (SELECT doc, count(*) AS len FROM toks GROUP BY doc), corpus AS (SELECT count(*) AS n, avg(len) AS mean FROM lens),
-    tf AS (SELECT doc, left(token, 6) AS s, count(*) AS tf FROM toks WHERE left(token, 6) IN (SELECT s FROM qs) GROUP BY ALL),
+    lens AS (SELECT doc, len(s) AS len FROM d WHERE len(s) > 0), corpus AS (SELECT count(*) AS n, avg(len) AS mean FROM lens),
+    tf AS (SELECT doc, s, count(*) AS tf FROM (SELECT doc, unnest(s) AS s FROM d) WHERE s IN (SELECT s FROM qs) GROUP BY ALL),
     df AS (SELECT s, count(*) AS df FROM tf GROUP BY s),
     scored AS (
         SELECT query, doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (1 - 0.75 + 0.75 * len / mean))) AS score, count(*) AS hits
@@ -408,25 +450,32 @@ def termhood(spark, sf):
     SELECT query, doc, round(score, 6) AS score, rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS rank FROM scored JOIN need USING (query) WHERE hits >= need) WHERE rank <= 5""")
 def bm25(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.array_join(F.slice(T.words(F.col("text")), 1, 4), " ").alias("text"))
-    return rounded(terms.bm25(docs, q))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"), "text")
+    return rounded(terms.bm25(docs, table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text")))
 
 
-@query(f"""WITH t AS (SELECT doc_id, source, lang, trim(regexp_replace(translate(lower(coalesce(text, '')), '{T.MARKED}', '{T.PLAIN}'), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents)
-    SELECT doc_id, sha256(concat_ws('|', t, source, lang)) AS dedup_key FROM t""")
+@query("""SELECT doc_id, sha256(concat_ws('|', trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^\\p{L}\\p{N}]+', ' ', 'g')), coalesce(source, ''), coalesce(n_chars::VARCHAR, ''))) AS dedup_key FROM documents""")
 def dedup_key(spark, sf):
-    d = table(spark, sf, "documents")
-    title = F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce("text", F.lit(""))), T.MARKED, T.PLAIN), "[^a-z0-9]+", " "))
-    return d.select("doc_id", F.sha2(F.concat_ws("|", title, "source", "lang"), 256).alias("dedup_key"))
+    none = F.lit(None).cast("string")
+    return table(spark, sf, "documents").select("doc_id", T.dedup_key(none, none, F.col("text"), F.col("source"), F.col("n_chars")).alias("dedup_key"))
+
+
+def _letters_sql(pattern: str) -> str:
+    return f"len(regexp_extract_all(t, '{pattern}'))"
 
 
 _VOTES = {k: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in v) + ")))" for k, v in T.LANGUAGE_WORDS.items()}
+_OTHERS = ", ".join(k for k in T.LANGUAGE_WORDS if k != "en")
 
 
-@query(f"""WITH w AS (SELECT doc_id, lang, string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}]+') AS w FROM documents),
-    v AS (SELECT doc_id, lang, {', '.join(f'{x} AS {k}' for k, x in _VOTES.items())} FROM w)
-    SELECT lang, CASE WHEN greatest(en, fr, es, de) = 0 THEN 'und' {' '.join(f"WHEN {k} = greatest(en, fr, es, de) THEN '{k}'" for k in _VOTES)} END AS detected, count(*) AS docs FROM v GROUP BY ALL""")
+@query(f"""WITH d AS (SELECT lang, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT lang, {_letters_sql('[\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}]')} AS han, {_letters_sql('[\\x{3040}-\\x{30ff}]')} AS kana, {_letters_sql('[\\x{ac00}-\\x{d7af}\\x{1100}-\\x{11ff}]')} AS hangul,
+        {_letters_sql('[\\x{0400}-\\x{04ff}]')} AS cyrillic, {_letters_sql('[A-Za-z\\x{c0}-\\x{24f}]')} AS latin,
+        regexp_extract_all(lower(regexp_replace(t, 'https?://[^ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '[a-z\\x{{df}}-\\x{{ff}}]+') AS w FROM d),
+    v AS (SELECT *, han + kana + hangul + cyrillic + latin AS n, {', '.join(f'{x} AS {k}' for k, x in _VOTES.items())} FROM w),
+    m AS (SELECT *, greatest({_OTHERS}) AS most FROM v)
+    SELECT lang, CASE WHEN n < 20 THEN NULL WHEN kana >= 0.05 * n THEN 'ja' WHEN hangul >= 0.2 * n THEN 'ko' WHEN han >= 0.2 * n THEN 'zh' WHEN cyrillic >= 0.3 * n THEN 'ru' WHEN latin < 0.5 * n THEN NULL
+        {' '.join(f"WHEN {k} = most AND most >= 3 AND most >= 2 * en + 1 THEN '{k}'" for k in T.LANGUAGE_WORDS if k != 'en')} ELSE 'en' END AS detected, count(*) AS docs FROM m GROUP BY ALL""")
 def detect_language(spark, sf):
     return table(spark, sf, "documents").select("lang", T.detect_language(F.col("text")).alias("detected")).groupBy("lang", "detected").agg(F.count("*").alias("docs"))
 
@@ -465,15 +514,25 @@ def stratified_sample(spark, sf):
     return rounded(selection.stratified_sample(o, "o_year", _QUOTA, [F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_orderkey", "o_year"))
 
 
-@query("""WITH l AS (SELECT l_suppkey, l_returnflag, l_orderkey, l_linenumber, round(0.4 * l_quantity / 50 + 0.6 * l_discount, 6) AS s FROM lineitem),
-    c AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY s DESC, l_orderkey, l_linenumber) > 10 THEN 1 ELSE 0 END AS over_ FROM l)
-    SELECT l_suppkey, place, l_orderkey, l_linenumber, l_returnflag, s FROM (
-        SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY over_, s DESC, l_orderkey, l_linenumber) AS place FROM c) WHERE place <= 20""")
+_CLASSES = {"A": "JOURNAL_ARTICLE", "N": "PATENT", "R": "NEWS"}
+
+
+@query(f"""WITH l AS (
+        SELECT l_suppkey AS topic, l_orderkey * 10 + l_linenumber AS doc, CASE l_returnflag {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _CLASSES.items())} END AS class, l_shipdate::DATE AS date,
+               l_discount * 10 AS relevance, CASE WHEN l_linenumber % 3 > 0 THEN l_quantity::INT END AS citations FROM lineitem),
+    m AS (SELECT *, max(coalesce(citations, 0)) OVER (PARTITION BY topic) AS most FROM l),
+    s AS (SELECT *, round(0.4 * least(1.0, relevance) + 0.3 * least(1.0, greatest(0.0, date_diff('day', DATE '1992-01-01', date) / date_diff('day', DATE '1992-01-01', DATE '2001-12-31')))
+        + 0.3 * CASE WHEN citations IS NOT NULL AND most > 0 THEN ln(1 + citations) / ln(1 + most) ELSE CASE class WHEN 'JOURNAL_ARTICLE' THEN 0.9 WHEN 'PATENT' THEN 0.75 WHEN 'NEWS' THEN 0.3 ELSE 0.5 END END, 6) AS score FROM m),
+    c AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY topic, class ORDER BY score DESC, date DESC, doc) > 10 THEN 1 ELSE 0 END AS over_ FROM s)
+    SELECT topic, doc, class, score, place FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY over_, score DESC, date DESC, doc) AS place FROM c) WHERE place <= 20""")
 def evidence_selection(spark, sf):
-    s = F.round(0.4 * F.col("l_quantity") / 50 + 0.6 * F.col("l_discount"), 6).alias("s")
-    line = table(spark, sf, "lineitem").select("l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber", s)
-    picked = selection.evidence(line, "l_suppkey", "l_returnflag", [F.desc("s"), F.asc("l_orderkey"), F.asc("l_linenumber")])
-    return rounded(picked.select("l_suppkey", "place", "l_orderkey", "l_linenumber", "l_returnflag", "s"))
+    klass = F.coalesce(*[F.when(F.col("l_returnflag") == k, v) for k, v in _CLASSES.items()])
+    line = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("topic"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc"), klass.alias("class"), F.col("l_shipdate").cast("date").alias("date"),
+        (F.col("l_discount") * 10).alias("relevance"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_quantity").cast("int")).alias("citations"),
+    )
+    s = evidence.scored(line, "topic", "1992-01-01", "2001-12-31")
+    return rounded(selection.evidence(s, "topic", "class", [F.desc("score"), F.desc("date"), F.asc("doc")]).select("topic", "doc", "class", "score", "place"))
 
 
 @query("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_orderstatus FROM orders ORDER BY o_custkey, o_orderdate DESC, o_orderkey DESC")
@@ -693,13 +752,22 @@ def signal_classifier(spark, sf):
     return rounded(model.classify(t.withColumn("current_year", F.lit(2001))).select("topic", "verdict", "certainty"))
 
 
-@query(f"""{SERIES}, t AS (SELECT topic, sum(df) FILTER (period IN (1997, 1998)) AS a, sum(df) FILTER (period IN (1999, 2000)) AS b, sum(n) FILTER (period IN (1997, 1998)) AS na,
-    sum(n) FILTER (period IN (1999, 2000)) AS nb FROM s GROUP BY topic)
-    SELECT topic, a::BIGINT AS before, b::BIGINT AS after, round((b / a) / (nb / na), 6) AS lift, (b / a) / (nb / na) >= 1.5 AS hit FROM t WHERE a > 0""")
+_BACKTEST = f"""{SERIES}, t AS (SELECT topic, sum(df) FILTER (period <= 1998) AS a, sum(df) FILTER (period > 1998) AS b, sum(n) FILTER (period <= 1998) AS na, sum(n) FILTER (period > 1998) AS nb FROM s GROUP BY topic),
+    c AS (SELECT topic, period, sum(df) FILTER (period > 1998) OVER (PARTITION BY topic ORDER BY period) AS later FROM s),
+    g AS (SELECT topic, min(period) - 1998 AS doubling FROM c JOIN t USING (topic) WHERE period > 1998 AND a > 0 AND later >= a GROUP BY topic),
+    o AS (SELECT topic, a::BIGINT AS before, b::BIGINT AS after, CASE WHEN a > 0 AND nb > 0 THEN (b / a) / (nb / na) ELSE 0 END AS lift, doubling FROM t LEFT JOIN g USING (topic))"""
+
+
+@query(f"{_BACKTEST} SELECT topic, before, after, round(lift, 6) AS lift, lift >= 1.5 AS hit, doubling FROM o")
 def backtest(spark, sf):
     return rounded(model.backtest(_series(spark, sf), 1998))
 
 
+@query(f"{_BACKTEST} SELECT count(*) AS topics, round(avg((lift >= 1.5)::INT), 6) AS hit_rate, round(median(lift), 6) AS median_lift, round(median(doubling), 6) AS median_lead FROM o")
+def backtest_summary(spark, sf):
+    return rounded(model.backtest_summary(model.backtest(_series(spark, sf), 1998)))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def tumbling_window(spark, sf):
     return rounded(streams.tumbling(table(spark, sf, "events"), "ts", ["event_type"], "1 hour"))
@@ -739,11 +807,9 @@ def already_known(spark, sf):
     return table(spark, sf, "orders").join(known, "o_custkey", "left_anti").groupBy("o_custkey").agg(F.count("*").alias("orders"))
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings), q AS (SELECT i, x FROM e WHERE vec_id = 0),
-    s AS (SELECT vec_id, round(sum(e.x * q.x) / (sqrt(sum(e.x * e.x)) * sqrt(sum(q.x * q.x))), 6) AS similarity FROM e JOIN q USING (i) GROUP BY vec_id)
-    SELECT vec_id, similarity FROM s ORDER BY similarity DESC, vec_id LIMIT 60""")
+@query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings), q AS (SELECT vec_id AS query, i, x FROM e WHERE vec_id % 100 = 0),
+    s AS (SELECT query, vec_id, round(sum(e.x * q.x) / (sqrt(sum(e.x * e.x)) * sqrt(sum(q.x * q.x))), 6) AS similarity FROM e JOIN q USING (i) GROUP BY ALL)
+    SELECT query, vec_id, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS place FROM s) WHERE place <= 60""")
 def topic_relevance_top(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = F.broadcast(e.where("vec_id = 0").select(F.col("v").alias("q")))  # one row
-    s = e.crossJoin(q).select("vec_id", out(cosine(F.col("v"), F.col("q"))).alias("similarity"))
-    return s.orderBy(F.desc("similarity"), "vec_id").limit(60)
+    return vectors.nearest(e.where("vec_id % 100 = 0"), e, "vec_id", "v", 60)
