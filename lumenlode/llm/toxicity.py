@@ -11,9 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample: confirmed toxic texts, and unlabelled ones. Every text is scored.
-POSITIVE, UNLABELLED = 4000, 8000
-
 _TABLE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
 
@@ -87,22 +84,25 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", most_positive: int = 4000, most_unlabelled: int = 8000) -> Model:
     """Fit on confirmed toxic texts and on unlabelled ones, none of them held out.
 
     The class prior is the share of toxic rows among the labelled ones that are not held out. Of either
-    kind a sample by hash of the id is taken, POSITIVE and UNLABELLED ids at most.
+    kind a sample by hash of the id is taken, of ``most_positive`` confirmed and ``most_unlabelled`` other
+    ids: the bounds of what the driver holds; every text is scored. A null text has no words, a null id or
+    label is left out; of an id that comes twice the text with the least hash counts; without rows of either
+    kind every score is the prior.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where(~held_out(F.col("id")) & F.col("y").isNotNull())
     n, toxic = known.agg(F.count("*"), F.sum("y")).first()
     prior = min(0.9, max(0.001, (toxic or 0) / n)) if n else 0.05
     by_hash = F.xxhash64(F.lit("sample"), "id")
-    positive = known.where("y = 1").select("id").distinct().orderBy(by_hash).limit(POSITIVE)
+    positive = known.where("y = 1").select("id").distinct().orderBy(by_hash, "id").limit(most_positive)
     others = docs.select(F.col(id_col).alias("id")).where(~held_out(F.col("id"))).distinct()
-    others = others.join(known.where("y = 1").select("id").distinct(), "id", "left_anti").orderBy(by_hash).limit(UNLABELLED)
+    others = others.join(known.where("y = 1").select("id").distinct(), "id", "left_anti").orderBy(by_hash, "id").limit(most_unlabelled)
     ids = positive.withColumn("y", F.lit(1)).union(others.withColumn("y", F.lit(0)))
-    # POSITIVE + UNLABELLED ids at most; a text that comes twice counts once
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids), "id").dropDuplicates(["id"])
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids), "id")  # a bounded number of ids
+    sample = sample.groupBy("id", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), F.col("t"))).alias("t"))
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,10 +117,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     return fit(found[1], found[0], prior)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 in place of the text. A null text has no words; every row is scored."""
-    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
-    rows = docs.select(rest.alias("row"), F.col(text).alias("t"))
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Each row's score from 0 to 1: row (struct of ``keep``, all columns but the text by default) and score.
+
+    A null or empty text has no words and is scored like any other; repeated rows score alike; an empty
+    table gives no rows; columns may be named like anything.
+    """
+    names = [c for c in docs.columns if c != text] if keep is None else keep
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").alias("t"))
     schema = rows.select("row", F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,4 +132,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             scores = pa.array([model.score(t.as_py()) for t in b.column(1)], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), scores], names=["row", "score"])
 
-    return rows.mapInArrow(run, schema).select("row.*", F.col("score").alias(name)).drop("_")
+    return rows.mapInArrow(run, schema)
