@@ -6,6 +6,7 @@ import gc
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,17 +45,17 @@ def _best_fit(lengths: list[int], order: list[int], size: int) -> list[list[int]
 class _Search:
     """Bins with room to spare, and their pieces by length.
 
-    An exchange takes one or two pieces (or none: a move) out of a bin and puts in one or two of an
-    emptier bin that are longer together, so that the squared fill of the two rises; bins that are left
-    with nothing vanish.
+    An exchange takes one or two pieces (or none: a move) out of a bin and puts in a longer one of an
+    emptier bin, so that the squared fill of the two rises; bins that are left with nothing vanish.
     """
 
     def __init__(self, bins: list[list[int]], lengths: list[int], size: int):
         self.bins, self.lengths, self.size = bins, lengths, size
         self.fill = [sum(lengths[i] for i in b) for b in bins]
 
-    def run(self, target: int, passes: int) -> None:
-        for _ in range(passes):
+    def run(self, target: int, passes: int | None) -> None:
+        """Until the bins are ``target`` or no exchange helps (every one raises the squared fill, so there is an end), or for so many passes."""
+        for _ in count() if passes is None else range(passes):
             alive = sorted((b for b in range(len(self.bins)) if 0 < self.fill[b] < self.size), key=lambda b: (-self.fill[b], b))
             n_bins = sum(f > 0 for f in self.fill)
             if n_bins <= target or len(alive) < 2:
@@ -104,7 +105,11 @@ class _Search:
         """The exchange that fills most of ``room``: pieces out, (bin, piece) in."""
         own, lengths, best, most = self.bins[taker], self.lengths, None, 0
         rank = place.get(taker, -1)
-        outs = [()] + [(i,) for i in own] + [(i, j) for k, i in enumerate(own[:24]) for j in own[k + 1 : 24]]
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for i in own:
+            by_length[lengths[i]].append(i)
+        some = list(by_length.values())  # pieces of one length are alike
+        outs = [()] + [(p[0],) for p in some] + [(p[0], q[0]) for k, p in enumerate(some) for q in some[k + 1 :]] + [(p[0], p[1]) for p in some if len(p) > 1]
         for out in outs:
             base = sum(lengths[i] for i in out)
             fits = mask & ((1 << (base + room + 1)) - 1) & ~((1 << (base + most + 1)) - 1)
@@ -120,7 +125,7 @@ class _Search:
         return best
 
 
-def pack_block(lengths: list[int], size: int, passes: int = 60) -> list[list[int]]:
+def pack_block(lengths: list[int], size: int, passes: int | None = None) -> list[list[int]]:
     """Indexes of ``lengths`` (1 to ``size`` each) in as few bins as the search finds, none over ``size``."""
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     bins = _best_fit(lengths, order, size)
@@ -165,7 +170,8 @@ def pack(
     Pieces are dealt evenly to blocks, whatever their ids, and each block is packed by one task: best
     fit, then local search until the block's lower bound is reached or no exchange helps. The bins of a
     block that are left with much room are opened again and pooled with those of other blocks, until one
-    block holds them all, so that blocks cost no sequences. Full pieces are sequences already.
+    block holds them all (or a level settles less than three pieces of ten), so that blocks cost no sequences. Full
+    pieces are sequences already.
     """
     schema = "tag bigint, sequence_id bigint, offset bigint, length bigint, room bigint"
 
@@ -191,13 +197,12 @@ def pack(
     )
     left, placed, level = cut.where(F.col("length") < size).select("tag", "length"), full, 0
     n = left.count()
-    temporary = []
+    stashed = [cut]
     while n:
         blocks = -(-n // BLOCK)
         dealt = left.withColumn("block", F.pmod(F.xxhash64("tag"), F.lit(blocks)))
-        packed = stash(dealt.groupBy("block").applyInArrow(packer(level), schema), "packed")
-        if temporary:
-            drop(temporary.pop())
+        packed = stash(dealt.groupBy("block").applyInArrow(packer(level), schema), "level")
+        stashed.append(packed)
         loose = F.col("room") * 32 > size
         open_again = packed.where(loose)
         m = open_again.count() if blocks > 1 else 0
@@ -206,4 +211,6 @@ def pack(
             break
         placed = placed.union(packed.where(~loose).select("tag", "sequence_id", "offset"))
         left, n, level = open_again.select("tag", "length"), m, level + 1
-    return cut.join(placed, "tag").select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    out = stash(cut.join(placed, "tag").select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"), "packed")
+    drop(*stashed)
+    return out
