@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .store import stash
 from .tables import literal_table
 
-#: Documents in a block, about, and blocks in a group of blocks.
-BLOCK, GROUP = 256, 4096
+#: Documents in a block, about, blocks in a group of blocks, and units that are drawn from at most (the generator takes a billion).
+BLOCK, GROUP, UNITS = 256, 4096, 500_000_000
 
 
 def targets(sizes: dict, weights: dict, most: float = 3.0) -> dict:
@@ -37,21 +37,12 @@ def split(counts: list[int], shards: int, rng: np.random.Generator) -> np.ndarra
     """
     out = np.zeros((shards, len(counts)), np.int64)
 
-    def draw(have: np.ndarray, n: int) -> np.ndarray:
-        if have.sum() < 1_000_000_000:
-            return rng.multivariate_hypergeometric(have, n, method="marginals")
-        # beyond what the generator takes, the same draw source by source as a rounded share; quotas stay exact
-        share = np.floor(have * (n / have.sum())).astype(np.int64)
-        for i in np.argsort(share - have * (n / have.sum()), kind="stable")[: n - share.sum()]:
-            share[i] += 1
-        return share
-
     def descend(have: np.ndarray, first: int, last: int) -> None:
         if last - first == 1:
             out[first] = have
             return
         middle, n = (first + last) // 2, int(have.sum())
-        left = draw(have, n * (middle - first) // (last - first))
+        left = rng.multivariate_hypergeometric(have, n * (middle - first) // (last - first), method="marginals")
         descend(left, first, middle)
         descend(have - left, middle, last)
 
@@ -80,7 +71,7 @@ def mix(
     only if they fall to the same side; an empty table gives no rows. Reruns agree: draws depend on the
     seed, on ``order`` (by default the text) and on counts.
 
-    Documents fall into blocks of about BLOCK by a hash. Whole passes over a source take every block;
+    Documents fall into blocks of about BLOCK (more beyond UNITS of them) by a hash. Whole passes over a source take every block;
     of the rest of its target a prefix of its blocks (in hash order) is taken, and of the block where the
     target falls the documents that still fit, longest first. Blocks taken, per pass, are units; the tree fixes how many units
     of each source a shard gets, and shards draw disjoint ranges of a permutation of the units. Sources
@@ -106,7 +97,8 @@ def mix(
     target = targets(sizes, dict(zip(names, weight_of(names), strict=True)), most) if sum(sizes.values()) else dict.fromkeys(names, 0.0)
     passes = {s: min(most, int(target[s] // sizes[s])) if sizes[s] else 0 for s in names}
     rest = {s: 0.0 if passes[s] == most else max(0.0, target[s] - passes[s] * sizes[s]) for s in names}
-    blocks = {s: max(1, -(-found[s]["n"] // BLOCK)) for s in names}
+    block = max(BLOCK, -(-most * sum(r["n"] for r in found.values()) // UNITS))  # larger for very many documents, so that draws stay exact
+    blocks = {s: max(1, -(-found[s]["n"] // block)) for s in names}
 
     known = literal_table(
         spark,
@@ -171,10 +163,6 @@ def _no_placements() -> Column:
 
 
 def mixed(rows: DataFrame) -> DataFrame:
-    """The drawn documents themselves, a row per copy, in shards and shuffled inside each."""
-    return (
-        rows.select("row", F.explode("placements").alias("p"))
-        .select("row.*", F.col("p.shard").alias("_shard"), F.col("p.order").alias("_order"))
-        .sortWithinPartitions("_shard", "_order")
-        .drop("_shard", "_order")
-    )
+    """The drawn documents themselves, a row per copy, in shards and shuffled inside each; columns may be named like anything."""
+    drawn = rows.select("row", F.explode("placements").alias("placement"))
+    return drawn.sortWithinPartitions("placement.shard", "placement.order").select("row.*")
