@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 PLAIN = r"(?<![^\x20\x09-\x0D])\p{L}+[.,;:]?(?![^\x20\x09-\x0D])"
 WINDOW = 8
 GOOD, BAD, ABSTAIN = 1, 0, 2
-SURE = 8
+SURE, PRIOR = 8, 1000
 
 
 def _let(value: Column, body) -> Column:
@@ -94,7 +94,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> dict[
     Given the class, rules vote (good, bad or abstain) independently. A rule's chance of each vote in
     each class starts at what is expected of any rule and is re-estimated with that expectation as prior;
     a vote against a text stays at least ``SURE`` times as likely for a bad text as for a good one, so
-    that the classes cannot change places.
+    that the classes cannot change places. The expectation counts as ``PRIOR`` texts at most, and as a fiftieth of
+    a small table, so it fades as the table grows.
     """
     total = sum(n for _, n in patterns)
     width = len(patterns[0][0]) if patterns else 0
@@ -107,7 +108,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> dict[
 
     for _ in range(rounds if total else 0):
         each = [(votes, n, posterior(votes)) for votes, n in patterns]
-        weight = 0.02 * total + 2
+        weight = min(0.02 * total, PRIOR) + 2
         for y in (GOOD, BAD):
             mass = [(votes, n * (p if y == GOOD else 1 - p)) for votes, n, p in each]
             whole = sum(m for _, m in mass)
@@ -117,7 +118,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> dict[
         for j in range(width):
             good, bad = chance[GOOD][j], chance[BAD][j]
             if bad[BAD] < SURE * good[BAD]:
-                good[BAD] = bad[BAD] / SURE
+                rest = (1 - bad[BAD] / SURE) / (1 - good[BAD])  # the other votes of good texts, so that all sum to 1
+                chance[GOOD][j] = {BAD: bad[BAD] / SURE, GOOD: good[GOOD] * rest, ABSTAIN: good[ABSTAIN] * rest}
         prior = (sum(n * p for _, n, p in each) + weight * 0.85) / (total + weight)
     return {votes: posterior(votes) for votes, _ in patterns}
 
