@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors; a temporary one only where the session names none (tests)."""
+    """The folder shared by all executors; a temporary one only where a local session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lumenlode-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -40,7 +42,7 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{label}_{uuid.uuid4().hex}"
     df.write.bucketBy(n, key).option("path", path).saveAsTable(name)
     out = spark.table(name)
-    out._stash_path = path
+    out._stash_path, out._stash_table = path, name
     return out
 
 
@@ -50,6 +52,8 @@ def drop(*tables: DataFrame) -> None:
         spark = df.sparkSession
         at = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if name := getattr(df, "_stash_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def release(spark: SparkSession) -> None:
