@@ -234,14 +234,30 @@ def repeats(texts: DataFrame, length: int, groups: bool = True) -> tuple[DataFra
     by_digest = windows.join(twice, ["h", "d"]).select("h", "ch", F.hex("d").alias("grp"), F.col("s").cast("bigint"), (F.col("s") + length).cast("bigint").alias("e"))
     spans = stash(whole.union(by_array).union(by_digest), "spans")
     drop(contexts, kinds)
-    return spans, runs.select("h", "ch", "doc", "lo")
+    slim = runs.select("h", "ch", "doc", "lo")
+    slim._stash_path = runs._stash_path
+    return spans, slim
 
 
-def remove_repeats(df: DataFrame, length: int = 400, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def _spans_by_doc(texts: DataFrame, length: int, name: str) -> DataFrame:
+    """doc and, as ``name``, the spans (s, e) of its bytes that strings of ``length`` bytes cover which also start elsewhere; written."""
+    spans, runs = repeats(texts.select("doc", "t"), length, groups=False)
+    # written first, so that a context with very many runs can be split among tasks of the join
+    covered = stash(spans.groupBy("h", "ch").agg(F.array_distinct(F.collect_list(F.struct("s", "e"))).alias("own")), "covered")
+    of_doc = runs.join(covered, ["h", "ch"]).select("doc", F.transform("own", lambda x: F.struct((x["s"] + F.col("lo")).alias("s"), (x["e"] + F.col("lo")).alias("e"))).alias("own"))
+    out = stash(of_doc.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias(name)), name)
+    drop(spans, covered, runs)
+    release(texts.sparkSession)
+    return out
+
+
+def remove_repeats(df: DataFrame, length: int = 400, text: str = "text", keep: list[str] | None = None, passage: int = 300) -> DataFrame:
     """Take out each byte that a string of ``length`` bytes covers which also starts anywhere else.
 
     Returns one row per row of ``df``: row (struct of ``keep``, all columns by default), n_bytes,
-    n_removed, n_spans (maximal removed runs) and kept_sha256. Texts are UTF-8 bytes, a null one none;
+    n_removed, n_spans (maximal removed runs) and kept_sha256; and, as a report of what is repeated but may be
+    too short to be removed, n_passages (maximal runs of bytes that strings of ``passage`` bytes cover which
+    also start elsewhere: some fifty words) and passage_bytes. Texts are UTF-8 bytes, a null one none;
     matches never cross texts; what is repeated is judged on the input. Repeated rows are copies and lose
     every byte if they have ``length`` of them. An empty table gives no rows.
 
@@ -253,32 +269,28 @@ def remove_repeats(df: DataFrame, length: int = 400, text: str = "text", keep: l
     every = df.select(doc.alias("doc"), t.alias("t"))
     texts = bucketed(every.groupBy("doc").agg(F.first("t").alias("t"), F.count("*").alias("copies")), "doc", "texts")
     release(df.sparkSession)
-    spans, runs = repeats(texts.select("doc", "t"), length, groups=False)
-    # written first, so that a context with very many runs can be split among tasks of the join
-    covered = stash(spans.groupBy("h", "ch").agg(F.array_distinct(F.collect_list(F.struct("s", "e"))).alias("own")), "covered")
-    of_doc = runs.join(covered, ["h", "ch"]).select("doc", F.transform("own", lambda x: F.struct((x["s"] + F.col("lo")).alias("s"), (x["e"] + F.col("lo")).alias("e"))).alias("own"))
-    of_doc = of_doc.groupBy("doc").agg(F.flatten(F.collect_list("own")).alias("spans"))
+    short = _spans_by_doc(texts, passage, "passages")
+    long = _spans_by_doc(texts, length, "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         for b in batches:
             rows = []
-            for t, copies, own in zip(b.column(1), b.column(2).to_pylist(), b.column(3), strict=True):
-                t, own = t.as_py().encode("utf-8", "surrogatepass"), own.as_py() or []
-                if copies > 1 and len(t) >= length:
-                    own = [{"s": 0, "e": len(t)}]
-                kept, at, n_spans, end = [], 0, 0, -1
-                for s, e in sorted((x["s"], x["e"]) for x in own):
-                    if s > end:
-                        kept.append(t[at:s])
-                        n_spans += 1
-                    end = at = max(end, e)
+            for t, copies, own, more in zip(b.column(1), b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
+                t = t.as_py().encode("utf-8", "surrogatepass")
+                whole = lambda n, x: [(0, len(t))] if copies > 1 and len(t) >= n else merged([(y["s"], y["e"]) for y in x.as_py() or []])
+                gone, shared = whole(length, own), whole(passage, more)
+                kept, at = [], 0
+                for s, e in gone:
+                    kept.append(t[at:s])
+                    at = e
                 kept = b"".join([*kept, t[at:]])
-                rows.append((len(t), len(t) - len(kept), n_spans, hashlib.sha256(kept).hexdigest()))
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)] if rows else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.string())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rows.append((len(t), len(t) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), len(shared), sum(e - s for s, e in shared)))
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"])
 
-    done = texts.join(of_doc, "doc", "left").select("doc", "t", "copies", "spans")
-    done = stash(done.mapInArrow(cut, "doc binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"), "cut")
-    drop(spans, covered)
+    done = texts.join(long, "doc", "left").join(short, "doc", "left").select("doc", "t", "copies", "spans", "passages")
+    done = stash(done.mapInArrow(cut, "doc binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, passage_bytes bigint"), "cut")
+    drop(short, long, texts)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]).alias("row"), doc.alias("doc"))
     return rows.join(done, "doc").drop("doc")

@@ -463,6 +463,38 @@ def test_toxicity_is_learnt(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+@pytest.mark.parametrize("name", ["mixed", "score"])
+def test_columns_named_like_ours(spark, name):
+    df = spark.createDataFrame([(1, "one two", "s", "x", "y", 5, 0.5)], "doc_id long, text string, source string, _shard string, _ string, placement int, score double")
+    if name == "mixed":
+        got = mixing.mixed(mixing.mix(df, queries.source_weights)).collect()
+        assert [r._shard for r in got] == ["x"] and got[0].placement == 5
+    else:
+        r = toxicity.score(df, toxicity.Model(0.0, {})).first()
+        assert (r.row["_"], r.row["score"], r.score) == ("y", 0.5, 0.5)
+
+
+def test_units_stay_within_the_generator(monkeypatch, spark):
+    monkeypatch.setattr(mixing, "UNITS", 4)
+    df = spark.createDataFrame([(i, f"w{i} x", "ab"[i % 2]) for i in range(3000)], "doc_id long, text string, source string")
+    got = mixing.mix(df, queries.source_weights, shards=2).collect()
+    taken = collections.Counter()
+    for r in got:
+        taken[r.row.source] += r.copies * r.size
+        assert len(r.placements) == r.copies
+    for r in got:
+        assert abs(taken[r.row.source] - r.target) <= 0.05 * r.target
+
+
+def test_passages_too_short_to_be_removed_are_counted(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    p = text(350)
+    df = spark.createDataFrame([(0, text(200) + p + text(90)), (1, text(40) + p), (2, text(900))], "doc_id long, text string")
+    got = {r.row.doc_id: (r.n_removed, r.n_passages, r.passage_bytes) for r in suffixes.remove_repeats(df, 400, keep=["doc_id"]).collect()}
+    assert got[2] == (0, 0, 0) and all(got[i][0] == 0 and got[i][1] == 1 and 350 <= got[i][2] < 360 for i in (0, 1))
+
+
 def test_nothing_to_learn_from():
     assert toxicity.fit([], [{b"a"}], 0.1).score(None) == pytest.approx(0.1)
 
