@@ -154,10 +154,11 @@ def _sets(texts: list[str | None], words: int) -> list[np.ndarray]:
 
 
 def _index_of(df: DataFrame, words: int, similarity: float, ranked: Ranks, buckets: int, passes: int, nth: int) -> DataFrame:
-    """bucket and blob of the texts (id, t): the first (1 - similarity) n + 1 of a set of n shingles, by rank and hash, are its keys."""
+    """bucket and blob of the texts (id, t; each id once in a batch): the first (1 - similarity) n + 1 of a set of n shingles, by rank and hash, are its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.take(pa.array(np.unique(b.column(0).to_numpy(), return_index=True)[1]))
             sets = _sets(b.column(1).to_pylist(), words)
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             grams, item = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), size)
@@ -171,16 +172,18 @@ def _index_of(df: DataFrame, words: int, similarity: float, ranked: Ranks, bucke
 
 
 def _marked(df: DataFrame, words: int) -> DataFrame:
-    """Of the texts (id, key, t) id, key, size and the parities of 1024 counters of shingles, of which a shingle changes one."""
+    """Of the texts (id, key, t), which may come more than once, id, key, size and the parities of 1024 counters of shingles, of which a shingle changes one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.take(pa.array(np.unique(b.column(0).to_numpy(), return_index=True)[1])) if b.num_rows else b
             sets = _sets(b.column(2).to_pylist(), words)
             odd = [np.bincount((h & np.uint64(1023)).astype(np.int64), minlength=1024) & 1 for h in sets]
             marks = pa.array([np.packbits(x.astype(np.uint8)).view(np.int64) for x in odd], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(len, sets)), pa.int32()), marks], names=["id", "key", "size", "marks"])
 
-    return df.select("id", "key", "t").mapInArrow(run, "id bigint, key binary, size int, marks array<bigint>")
+    found = df.select("id", "key", "t").mapInArrow(run, "id bigint, key binary, size int, marks array<bigint>")
+    return found.groupBy("key").agg(F.first("id").alias("id"), F.first("size").alias("size"), F.first("marks").alias("marks"))
 
 
 def _possible(found: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
@@ -192,16 +195,19 @@ def _possible(found: DataFrame, marked: DataFrame, similarity: float) -> DataFra
     return met.select(F.least("x.key", "y.key").alias("x"), F.greatest("x.key", "y.key").alias("y")).distinct()
 
 
-def _similar(found: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs x, y of texts (key, t) whose shingle sets have the Jaccard similarity."""
+def _similar(found: DataFrame, texts: DataFrame, words: int, similarity: float, broadcast_rows: int) -> DataFrame:
+    """The pairs x, y of texts (key, t; maybe more than once) whose shingle sets have the Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = pa.array([h.view(np.int64) for h in _sets(b.column(1).to_pylist(), words)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["key", "s"])
 
-    wanted = found.select(F.col("x").alias("key")).union(found.select("y")).distinct()
-    sets = stash(texts.join(wanted, "key", "left_semi").select("key", "t").mapInArrow(run, "key binary, s array<bigint>"), "shingles")
+    wanted = stash(found.select(F.col("x").alias("key")).union(found.select("y")).distinct(), "keys")
+    few = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted  # 16 bytes each
+    sets = texts.join(few, "key", "left_semi").select("key", "t").mapInArrow(run, "key binary, s array<bigint>")
+    sets = stash(sets.groupBy("key").agg(F.first("s").alias("s")), "shingles")
+    drop(wanted)
     a, b = sets.select(F.col("key").alias("x"), F.col("s").alias("p")), sets.select(F.col("key").alias("y"), F.col("s").alias("q"))
     both = F.size(F.array_intersect("p", "q"))
     out = stash(found.join(a, "x").join(b, "y").where(both >= similarity * (F.size("p") + F.size("q") - both) - 1e-9).select("x", "y"), "similar")
@@ -236,9 +242,9 @@ def one_of_each(
     rows = df.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), key.alias("key"), F.col(text).alias("t"))
     rows = stash(with_fingerprint(rows.withColumn("at", F.monotonically_increasing_id()), words, "t"), "rows")
     head = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
-    one = rows.groupBy("key").agg(F.min("at").alias("at"), F.first("fp").alias("fp"), F.min(F.struct("id", "at")).alias("least"))
+    one = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.min(F.struct("id", "at")).alias("least"))
     one = stash(one.withColumn("n", head), "texts")
-    texts = rows.select("at", "key", F.col("row")[text].alias("t")).join(one.select("at", F.col("n").alias("id")), "at")
+    texts = rows.select("key", head.alias("id"), F.col("row")[text].alias("t"))  # copies are met again, but no text is moved
 
     fps = one.groupBy("fp").agg(F.min("n").alias("n"))
     near = links(fps, bits).join(fps.select(F.col("fp").alias("a"), F.col("n").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("n").alias("y")), "b")
@@ -262,7 +268,7 @@ def one_of_each(
     def alike(some: DataFrame) -> DataFrame:
         """As ids, for ``connecting``; the pairs of texts are put by."""
         possible = stash(_possible(some, marked, similarity), "possible")
-        found.append(_similar(possible, texts, words, similarity))
+        found.append(_similar(possible, texts, words, similarity, broadcast_rows))
         drop(possible)
         release(spark)
         x, y = (marked.select(F.col("key").alias(c), F.col("id").alias(i)) for c, i in (("x", "a"), ("y", "b")))
