@@ -245,7 +245,7 @@ def _spans_by_doc(texts: DataFrame, length: int, name: str) -> DataFrame:
     # written first, so that a context with very many runs can be split among tasks of the join
     covered = stash(spans.groupBy("h", "ch").agg(F.array_distinct(F.collect_list(F.struct("s", "e"))).alias("own")), "covered")
     of_doc = runs.join(covered, ["h", "ch"]).select("doc", F.transform("own", lambda x: F.struct((x["s"] + F.col("lo")).alias("s"), (x["e"] + F.col("lo")).alias("e"))).alias("own"))
-    out = stash(of_doc.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias(name)), name)
+    out = stash(of_doc.groupBy("doc").agg(F.flatten(F.collect_list("own")).alias(name)), name)
     drop(spans, covered, runs)
     release(texts.sparkSession)
     return out
