@@ -30,27 +30,34 @@ KINDS = {"period": ["period", "doc"], "doc": ["doc"], "org": ["org"], "venue": [
 def profile(m: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
     """One row per topic with what its indicators need, from one pass over the mentions.
 
-    The mentions are grouped by several sets of columns at once (partial sums before the shuffle), then
-    counted per period or class, and only those few counts of a topic are brought together. Columns: topic;
-    series (period, df, tf); documents, doc_firsts and org_firsts (period, n: things first seen then), orgs,
-    venues, classes (documents per class), citations, patent_share and corporate_share per document.
+    The mentions are shuffled once, as they are, by topic; then each is laid out by every set of columns and
+    grouped and counted where it lies, and only the few counts of a topic are moved again, as one column, so that
+    all who read a profile share them. A topic's mentions meet in one task, which groups them with spilling.
+    Columns: topic; series (period, df, tf); documents, doc_firsts and org_firsts (period, n: things first seen
+    then), orgs, venues, classes (documents per class), citations, patent_share and corporate_share per document.
     """
-    named = ["topic", "period", "doc", "org", "venue", "source_class"]
-    sets = [["topic", *KINDS[k]] for k in kinds]
-    of = {sum(1 << (len(named) - 1 - i) for i, c in enumerate(named) if c not in x): k for k, x in zip(kinds, sets)}
-    rows = m.withColumn("at", F.col("period"))
-    held = lambda c, d="null": F.max(c) if c in m.columns else F.lit(None).cast("double")
-    g = rows.groupingSets([[F.col(c) for c in x] for x in sets], *[F.col(c) for c in named]).agg(
-        F.grouping_id().alias("gid"), F.sum("tf").alias("tf"), F.min("at").alias("first"),
-        held("citations").alias("c"), held("patent").alias("p"), held("corporate").alias("i"),
-    )
-    kind = F.coalesce(*[F.when(F.col("gid") == k, v) for k, v in of.items()])
-    g = g.withColumn("kind", kind).where("not (kind = 'org' and org is null) and not (kind = 'venue' and venue is null)")
+    named = ["period", "doc", "org", "venue", "source_class"]
+    types = dict(m.dtypes)
+    null = lambda t: F.lit(None).cast(t)
+
+    def entry(kind: str) -> F.Column:
+        things = [(F.col(c) if c in KINDS[kind] else null(types[c])).alias(c) for c in named]
+        first = F.col("period") if kind in ("doc", "org") else null(types["period"])
+        tf = F.col("tf") if kind == "period" else null(types["tf"])
+        held = [(F.col(c).cast("double") if kind == "doc" and c in types else null("double")).alias(c[0]) for c in ("citations", "patent", "corporate")]
+        return F.struct(F.lit(kind).alias("kind"), *things, first.alias("first"), tf.alias("tf"), *held[:2], held[2].alias("i"))
+
+    # many small parts, so that groups fit a task's memory; their number is given as adaptive execution would join them
+    dealt = m.repartition(4 * int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")), "topic")
+    each = dealt.select("topic", F.explode(F.array(*[entry(k) for k in kinds])).alias("e")).select("topic", "e.*")
+    each = each.where("not (kind = 'org' and org is null) and not (kind = 'venue' and venue is null)")
+    g = each.groupBy("topic", "kind", *named).agg(F.min("first").alias("first"), F.sum("tf").alias("tf"), *[F.max(c).alias(c) for c in "cpi"])
     at = F.when(F.col("kind") == "period", F.col("period")).when(F.col("kind").isin("doc", "org"), F.col("first"))
     counts = g.groupBy("topic", "kind", at.alias("at"), F.when(F.col("kind") == "class", F.col("source_class")).alias("class")).agg(
         F.count("*").alias("n"), F.sum("tf").alias("tf"), F.sum("c").alias("c"), F.count("c").alias("cited"), F.sum("p").alias("p"), F.sum("i").alias("i")
     )
     every = counts.groupBy("topic").agg(F.collect_list(F.struct("kind", "at", "class", "n", "tf", "c", "cited", "p", "i")).alias("x"))  # a few rows per period and class
+    every = every.repartition("topic")
     of_kind = lambda k: F.filter("x", lambda r: r["kind"] == k)
     total = lambda k, f: F.aggregate(of_kind(k), F.lit(0.0), lambda s, r: s + F.coalesce(r[f].cast("double"), F.lit(0.0)))
     firsts = lambda k: F.array_sort(F.transform(of_kind(k), lambda r: F.struct(r["at"].alias("period"), r["n"].alias("n"))))
@@ -151,13 +158,18 @@ def burst(series: DataFrame, scale: float = 2.0, floor_documents: float = 1.0) -
     )
 
 
+def _all_topics(df: DataFrame) -> DataFrame:
+    """``df``, planned like a side of a join by topic (which leaves out nulls), so that what both read is shuffled once."""
+    return df.where("topic is not null").union(df.where("topic is null"))
+
+
 def corpus_stats(m: DataFrame, series: DataFrame, recent: int = 2) -> DataFrame:
     """One row: recent_max, q25, q60, q90 of topics' documents, classes."""
     volume = series.groupBy("topic").agg(
         F.sum("df").alias("v"), F.sum(F.when(F.col("idx") > F.col("length") - recent, F.col("df")).otherwise(0)).alias("r")
     )
     q = [F.expr(f"percentile(v, {x})").alias(k) for k, x in (("q25", 0.25), ("q60", 0.6), ("q90", 0.9))]
-    return volume.agg(F.max("r").alias("recent_max"), *q).crossJoin(m.agg(F.countDistinct("source_class").alias("classes")))
+    return _all_topics(volume).agg(F.max("r").alias("recent_max"), *q).crossJoin(m.agg(F.countDistinct("source_class").alias("classes")))
 
 
 def first_credible(p: DataFrame, documents: int = 2, parties: int = 2) -> F.Column:
@@ -188,7 +200,7 @@ def weakness(series: DataFrame, recent: int = 2, floor: int = 5) -> DataFrame:
     """1 where nothing recent, 0 for the topic with most recent documents."""
     r = series.groupBy("topic").agg(F.sum(F.when(F.col("idx") > F.col("length") - recent, F.col("df")).otherwise(0)).alias("recent"))
     most = F.greatest(F.max("recent"), F.lit(floor)).alias("most")
-    return r.crossJoin(F.broadcast(r.agg(most))).select("topic", "recent", clamp01(1 - F.log1p("recent") / F.log1p("most")).alias("weakness"))
+    return r.crossJoin(F.broadcast(_all_topics(r).agg(most))).select("topic", "recent", clamp01(1 - F.log1p("recent") / F.log1p("most")).alias("weakness"))
 
 
 def diffusion_of(active: F.Column, weights=(0.40, 0.35, 0.25), orgs: int = 50, venues: int = 25) -> tuple[F.Column, F.Column]:

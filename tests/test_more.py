@@ -351,3 +351,25 @@ def test_views(spark):
 def test_vectors_come_from_a_named_provider_only(monkeypatch):
     monkeypatch.delenv("EMBEDDING_PROVIDER", raising=False)
     assert signals.embedding() is None
+
+
+def test_indicators_shuffle_the_mentions_once(spark):
+    """Joins by topic, the greatest recent count and quantiles all read one profile, and a profile deals the mentions out once."""
+    from lumenlode.plans import queries as plans
+
+    for name in ("emergence_ranking", "lifecycle"):
+        d = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+        d.collect()
+        plan = d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        large = [x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x and "Exchange" in x]
+        assert 1 <= len([x for x in large if "ReusedExchange" not in x]) <= 2, name  # the second has the mentions of no topic: none
+
+
+def test_profiles_keep_mentions_without_topic_or_place(spark):
+    rows = [(None, 1, 2000, 7, "A", 1, 2), (5, 1, 2000, None, "A", None, 3), (5, 1, 2001, 7, "B", 1, 1), (5, None, 2001, 8, "B", 1, None)]
+    m = spark.createDataFrame(rows, "topic long, doc long, period int, org long, source_class string, venue long, tf int")
+    got = {r.topic: r for r in series.profile(m).collect()}
+    assert {k: (r.documents, r.orgs, r.venues, sorted(r.classes)) for k, r in got.items()} == {None: (1, 1, 1, [1]), 5: (2, 2, 1, [1, 2])}
+    assert [tuple(x) for x in got[5].doc_firsts] == [(2000, 1), (2001, 1)] and [tuple(x) for x in got[5].series] == [(2000, 1, 3), (2001, 2, 1)]
+    top = series.weakness(series.filled(series.profile(m), series.span(m)), floor=0)
+    assert {r.topic: r.recent for r in top.collect()} == {None: 1, 5: 3}
