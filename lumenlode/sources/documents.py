@@ -176,7 +176,8 @@ def csv_safe(x: Column) -> Column:
 
 
 def export_csv(report: DataFrame, path: str) -> None:
-    report.select(*[csv_safe(F.col(c)).alias(c) for c in report.columns]).write.option("sep", ";").option("header", True).csv(path)
+    """One file (a report has fifty topics at most), so that no part has a header only."""
+    report.select(*[csv_safe(F.col(c)).alias(c) for c in report.columns]).coalesce(1).write.option("sep", ";").option("header", True).csv(path)
 
 
 def export_lines(report: DataFrame) -> DataFrame:
