@@ -122,7 +122,8 @@ def links(fps: DataFrame, bits: int = 3, segments: int = 2, reach: tuple[int, in
 
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= bits
     meet = ["segment", "value"]
-    found = entries(reach[0], "x").join(entries(reach[1], "y"), meet).where((F.col("x") < F.col("y")) & near)
+    # a plan knows nothing of how many values a ball has, and would send the larger side through the driver
+    found = entries(reach[0], "x").join(entries(reach[1], "y").hint("merge"), meet).where((F.col("x") < F.col("y")) & near)
     return found.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
