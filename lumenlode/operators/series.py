@@ -27,9 +27,15 @@ def corpus_per_period(m: DataFrame) -> DataFrame:
 KINDS = {"period": ["period", "doc"], "doc": ["doc"], "org": ["org"], "venue": ["venue"], "class": ["source_class", "doc"]}
 
 
-def profile(m: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+#: What is measured of a document: the name among a profile's entries of each column of the mentions.
+MEASURES = {"citations": "c", "patent": "p", "corporate": "i"}
+
+
+def profile(m: DataFrame, kinds: tuple[str, ...] = tuple(KINDS), measures: tuple[str, ...] = tuple(MEASURES)) -> DataFrame:
     """One row per topic with what its indicators need, from one pass over the mentions.
 
+    Only columns of the mentions that ``kinds`` and ``measures`` need are moved; what rests on others is zero or empty.
+
     The mentions are shuffled once, as they are, by topic; then each is laid out by every set of columns and
     grouped and counted where it lies, and only the few counts of a topic are moved again, as one column, so that
     all who read a profile share them. A topic's mentions meet in one task, which groups them with spilling.
@@ -44,8 +50,8 @@ def profile(m: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
         things = [(F.col(c) if c in KINDS[kind] else null(types[c])).alias(c) for c in named]
         first = F.col("period") if kind in ("doc", "org") else null(types["period"])
         tf = F.col("tf") if kind == "period" else null(types["tf"])
-        held = [(F.col(c).cast("double") if kind == "doc" and c in types else null("double")).alias(c[0]) for c in ("citations", "patent", "corporate")]
-        return F.struct(F.lit(kind).alias("kind"), *things, first.alias("first"), tf.alias("tf"), *held[:2], held[2].alias("i"))
+        held = [(F.col(c).cast("double") if kind == "doc" and c in types and c in measures else null("double")).alias(x) for c, x in MEASURES.items()]
+        return F.struct(F.lit(kind).alias("kind"), *things, first.alias("first"), tf.alias("tf"), *held)
 
     # many small parts, so that groups fit a task's memory; their number is given as adaptive execution would join them
     dealt = m.repartition(4 * int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")), "topic")

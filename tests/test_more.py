@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import uuid
 import zipfile
 from datetime import date, datetime
@@ -377,6 +378,20 @@ def test_indicators_shuffle_the_mentions_once(spark):
         assert 1 <= len([x for x in large if "ReusedExchange" not in x]) <= 2, name  # the second has the mentions of no topic: none
 
 
+def test_stages_move_only_what_they_read(spark):
+    """Of the mentions lifecycle deals out topic, document, period, frequency and patents: no organisation, place, class or citations."""
+    from lumenlode.plans import queries as plans
+
+    plan = plans.lifecycle(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    dealt, found = [plan], set()
+    while dealt:
+        p = dealt.pop()
+        if p.getClass().getSimpleName() == "RepartitionByExpression" and "doc#" in p.output().mkString(","):
+            found.add(re.sub(r"#\d+L?", "", p.output().mkString(",")))
+        dealt += [p.children().apply(i) for i in range(p.children().size())]
+    assert found == {"topic,doc,period,tf,patent"}
+
+
 def test_profiles_keep_mentions_without_topic_or_place(spark):
     rows = [(None, 1, 2000, 7, "A", 1, 2), (5, 1, 2000, None, "A", None, 3), (5, 1, 2001, 7, "B", 1, 1), (5, None, 2001, 8, "B", 1, None)]
     m = spark.createDataFrame(rows, "topic long, doc long, period int, org long, source_class string, venue long, tf int")
