@@ -31,14 +31,14 @@ KINDS = {"period": ["period", "doc"], "doc": ["doc"], "org": ["org"], "venue": [
 MEASURES = {"citations": "c", "patent": "p", "corporate": "i"}
 
 
-def profile(m: DataFrame, kinds: tuple[str, ...] = tuple(KINDS), measures: tuple[str, ...] = tuple(MEASURES)) -> DataFrame:
+def profile(m: DataFrame, kinds: tuple[str, ...] = tuple(KINDS), measures: tuple[str, ...] = tuple(MEASURES), shared: bool = True) -> DataFrame:
     """One row per topic with what its indicators need, from one pass over the mentions.
 
     Only columns of the mentions that ``kinds`` and ``measures`` need are moved; what rests on others is zero or empty.
 
     The mentions are shuffled once, as they are, by topic; then each is laid out by every set of columns and
     grouped and counted where it lies, and only the few counts of a topic are moved again, as one column, so that
-    all who read a profile share them. A topic's mentions meet in one task, which groups them with spilling.
+    all who read a profile share them (if ``shared``; one that is read once need not be). A topic's mentions meet in one task, which groups them with spilling.
     Columns: topic; series (period, df, tf); documents, doc_firsts and org_firsts (period, n: things first seen
     then), orgs, venues, classes (documents per class), citations, patent_share and corporate_share per document.
     """
@@ -63,7 +63,7 @@ def profile(m: DataFrame, kinds: tuple[str, ...] = tuple(KINDS), measures: tuple
         F.count("*").alias("n"), F.sum("tf").alias("tf"), F.sum("c").alias("c"), F.count("c").alias("cited"), F.sum("p").alias("p"), F.sum("i").alias("i")
     )
     every = counts.groupBy("topic").agg(F.collect_list(F.struct("kind", "at", "class", "n", "tf", "c", "cited", "p", "i")).alias("x"))  # a few rows per period and class
-    every = every.repartition("topic")
+    every = every.repartition("topic") if shared else every
     of_kind = lambda k: F.filter("x", lambda r: r["kind"] == k)
     total = lambda k, f: F.aggregate(of_kind(k), F.lit(0.0), lambda s, r: s + F.coalesce(r[f].cast("double"), F.lit(0.0)))
     firsts = lambda k: F.array_sort(F.transform(of_kind(k), lambda r: F.struct(r["at"].alias("period"), r["n"].alias("n"))))

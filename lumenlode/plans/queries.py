@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import store
 from ..functions import text as T
 from ..functions.numeric import cosine, out
 from ..operators import evidence, model, reports, scoring, selection, series, terms, vectors
@@ -262,17 +263,44 @@ def _geo_sql(w: dict[str, float]) -> str:
     return f"CASE WHEN {_ZERO} THEN 0 ELSE 100 * exp({' + '.join(f'{w[k]!r} * ln(CASE WHEN {k} > 0 THEN {k} ELSE 1 END)' for k in _MEASURED)}) END"
 
 
+#: Mentions whose shuffle may lie on the disks at a time.
+MENTIONS = 12_000_000
+
+
+def _indicators(m: DataFrame, passes: int) -> DataFrame:
+    """Five indicators and the burst weight of each topic, from one profile of the mentions.
+
+    With several passes profiles are made of a part of the topics at a time, and each step is written, so that
+    what it shuffled leaves the disks before the next.
+    """
+    classes, corpus, parts = m.agg(F.countDistinct("source_class").alias("k")), series.span(m), []  # one row each
+    if passes > 1:
+        classes, corpus = store.stash(classes, "classes"), store.stash(corpus, "corpus")
+        store.release(m.sparkSession)
+
+    def own(some: DataFrame, shared: bool) -> DataFrame:
+        p = series.profile(some, shared=shared)
+        return p.crossJoin(F.broadcast(classes)).select(
+            "topic", "series", series.novelty_of(series.first_credible(p), 2001).alias("novelty"), series.diffusion_of(F.col("k"))[1].alias("diffusion"), series.impact_of()[0].alias("impact")
+        )
+
+    if passes > 1:
+        parts = store.in_passes(m, "topic", passes, lambda some: own(some, False), "profiles")
+        p = store.together(parts).repartition("topic")
+    else:
+        p = own(m, True)
+    s = series.filled(p, corpus)
+    t = p.drop("series").join(series.growth(s).select("topic", "growth"), "topic").join(series.weakness(s).select("topic", "weakness"), "topic")
+    t = t.join(series.burst(s).select("topic", F.col("weight").alias("burst_weight")), "topic")
+    if passes > 1:
+        t = store.stash(t, "indicators")
+        store.drop(classes, corpus, *parts)
+        store.release(m.sparkSession)
+    return t
+
+
 def indicators(spark, sf):
-    """Five indicators and the burst weight of each topic, from one profile of the mentions."""
-    m = mentions(spark, sf)
-    p = series.profile(m)
-    s = series.filled(p, series.span(m))
-    classes = F.broadcast(m.agg(F.countDistinct("source_class").alias("k")))  # one row
-    own = p.crossJoin(classes).select(
-        "topic", series.novelty_of(series.first_credible(p), 2001).alias("novelty"), series.diffusion_of(F.col("k"))[1].alias("diffusion"), series.impact_of()[0].alias("impact")
-    )
-    t = own.join(series.growth(s).select("topic", "growth"), "topic").join(series.weakness(s).select("topic", "weakness"), "topic")
-    return t.join(series.burst(s).select("topic", F.col("weight").alias("burst_weight")), "topic")
+    return _indicators(mentions(spark, sf), -(-table(spark, sf, "lineitem").count() // MENTIONS))
 
 
 @query(f"""{_PARTS} SELECT topic, round({_geo_sql(_W)}, 6) AS geometric,
