@@ -1,6 +1,7 @@
 """Queries whose shuffles are dealt with in parts."""
 
 from lumenlode.functions import store
+from lumenlode.operators import terms
 from lumenlode.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +34,25 @@ def test_indicators_are_the_same_in_passes_and_leave_no_mentions_to_shuffle(spar
     assert len(parts) == 3 and sum(parts) == m.select("topic").distinct().count() and max(parts) < sum(parts)
     assert "lineitem" not in several._jdf.queryExecution().toString()  # what is returned reads what was written
     same(several, plans._indicators(m, 1))
+
+
+def test_token_statistics_are_the_same_in_passes(spark):
+    s = terms.sentences(spark.read.parquet(f"{SF}/documents.parquet"))
+    same(terms.token_statistics(s, 3), terms.token_statistics(s))
+
+
+def test_tokens_are_numbered_where_documents_repeat_and_sentences_are_missing(spark):
+    rows = [(7, 0, ["A", "b"]), (7, 0, ["A", "b"]), (7, 3, ["b", "b"]), (9, 1, ["A"]), (2, 5, ["c"])]
+    got = {r.token: r for r in terms.token_statistics(spark.createDataFrame(rows, "doc long, nth int, w array<string>")).collect()}
+    # sentences in order: 2/5 is 0, 7/0 twice 1 and 2, 7/3 is 3, 9/1 is 4
+    assert {t: (r.freq, r.sentences, r.middle) for t, r in got.items()} == {"a": (3, 3, 2.0), "b": (4, 3, 2.0), "c": (1, 1, 0.0)}
+    assert (got["b"].lefts, got["b"].rights, got["a"].lefts, got["a"].rights, got["a"].upper, got["a"].capitalised) == (3, 2, 1, 2, 0, 3)
+
+
+def test_rows_of_tokens_are_shuffled_once_for_their_middles(spark):
+    s = terms.sentences(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = s.selectExpr("explode(w) as token", "0 as range", "doc", "nth").where("doc is not null")
+    df = terms._middles(rows)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("REPARTITION_BY_COL") <= 2
