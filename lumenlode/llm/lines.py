@@ -16,8 +16,8 @@ from .graph import components
 from .pairs import BUCKET, Ranks, candidates, connecting, packed, ranks, record
 from .store import drop, release, stash
 
-#: Words whose keys are made at a time: few enough for a processor's cache.
-AT_ONCE = 1 << 16
+#: Words whose keys are made at a time: few enough for a processor's cache; texts that are split into lines at a time.
+AT_ONCE, TEXTS = 1 << 16, 1024
 #: Records of the index of lines, and the counters that their marks are parities of.
 KIND, COUNTERS = record(2, wide=False), 128
 
@@ -111,39 +111,45 @@ def lines_of(df: DataFrame, id_col: str, text: str, min_words: int, similarity:
     more = [null("int", "nth"), null("binary", "line"), null("int", "words_n"), null("binary", "marks"), null("binary", "keys"), null("binary", "members")]
     schema = rows.select("at", "doc", *more).schema
 
+    def part(b: pa.RecordBatch, seen: set[bytes]) -> pa.RecordBatch:
+        number: dict[bytes, int] = {}
+        row, nth, which = [], [], []
+        for i, t in enumerate(b.column(2)):
+            for k, norm in enumerate(normalised(t.as_py())):
+                if norm:
+                    row.append(i)
+                    nth.append(k)
+                    which.append(number.setdefault(norm, len(number)))
+        found = list(number)
+        digests, sizes = [_digest(x) for x in found], [x.count(b" ") + 1 for x in found]
+        fresh = [d not in seen for d in digests]
+        seen.update(digests)
+        marks, keys, members = [None] * len(found), [None] * len(found), [None] * len(found)
+        some, n = [], 0
+        for i, size in enumerate(sizes):
+            if size >= min_words and fresh[i]:
+                some.append(i)
+                n += size
+            if some and (n >= AT_ONCE or i == len(found) - 1):
+                k, common, line, _, m = _keys([found[x] for x in some], similarity, ranked)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(some)))]).tolist()
+                data, hot, many = k.tobytes(), common.astype("<f4").tobytes(), (np.bincount(line, common > 1, len(some)) > 0).tolist()
+                for at, x in enumerate(some):
+                    marks[x], keys[x] = m[at].tobytes(), data[8 * ends[at] : 8 * ends[at + 1]]
+                    members[x] = hot[4 * ends[at] : 4 * ends[at + 1]] if many[at] else None
+                some, n = [], 0
+        taken, of = pa.array(row, pa.int64()), np.array(which, np.int64)
+        again = np.ones(len(of), bool)
+        again[np.unique(of, return_index=True)[1]] = False
+        once = pa.array(of, mask=again)  # null for a line's later places
+        cols = [b.column(0).take(taken), b.column(1).take(taken), pa.array(nth, pa.int32()), pa.array(digests, pa.binary()).take(pa.array(of)), pa.array(sizes, pa.int32()).take(pa.array(of))]
+        cols += [pa.array(x, pa.binary()).take(once) for x in (marks, keys, members)]
+        return pa.RecordBatch.from_arrays(cols, names=["at", "doc", "nth", "line", "words_n", "marks", "keys", "members"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            number: dict[bytes, int] = {}
-            row, nth, which = [], [], []
-            for i, t in enumerate(b.column(2)):
-                for k, norm in enumerate(normalised(t.as_py())):
-                    if norm:
-                        row.append(i)
-                        nth.append(k)
-                        which.append(number.setdefault(norm, len(number)))
-            found = list(number)
-            digests, sizes = [_digest(x) for x in found], [x.count(b" ") + 1 for x in found]
-            marks, keys, members = [None] * len(found), [None] * len(found), [None] * len(found)
-            some, n = [], 0
-            for i, size in enumerate(sizes):
-                if size >= min_words:
-                    some.append(i)
-                    n += size
-                if some and (n >= AT_ONCE or i == len(found) - 1):
-                    k, common, line, _, m = _keys([found[x] for x in some], similarity, ranked)
-                    ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(some)))]).tolist()
-                    data, hot, many = k.tobytes(), common.astype("<f4").tobytes(), (np.bincount(line, common > 1, len(some)) > 0).tolist()
-                    for at, x in enumerate(some):
-                        marks[x], keys[x] = m[at].tobytes(), data[8 * ends[at] : 8 * ends[at + 1]]
-                        members[x] = hot[4 * ends[at] : 4 * ends[at + 1]] if many[at] else None
-                    some, n = [], 0
-            taken, of = pa.array(row, pa.int64()), np.array(which, np.int64)
-            again = np.ones(len(of), bool)
-            again[np.unique(of, return_index=True)[1]] = False
-            once = pa.array(of, mask=again)  # null for a line's later places
-            cols = [b.column(0).take(taken), b.column(1).take(taken), pa.array(nth, pa.int32()), pa.array(digests, pa.binary()).take(pa.array(of)), pa.array(sizes, pa.int32()).take(pa.array(of))]
-            cols += [pa.array(x, pa.binary()).take(once) for x in (marks, keys, members)]
-            yield pa.RecordBatch.from_arrays(cols, names=["at", "doc", "nth", "line", "words_n", "marks", "keys", "members"])
+            seen: set[bytes] = set()
+            yield from (part(b.slice(k, TEXTS), seen) for k in range(0, b.num_rows, TEXTS))
 
     return rows.mapInArrow(run, schema)
 
@@ -211,7 +217,7 @@ def wanted_lines(df: DataFrame, text: str, ids: DataFrame, few: int) -> DataFram
     known = np.sort(ids.toArrow().column("id").to_numpy()) if ids.count() <= few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
             found = list({x for t in b.column(0) for x in normalised(t.as_py()) if x})
             digests = [_digest(x) for x in found]
             heads = np.frombuffer(b"".join(d[:8] for d in digests), "<i8")
@@ -239,7 +245,7 @@ def possible(found: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
     differ = sum((F.bit_count(F.col(f"x.m{k}").bitwiseXOR(F.col(f"y.m{k}"))) for k in range(8)), F.lit(0))
     short, long = F.least("x.words_n", "y.words_n"), F.greatest("x.words_n", "y.words_n")
     edits = F.floor((1 - similarity) * long + 1e-9)
-    met = found.join(x, "a").join(y, "b").where((differ <= 2 * edits) & (long - short <= edits) & (F.col("x.line") != F.col("y.line")))
+    met = found.join(x, "a").join(y, "b").where((differ <= 2 * edits - (long - short)) & (long - short <= edits) & (F.col("x.line") != F.col("y.line")))
     return met.select(F.least("x.line", "y.line").alias("x"), F.greatest("x.line", "y.line").alias("y")).distinct()
 
 
@@ -266,7 +272,7 @@ def duplicate_lines(
     min_words: int = 4,
     similarity: float = 0.8,
     broadcast_rows: int = 1_000_000,
-    passes: int = 3,
+    passes: int = 6,
 ) -> DataFrame:
     """The lines to remove: doc (key of a row's id and text), removed (line numbers from 0, ascending).
 
@@ -281,8 +287,10 @@ def duplicate_lines(
     """
     spark = df.sparkSession
     ranked = ranks(df, text, lambda texts: grams_of(texts, min_words))
+    release(spark)
     every = stash(lines_of(df, id_col, text, min_words, similarity, ranked), "lines")
     one = stash(every.groupBy("line").agg(F.min(F.struct("at", "doc", "nth")).alias("first"), F.first("words_n").alias("words_n")), "distinct")
+    release(spark)
     words = one.where(F.col("words_n") >= min_words).agg(F.sum("words_n")).first()[0] or 0
     buckets = max(16, int(words * (1 - similarity) * 2 / passes / BUCKET))
     met, wide = candidates(lambda k: index_of(every, buckets, passes, k), KIND, passes, _edits(similarity), similarity)

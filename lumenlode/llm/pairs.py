@@ -21,10 +21,10 @@ from .store import drop, release, stash
 
 #: Slots of the table of ranks (a byte each, few enough for a processor's cache), those that are kept at most, and documents that are sampled at most.
 SLOTS, KEPT, SAMPLE = 1 << 22, 300_000, 20_000
-#: Groups of a key beyond this size are first compared with so many leaders only.
-WIDE, LEADERS = 32, 8
+#: Groups of a key beyond this size are first compared with so many leaders only, unless they have WIDEST members at most, of which FEW pairs a member may be similar.
+WIDE, LEADERS, WIDEST, FEW = 32, 8, 512, 4
 #: Keys that one task holds, about; members of a common key that one task holds at most, by estimate.
-BUCKET, HOT = 1 << 20, 500_000
+BUCKET, HOT = 1 << 19, 500_000
 
 
 class Ranks:
@@ -118,7 +118,8 @@ class _Bounds:
         if self.marks is None:
             return np.ones(len(i), bool)
         differ = np.bitwise_count(self.marks[i] ^ self.marks[j]).sum(axis=1, dtype=np.int64)
-        return (differ <= 2 * self.edits(self.size[j])) | (self.size[j] == self.top)
+        longer = self.size[j] - self.size[i]  # so many edits are insertions at least, each of which changes one mark, not two
+        return (differ <= 2 * self.edits(self.size[j]) - longer) | (self.size[j] == self.top)
 
 
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +131,8 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def meeting(r: np.ndarray, edits: Callable | None, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b) of the records with equal keys whose sizes and marks leave the similarity possible, and the records of wide groups.
 
-    Of a wide group's pairs only those with a few leaders are among them; see ``across`` for the others.
+    Of a wide group's pairs only those with a few leaders are among them; see ``across`` for the others. Wide
+    are groups of over WIDEST records, and those of over WIDE in which more than FEW pairs a record are possible.
     """
     r = r[np.argsort(r["key"])]
     twice = np.zeros(len(r), bool)
@@ -146,8 +148,19 @@ def meeting(r: np.ndarray, edits: Callable | None, similarity: float) -> tuple[n
     ids, bounds = r["id"], _Bounds(r, edits, similarity)
     starts, ends = _groups(r["key"])
     end, group = np.repeat(ends, ends - starts), np.repeat(np.arange(len(starts)), ends - starts)
-    wide = (ends - starts > WIDE)[group]
-    found = []
+    room = np.where(ends - starts > WIDE, FEW * (ends - starts), len(r) ** 2)  # for pairs
+    room[ends - starts > WIDEST] = -1
+    met, i, gap = [], np.flatnonzero(room[group] >= 0), 0
+    while len(i):
+        gap += 1
+        i = i[i + gap < end[i]]
+        i = i[bounds.fits(i, i + gap)]  # sizes ascend: what does not fit now never will
+        x = i[bounds.passes(i, i + gap)]
+        met.append((x, x + gap))
+        np.subtract.at(room, group[x], 1)
+        i = i[room[group[i]] >= 0]
+    wide = (room < 0)[group]
+    found = [(ids[x[~wide[x]]], ids[y[~wide[x]]]) for x, y in met]
     alone = np.flatnonzero(wide)
     for _ in range(LEADERS):  # in every wide group at once
         if not len(alone):
@@ -157,20 +170,14 @@ def meeting(r: np.ndarray, edits: Callable | None, similarity: float) -> tuple[n
         ours = bounds.fits(z, x) & bounds.passes(z, x)  # z is the shortest left
         found.append((ids[z[ours]], ids[x[ours]]))
         alone = x[~ours]
-    i, gap = np.flatnonzero(~wide), 0
-    while len(i):
-        gap += 1
-        i = i[i + gap < end[i]]
-        i = i[bounds.fits(i, i + gap)]  # sizes ascend: what does not fit now never will
-        x = i[bounds.passes(i, i + gap)]
-        found.append((ids[x], ids[x + gap]))
     return *_distinct(found), r[wide]
 
 
-def across(r: np.ndarray, key: np.ndarray, root: np.ndarray, edits: Callable | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def across(r: np.ndarray, key: np.ndarray, root: np.ndarray, edits: Callable | None, similarity: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(a, b) of the records with equal keys but different roots whose sizes and marks leave the similarity possible.
 
-    In each group the records outside its commonest root are compared with all others.
+    In each group the records outside its commonest root are compared with all others; with ``most`` each
+    until it has so many pairs with longer ones, and with shorter ones.
     """
     order = np.lexsort((r["id"], r["size"], key))
     r, key, root = r[order], key[order], root[order]
@@ -183,6 +190,7 @@ def across(r: np.ndarray, key: np.ndarray, root: np.ndarray, edits: Callable | N
     common = np.repeat(root[by_root][runs][longest][firsts], ends - starts) if len(runs) else root
     odd, ids, bounds = root != common, r["id"], _Bounds(r, edits, similarity)
     found, up, down, gap = [], np.flatnonzero(odd), np.flatnonzero(odd), 0
+    n_up, n_down = np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
     while len(up) or len(down):
         gap += 1
         up = up[up + gap < end[up]]
@@ -190,11 +198,15 @@ def across(r: np.ndarray, key: np.ndarray, root: np.ndarray, edits: Callable | N
         x = up[root[up] != root[up + gap]]
         x = x[bounds.passes(x, x + gap)]
         found.append((ids[x], ids[x + gap]))
+        n_up[x] += 1
         down = down[down - gap >= start[down]]
         down = down[bounds.fits(down - gap, down)]
         x = down[~odd[down - gap]]
         x = x[bounds.passes(x - gap, x)]
         found.append((ids[x - gap], ids[x]))
+        n_down[x] += 1
+        if most is not None:
+            up, down = up[n_up[up] < most], down[n_down[down] < most]
     return _distinct(found)
 
 
@@ -250,24 +262,29 @@ def connecting(pairs: DataFrame, wide: DataFrame, kind: np.dtype, edits: Callabl
     """Edges a, b that connect whatever the similar ones of all pairs with a key in common connect; ``alike`` keeps the similar ones of pairs a < b.
 
     Members of wide groups have been compared with leaders only. They are now compared with each other where
-    what was found so far does not connect them.
+    what was found so far does not connect them: first each with a few, as what these connect need not be
+    compared any more, then with all others.
     """
-    first = stash(alike(pairs), "first")
-    if wide.isEmpty():
-        drop(pairs, wide)
-        return first
-    roots = stash(components(first).distinct(), "roots")
-    rooted = wide.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "record", F.coalesce("root", "id").alias("root"))
-
-    def run(bucket: tuple, table: pa.Table) -> pa.Table:
-        r = np.frombuffer(b"".join(table.column("record").to_pylist()), kind)
-        a, b = across(r, table.column("key").to_numpy(), table.column("root").to_numpy(), edits, similarity)
-        return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    several = rooted.groupBy("key").agg((F.min("root") != F.max("root")).alias("s")).where("s").select("key")
-    rest = rooted.join(several, "key").withColumn("bucket", F.shiftright("key", 32)).groupBy("bucket").applyInArrow(run, "a bigint, b bigint")
-    rest = stash(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    out = first if rest.isEmpty() else stash(first.union(alike(rest)), "links")
-    drop(wide, rest, roots, pairs)
-    release(out.sparkSession)
-    return out
+    links, tried = stash(alike(pairs), "links"), [pairs]
+    for most in () if wide.isEmpty() else (1, None):
+        roots = stash(components(links).distinct(), "roots")
+        rooted = wide.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "record", F.coalesce("root", "id").alias("root"))
+
+        def run(bucket: tuple, table: pa.Table) -> pa.Table:  # pickled before ``most`` changes
+            r = np.frombuffer(b"".join(table.column("record").to_pylist()), kind)
+            a, b = across(r, table.column("key").to_numpy(), table.column("root").to_numpy(), edits, similarity, most)
+            return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        rest = rooted.withColumn("bucket", F.shiftright("key", 32)).groupBy("bucket").applyInArrow(run, "a bigint, b bigint").distinct()
+        for t in tried:
+            rest = rest.join(t, ["a", "b"], "left_anti")
+        rest = stash(rest, "rest")
+        tried.append(rest)
+        drop(roots)
+        if not rest.isEmpty():
+            more = stash(links.union(alike(rest)), "links")
+            drop(links)
+            links = more
+    drop(wide, *tried)
+    release(links.sparkSession)
+    return links

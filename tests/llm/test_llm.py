@@ -508,3 +508,34 @@ def test_nothing_to_learn_from():
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def records(n, size, marks):
+    r = np.zeros(n, lines.KIND)
+    r["key"], r["id"], r["size"], r["marks"] = 7, np.arange(n), size, marks
+    return r
+
+
+def test_wide_groups_of_unlike_records_are_settled_where_they_meet():
+    marks = np.random.default_rng(1).integers(0, 1 << 62, (300, 2), dtype=np.uint64)
+    marks[40] = marks[250]
+    a, b, wide = pairs.meeting(records(300, 10, marks), lines._edits(0.8), 0.8)
+    assert (a.tolist(), b.tolist(), len(wide)) == ([40], [250], 0)
+    a, b, wide = pairs.meeting(records(300, 10, marks[:1]), lines._edits(0.8), 0.8)  # all alike
+    assert len(wide) == 300 and len(a) <= pairs.LEADERS * 300
+
+
+def test_marks_of_records_of_other_lengths_may_differ_less():
+    r = records(2, [8, 10], np.array([[0b111, 0], [0, 0]], np.uint64))  # two insertions change two marks, not three
+    assert len(pairs.meeting(r, lines._edits(0.8), 0.8)[0]) == 0
+    r["marks"][0] = [0b11, 0]
+    assert len(pairs.meeting(r, lines._edits(0.8), 0.8)[0]) == 1
+
+
+def test_members_of_wide_groups_are_first_compared_with_a_few():
+    r, key = records(60, 10, np.zeros((60, 2), np.uint64)), np.zeros(60, np.int64)
+    root = np.arange(60) // 2
+    met = set(zip(*map(np.ndarray.tolist, pairs.across(r, key, root, lines._edits(0.8), 0.8))))
+    assert met == {(i, j) for i, j in itertools.combinations(range(60), 2) if i // 2 != j // 2}
+    few = set(zip(*map(np.ndarray.tolist, pairs.across(r, key, root, lines._edits(0.8), 0.8, 1))))
+    assert few < met and len(few) <= 2 * 60
