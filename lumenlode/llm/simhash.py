@@ -209,6 +209,7 @@ def _similar(found: DataFrame, texts: DataFrame, words: int, similarity: float,
     sets = texts.join(few, "key", "left_semi").select("key", "t").mapInArrow(run, "key binary, s array<bigint>")
     sets = stash(sets.groupBy("key").agg(F.first("s").alias("s")), "shingles")
     drop(wanted)
+    release(found.sparkSession)
     a, b = sets.select(F.col("key").alias("x"), F.col("s").alias("p")), sets.select(F.col("key").alias("y"), F.col("s").alias("q"))
     both = F.size(F.array_intersect("p", "q"))
     out = stash(found.join(a, "x").join(b, "y").where(both >= similarity * (F.size("p") + F.size("q") - both) - 1e-9).select("x", "y"), "similar")
@@ -240,12 +241,15 @@ def one_of_each(
     spark = df.sparkSession
     key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
     names = [F.col(f"`{c}`") for c in df.columns]
-    rows = df.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), key.alias("key"), F.col(text).alias("t"))
-    rows = stash(with_fingerprint(rows.withColumn("at", F.monotonically_increasing_id()), words, "t"), "rows")
+    whole = df.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), key.alias("key"))
+    rows = stash(with_fingerprint(df.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text).alias("t")), words, "t"), "rows")
     head = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
-    one = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.min(F.struct("id", "at")).alias("least"))
+    one = rows.groupBy("key", "id").agg(F.first("fp").alias("fp"), F.count("*").alias("times"))
+    one = one.groupBy("key").agg(F.first("fp").alias("fp"), F.min(F.struct("id", "times")).alias("least"))
     one = stash(one.withColumn("n", head), "texts")
-    texts = rows.select("key", head.alias("id"), F.col("row")[text].alias("t"))  # copies are met again, but no text is moved
+    drop(rows)
+    release(spark)
+    texts = whole.select("key", head.alias("id"), F.col("row")[text].alias("t"))  # copies are met again, but no text is moved
 
     fps = one.groupBy("fp").agg(F.min("n").alias("n"))
     near = links(fps, bits).join(fps.select(F.col("fp").alias("a"), F.col("n").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("n").alias("y")), "b")
@@ -253,8 +257,9 @@ def one_of_each(
     close = stash(near.select("x", "y").union(same.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "close")
     release(spark)
 
-    ranked = ranks(rows.select(F.col("row")[text].alias("t")), "t", lambda t: np.concatenate([*_sets(t, words), np.zeros(0, np.uint64)]))
-    letters = rows.agg(F.sum(F.length(F.col("row")[text]))).first()[0] or 0
+    ranked = ranks(df.select(F.col(text).alias("t")), "t", lambda t: np.concatenate([*_sets(t, words), np.zeros(0, np.uint64)]))
+    release(spark)
+    letters = df.agg(F.sum(F.length(F.col(text)))).first()[0] or 0
     buckets = max(16, int(letters / 6 * (1 - similarity) / passes / BUCKET))
     met, wide = candidates(lambda k: _index_of(texts, words, similarity, ranked, buckets, passes, k), KIND, passes, None, similarity)
     both = stash(met.union(close).distinct(), "both")
@@ -281,6 +286,12 @@ def one_of_each(
         edges = edges.union(e)
     roots = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "key")
     drop(marked, *found)
-    placed = one.join(roots, "key", "left").select("least", F.coalesce("root", "key").alias("root"))
-    stays = placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least")["at"].alias("at"))
-    return rows.join(stays, "at", "left_semi").select("row.*")
+    placed = one.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    stays = placed.groupBy("root").agg(F.min(F.struct("least.id", "key", "least.times")).alias("s"))
+    stays = stash(stays.select(F.col("s.key").alias("k"), F.col("s.id").alias("i"), F.col("s.times").alias("times")), "stays")
+    drop(one)
+    release(spark)
+    kept = lambda some: whole.join(some, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
+    out = kept(stays.where("times = 1")).select("row.*")
+    again = stays.where("times > 1")
+    return out if again.isEmpty() else out.union(kept(again).dropDuplicates(["key", "id"]).select("row.*"))

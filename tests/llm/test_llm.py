@@ -539,3 +539,11 @@ def test_members_of_wide_groups_are_first_compared_with_a_few():
     assert met == {(i, j) for i, j in itertools.combinations(range(60), 2) if i // 2 != j // 2}
     few = set(zip(*map(np.ndarray.tolist, pairs.across(r, key, root, lines._edits(0.8), 0.8, 1))))
     assert few < met and len(few) <= 2 * 60
+
+
+def test_one_of_each_puts_no_texts_by(spark, monkeypatch):
+    seen, stash = [], simhash.stash
+    monkeypatch.setattr(simhash, "stash", lambda df, label: seen.append((label, df.columns)) or stash(df, label))
+    got = simhash.one_of_each(odd(spark, ["a b c d e f", "a b c d e f", None, "x y z"], [3, 3, None, 4])).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["3", "4", "None"]
+    assert seen and not [x for x in seen if {"row", "t", "text"} & {*x[1]}]
