@@ -44,6 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
         now, done, state = after, new == state, new
         if done:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+    out._stash_path = now._stash_path
+    return out

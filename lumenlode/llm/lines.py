@@ -313,21 +313,24 @@ def duplicate_lines(
         x, y = (lines.select(F.col("line").alias(c), F.col("id").alias(i)) for c, i in (("x", "a"), ("y", "b")))
         return same[-1].join(x, "x").join(y, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    connecting(met, wide, KIND, _edits(similarity), similarity, alike)
+    joined = connecting(met, wide, KIND, _edits(similarity), similarity, alike)
     edges = same[0]
     for e in same[1:]:
         edges = edges.union(e)
-    roots = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "line")
-    drop(lines, *same)
+    tree = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    roots = tree.withColumnRenamed("node", "line")
+    drop(lines, joined, *same)
     release(spark)
 
     placed = one.join(roots, "line", "left").select("line", "first", F.coalesce("root", "line").alias("root"))
     stays = placed.groupBy("root").agg(F.min("first").alias("stays"))
     of_line = placed.select("line", "root").join(stays, "root").select("line", "stays")
     gone = occurrences.select("line", F.struct("at", "doc", "nth").alias("here")).join(of_line, "line").where(~F.col("here").eqNullSafe(F.col("stays")))
-    return (
-        gone.select("here.doc", "here.nth").distinct().groupBy("doc").agg(F.array_sort(F.collect_list("nth")).alias("removed"))
-    )
+    removed = gone.select("here.doc", "here.nth").distinct().groupBy("doc").agg(F.array_sort(F.collect_list("nth")).alias("removed"))
+    removed = stash(removed, "removed")  # all that stays on the disks
+    drop(one, occurrences, tree)
+    release(spark)
+    return removed
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, **options) -> DataFrame:

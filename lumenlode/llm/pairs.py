@@ -267,7 +267,9 @@ def connecting(pairs: DataFrame, wide: DataFrame, kind: np.dtype, edits: Callabl
     """
     links, tried = stash(alike(pairs), "links"), [pairs]
     for most in () if wide.isEmpty() else (1, None):
-        roots = stash(components(links).distinct(), "roots")
+        tree = components(links)
+        roots = stash(tree.distinct(), "roots")
+        drop(tree)
         rooted = wide.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "record", F.coalesce("root", "id").alias("root"))
 
         def run(bucket: tuple, table: pa.Table) -> pa.Table:  # pickled before ``most`` changes

@@ -7,7 +7,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import stash
+from .store import stash, while_read
 from .tables import literal_table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -136,7 +136,7 @@ def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, thre
     spark, named = df.sparkSession, rules()
     votes = [F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN) for bad, good in named.values()]
     code = sum((v * 3**j for j, v in enumerate(votes)), F.lit(0))
-    rows = stash(measures(df, text, keep).withColumn("votes", code), "measures")
+    rows = while_read(stash(measures(df, text, keep).withColumn("votes", code), "measures"))
     counts = {r["votes"]: r["n"] for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     digits = {k: tuple(k // 3**j % 3 for j in range(len(named))) for k in counts}
     quality = fit([(digits[k], n) for k, n in sorted(counts.items())])

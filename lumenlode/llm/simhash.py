@@ -280,16 +280,17 @@ def one_of_each(
         x, y = (marked.select(F.col("key").alias(c), F.col("id").alias(i)) for c, i in (("x", "a"), ("y", "b")))
         return found[-1].join(x, "x").join(y, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    connecting(both, wide, KIND, None, similarity, alike)
+    joined = connecting(both, wide, KIND, None, similarity, alike)
     edges = found[0]
     for e in found[1:]:
         edges = edges.union(e)
-    roots = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "key")
-    drop(marked, *found)
+    tree = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    roots = tree.withColumnRenamed("node", "key")
+    drop(marked, joined, *found)
     placed = one.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     stays = placed.groupBy("root").agg(F.min(F.struct("least.id", "key", "least.times")).alias("s"))
     stays = stash(stays.select(F.col("s.key").alias("k"), F.col("s.id").alias("i"), F.col("s.times").alias("times")), "stays")
-    drop(one)
+    drop(one, tree)
     release(spark)
     kept = lambda some: whole.join(some, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
     out = kept(stays.where("times = 1")).select("row.*")

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import textwrap
+import time
 import zlib
 
 import duckdb
@@ -15,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lumenlode.functions import store
 from lumenlode.llm import exact, graph, licences, lines, mixing, packing, pairs, quality, queries, sharding, simhash, suffixes, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -547,3 +549,23 @@ def test_one_of_each_puts_no_texts_by(spark, monkeypatch):
     got = simhash.one_of_each(odd(spark, ["a b c d e f", "a b c d e f", None, "x y z"], [3, 3, None, 4])).collect()
     assert sorted(str(r.doc_id) for r in got) == ["3", "4", "None"]
     assert seen and not [x for x in seen if {"row", "t", "text"} & {*x[1]}]
+
+
+def test_what_stages_put_by_goes_once_it_is_not_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_dir", lambda spark: f"file://{tmp_path}")
+    left = lambda: {x.name.split("-")[0] for x in tmp_path.iterdir()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    judged = corpus_pipeline.quality_rules(spark, docs, SF)
+    n = judged.count()
+    store.release(spark)
+    again = judged.count()
+    assert left() == {"measures"} and again == n > 0  # still read
+    del judged
+    for _ in range(20):  # py4j lets go of objects a few seconds late
+        store.release(spark)
+        if not left():
+            break
+        time.sleep(0.5)
+    assert left() == set()
+    removed = lines.duplicate_lines(docs)
+    assert left() == {"removed"} and removed.count() > 0
