@@ -395,8 +395,15 @@ def token_statistics(spark, sf):
     return rounded(terms.token_statistics(terms.sentences(table(spark, sf, "documents"))))
 
 
+#: Parts that the terms of a larger corpus are counted in.
+TERM_PASSES = 6
+
+
 def _candidates(spark, sf):
-    return terms.candidates(terms.postings(terms.ngrams(table(spark, sf, "documents"))))
+    docs = table(spark, sf, "documents")
+    if _passes(docs) > 1:
+        return terms.candidates_in_passes(docs, TERM_PASSES)
+    return terms.candidates(terms.postings(terms.ngrams(docs)))
 
 
 @query(f"{_TOKENS}, {_GRAMS} SELECT term, size, df, tf, upper FROM cand")

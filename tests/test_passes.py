@@ -56,3 +56,16 @@ def test_rows_of_tokens_are_shuffled_once_for_their_middles(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
     assert "ReusedExchange" in plan and plan.count("REPARTITION_BY_COL") <= 2
+
+
+def test_candidates_are_the_same_in_passes_and_shuffled_without_documents(spark, monkeypatch):
+    rows = [(1, "Bill of Materials for the red pump. GPU red pump, red pump red."), (1, "Bill of materials. Red pump."), (2, "GPU red pump red pump. of pump"), (None, "GPU blue."), (None, "blue gpu"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, stash = [], terms.stash
+    monkeypatch.setattr(terms, "stash", lambda df, label: seen.append(df._jdf.queryExecution().executedPlan().toString()) or stash(df, label))
+    several = terms.candidates_in_passes(docs, 3)
+    once = terms.candidates(terms.postings(terms.ngrams(docs)))
+    same(several, once)
+    got = {r.term: (r.df, r.tf, r.upper) for r in several.collect()}
+    assert got["red pump"] == (2, 6, 0) and got["gpu"] == (3, 4, 3) and "bill of materials" not in got and "blue" not in got
+    assert len(seen) == 3 and all(p.count("Exchange hashpartitioning(term") == p.count("Exchange") == 1 for p in seen)
