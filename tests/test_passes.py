@@ -69,3 +69,12 @@ def test_candidates_are_the_same_in_passes_and_shuffled_without_documents(spark,
     got = {r.term: (r.df, r.tf, r.upper) for r in several.collect()}
     assert got["red pump"] == (2, 6, 0) and got["gpu"] == (3, 4, 3) and "bill of materials" not in got and "blue" not in got
     assert len(seen) == 3 and all(p.count("Exchange hashpartitioning(term") == p.count("Exchange") == 1 for p in seen)
+
+
+def test_terms_of_a_large_corpus_have_the_same_values(spark, monkeypatch):
+    small = {name: plans.QUERIES[name](spark, SF).toPandas() for name in ("c_value", "termhood")}
+    monkeypatch.setattr(plans, "LETTERS", 0)
+    for name, want in small.items():
+        got = plans.QUERIES[name](spark, SF)
+        assert not got._jdf.queryExecution().toString().count("documents.parquet")  # what is returned reads what was written
+        same(got, spark.createDataFrame(want))
