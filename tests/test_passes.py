@@ -78,3 +78,9 @@ def test_terms_of_a_large_corpus_have_the_same_values(spark, monkeypatch):
         got = plans.QUERIES[name](spark, SF)
         assert not got._jdf.queryExecution().toString().count("documents.parquet")  # what is returned reads what was written
         same(got, spark.createDataFrame(want))
+
+
+def test_c_values_are_the_same_in_passes(spark):
+    docs = spark.createDataFrame([(i, "red green blue cyan. red green red. blue.") for i in range(3)], "doc_id long, text string")
+    cand = terms.candidates(terms.postings(terms.ngrams(docs)))
+    same(terms.c_value(cand, 3), terms.c_value(cand))
